@@ -13,26 +13,36 @@ from pyspark.sql import functions as F
 
 from supportlake import fixed
 from supportlake.functions import text as tx
-from supportlake.taxonomy import keywords_by_intent
+from supportlake.functions.encoders import keyword_counts
+from supportlake.taxonomy import keyword_vocabulary, keywords_by_intent
 
 
-def intent_scores(text: Column) -> dict[str, Column]:
-    low = F.lower(tx.not_null_text(text))
+def intent_scores_from_counts(counts: Column) -> dict[str, Column]:
+    """2.0 x summed keyword counts per intent, from a vocabulary count array."""
+    vocab = {kw: i + 1 for i, kw in enumerate(keyword_vocabulary())}
     out = {}
     for intent, kws in keywords_by_intent().items():
         total = None
         for kw in kws:
-            c = tx.keyword_count(low, kw)
+            c = F.element_at(counts, vocab[kw])
             total = c if total is None else total + c
         out[intent] = (total * F.lit(fixed.KEYWORD_WEIGHT)).cast("double")
     return out
 
 
+def intent_scores(text: Column) -> dict[str, Column]:
+    return intent_scores_from_counts(keyword_counts(text))
+
+
 def score_array(text: Column) -> Column:
     """ARRAY<DOUBLE> of the ten scores in taxonomy order (each regex once)."""
     return F.array(*intent_scores(text).values())
 
 
+def score_array_from_counts(counts: Column) -> Column:
+    return F.array(*intent_scores_from_counts(counts).values())
+
+
 def best_intent(scores: Column) -> tuple[Column, Column]:
     """(intent or null, best score) from a score array; ``array_position``
     returns the first maximum, so the first intent in taxonomy order wins."""

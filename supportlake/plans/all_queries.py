@@ -1,3 +1,3 @@
 """Import every query module so the registry is complete."""
 
-from supportlake.plans import queries  # noqa: F401
+from supportlake.plans import queries, queries_vectors  # noqa: F401
