@@ -179,3 +179,14 @@ def fill_template(template: str, **values: Column) -> Column:
         else:
             parts.append(F.lit(piece))
     return F.concat(*parts)
+
+
+def materialize(df, **cols: Column):
+    """Add columns behind a Generate (``inline`` of a one-element array).
+
+    Catalyst inlines a projected expression into every consumer; for large
+    expressions read many times (keyword counts, labels) that multiplies the
+    work and the generated code.  Generator output is a real attribute, so
+    consumers read the value instead of recomputing it.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from supportlake import fixed
 from supportlake.functions import text as tx
-from supportlake.functions.encoders import keyword_counts
+from supportlake.functions.encoders import with_keyword_counts
 from supportlake.taxonomy import keyword_vocabulary, keywords_by_intent
 
 
@@ -30,16 +30,8 @@ def intent_scores_from_counts(counts: Column) -> dict[str, Column]:
     return out
 
 
-def intent_scores(text: Column) -> dict[str, Column]:
-    return intent_scores_from_counts(keyword_counts(text))
-
-
-def score_array(text: Column) -> Column:
-    """ARRAY<DOUBLE> of the ten scores in taxonomy order (each regex once)."""
-    return F.array(*intent_scores(text).values())
-
-
 def score_array_from_counts(counts: Column) -> Column:
+    """ARRAY<DOUBLE> of the ten intent scores in taxonomy order."""
     return F.array(*intent_scores_from_counts(counts).values())
 
 
@@ -53,13 +45,11 @@ def best_intent(scores: Column) -> tuple[Column, Column]:
 
 def with_weak_label(df: DataFrame, text_col: str = "customer_text") -> DataFrame:
     """Adds ``weak_intent`` (null unless score >= 2.0) and ``weak_score``."""
-    # ``inline`` of a one-element array is a Generate: a later filter on the
-    # label cannot be pushed below it, so the keyword regexes run once per row
-    # instead of once in the filter and again in the projection.
-    scored = df.select("*", F.inline(F.array(F.struct(score_array(F.col(text_col)).alias("_scores")))))
+    kc = with_keyword_counts(df, text_col)
+    scored = tx.materialize(kc, _scores=score_array_from_counts(F.col("_kc"))).drop("_kc")
     intent, best = best_intent(F.col("_scores"))
-    return scored.withColumn("weak_score", best).withColumn(
-        "weak_intent", F.when(best >= fixed.MIN_LABEL_SCORE, intent)).drop("_scores")
+    labelled = tx.materialize(scored, weak_score=best, weak_intent=F.when(best >= fixed.MIN_LABEL_SCORE, intent))
+    return labelled.drop("_scores")
 
 
 def ground_truth_action(intent: Column, text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from supportlake import fixed
 from supportlake.functions import text as tx
+from supportlake.functions.encoders import with_keyword_counts
 from supportlake.operators import brands, golden, labels, pairs
 from supportlake.plans import oracle as sq
 from supportlake.plans.registry import query
@@ -177,7 +178,8 @@ u AS (SELECT tweet_id, unnest(range(1, 11)) AS pos, unnest(sc) AS score FROM s)
 SELECT tweet_id, {sq.str_list(fixed.INTENTS)}[pos] AS intent, score FROM u WHERE score > 0""")
 def q_keyword_scores(spark, sf_dir):
     t = tweets(spark, sf_dir).where("inbound")
-    s = t.select("tweet_id", F.posexplode(labels.score_array(F.col("text"))).alias("pos", "score"))
+    kc = with_keyword_counts(t.select("tweet_id", "text"), "text")
+    s = kc.select("tweet_id", F.posexplode(labels.score_array_from_counts(F.col("_kc"))).alias("pos", "score"))
     names = F.array(*[F.lit(i) for i in fixed.INTENTS])
     return s.where(F.col("score") > 0).select("tweet_id", F.element_at(names, (F.col("pos") + 1).cast("int")).alias("intent"), "score")
 
