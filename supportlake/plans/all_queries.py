@@ -1,3 +1,3 @@
 """Import every query module so the registry is complete."""
 
-from supportlake.plans import queries, queries_pipeline, queries_vectors  # noqa: F401
+from supportlake.plans import queries, queries_models, queries_pipeline, queries_vectors  # noqa: F401
