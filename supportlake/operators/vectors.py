@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from supportlake.sources.tables import spread
+
 SCALE = 1_000_000          # ranking precision (1e-6)
 DEFAULT_BROADCAST_BYTES = 256 << 20
 BLOCK_ELEMENTS = 8_000_000  # query-rows x index-rows per matmul block
@@ -152,8 +154,8 @@ def exact_topk(queries: DataFrame, index: DataFrame, k: int, *, query_id: str =
                 yield _reduce_topk(_rows_frame(parts), k)
 
         # every query lives in exactly one task: its ranked k rows are final,
-        # so this plan has no shuffle at all
-        return q.mapInPandas(per_query_batch, TOPK_SCHEMA).select(
+        # so the only shuffle is the spread of a too-small query side
+        return spread(q).mapInPandas(per_query_batch, TOPK_SCHEMA).select(
             "query_id", "doc_id", "similarity", "rank", "_skey")
 
     if strategy == "broadcast_queries":
@@ -174,7 +176,7 @@ def exact_topk(queries: DataFrame, index: DataFrame, k: int, *, query_id: str =
             if best is not None:
                 yield best
 
-        cand = d.mapInPandas(per_index_partition, TOPK_SCHEMA)
+        cand = spread(d).mapInPandas(per_index_partition, TOPK_SCHEMA)
         return _ranked(cand, k, merge=True)
 
     # blocked: (query block x index block) cells, both bounded

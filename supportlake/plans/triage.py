@@ -18,6 +18,7 @@ from supportlake import fixed
 from supportlake.functions import text as tx
 from supportlake.functions.encoders import with_keyword_vector
 from supportlake.operators import classify, policy, replies, vectors
+from supportlake.session import cut_lineage
 from supportlake.taxonomy import prototype_texts
 
 
@@ -39,12 +40,17 @@ def classify_by_prototypes(msgs: DataFrame, protos: DataFrame, id_col: str = "id
         classify.confidence_from_cosine(F.col("similarity")).alias("confidence"))
 
 
-def history_index(pairs: DataFrame) -> DataFrame:
-    """Index rows: metadata and vector in one row (no position lookup)."""
+def history_index(pairs: DataFrame, write: bool = True) -> DataFrame:
+    """Index rows: metadata and vector in one row (no position lookup).
+
+    The index is read several times (size check, broadcast, evidence
+    metadata), so by default it is written once as a table in the shared
+    checkpoint folder, like a persisted vector index."""
     rows = pairs.select(
         F.col("brand_tweet_id").alias("doc_id"), "customer_tweet_id", "brand_tweet_id", "customer_text", "brand_text",
         "links")
-    return with_keyword_vector(rows, "customer_text")
+    idx = with_keyword_vector(rows, "customer_text")
+    return cut_lineage(idx) if write else idx
 
 
 def retrieve(msgs: DataFrame, index: DataFrame, k: int = fixed.RETRIEVAL_TOP_K,
@@ -59,13 +65,22 @@ def retrieve(msgs: DataFrame, index: DataFrame, k: int = fixed.RETRIEVAL_TOP_K,
 
 def triage(messages: DataFrame, index: DataFrame, protos: DataFrame, pol: policy.Policy = policy.CONFIGURED_POLICY,
            k: int = fixed.RETRIEVAL_TOP_K, threshold: float = fixed.RETRIEVAL_SIMILARITY_THRESHOLD,
-           id_col: str = "id", text_col: str = "message", exclude_same_id: bool = False) -> DataFrame:
-    """id, message, intent, confidence, action, reason, reply, evidence."""
+           id_col: str = "id", text_col: str = "message", exclude_same_id: bool = False,
+           write_inputs: bool = True) -> DataFrame:
+    """id, message, intent, confidence, action, reason, reply, evidence.
+
+    The vectorised messages feed three stages (classification, retrieval, the
+    final join); with ``write_inputs`` they are written once to the shared
+    checkpoint folder instead of being re-derived per stage.  Micro-batch
+    callers pass ``write_inputs=False`` and persist the batch instead.
+    """
     cleaned = tx.clean_text(F.col(text_col))
     msgs = messages.select(
         F.col(id_col).alias("id"),
         F.when(cleaned == "", tx.not_null_text(text_col)).otherwise(cleaned).alias("message"))
     msgs = with_keyword_vector(msgs, "message")
+    if write_inputs:
+        msgs = cut_lineage(msgs)
     cls = classify_by_prototypes(msgs, protos)
     ev = retrieve(msgs, index, k, threshold, exclude_same_id=exclude_same_id)
     j = msgs.drop("embedding").join(cls, "id", "left").join(ev, "id", "left")

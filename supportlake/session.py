@@ -59,6 +59,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a parquet table in the shared checkpoint folder
+    and read it back: later readers start from files (survives executor loss,
+    prunes columns), and the plan is computed a single time (a reliable RDD
+    checkpoint would compute it twice: once for the action, once to write).
+    """
+    import uuid
+
+    root = ensure_checkpoint_dir(df.sparkSession)
+    path = os.path.join(root, "tables", uuid.uuid4().hex)
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -39,8 +39,23 @@ HUMAN_VALIDATION_SCHEMA = T.StructType(
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work at least one partition per core.
+
+    A small input file (one parquet row group) is a single split, so every
+    narrow operator after the scan would run in one task.  Only then is the
+    scan round-robin repartitioned; a large table already has many more splits
+    than cores and is returned unchanged (no extra shuffle at scale).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if balance else df
 
 
 def read_raw_tweets_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -112,8 +127,10 @@ def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def tweet_view(events: DataFrame) -> DataFrame:
-    """Raw-tweet schema derived row by row from ``events`` (narrow, no shuffle)."""
+def tweet_view(events: DataFrame, keep_time: bool = False) -> DataFrame:
+    """Raw-tweet schema derived row by row from ``events`` (narrow, no shuffle).
+
+    ``keep_time`` adds the event time as ``event_time`` (streaming jobs)."""
     e = F.col("event_id")
     k = F.expr("event_id div 2")
     brand = _pick(FIXTURE_BRANDS, k % 5)
@@ -126,6 +143,7 @@ def tweet_view(events: DataFrame) -> DataFrame:
               .when(k % 97 == 0, F.lit(-1).cast("bigint"))
               .when(k % 40 == 39, e - 3)
               .otherwise(e - 1))
+    extra = [F.col("ts").cast("timestamp").alias("event_time")] if keep_time else []
     return events.select(
         e.alias("tweet_id"),
         F.when(even, F.concat(F.lit("cust_"), F.col("user_id").cast("string"))).otherwise(brand).alias("author_id"),
@@ -133,6 +151,7 @@ def tweet_view(events: DataFrame) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"),
         text.alias("text"),
         parent.alias("in_response_to_tweet_id"),
+        *extra,
     )
 
 
@@ -159,5 +178,6 @@ def tweet_view_sql(events: str = "events") -> str:
        WHEN (event_id // 2) % 31 = 0 THEN NULL
        WHEN (event_id // 2) % 97 = 0 THEN -1
        WHEN (event_id // 2) % 40 = 39 THEN event_id - 3
-       ELSE event_id - 1 END AS BIGINT) AS in_response_to_tweet_id
+       ELSE event_id - 1 END AS BIGINT) AS in_response_to_tweet_id,
+  ts AS event_time
 FROM {events})"""
