@@ -186,9 +186,9 @@ def exact_topk(queries: DataFrame, index: DataFrame, k: int, *, query_id: str =
     qb_n = max(1, math.ceil(n_q / rows_per_block))
     db_n = max(1, math.ceil(n_d / rows_per_block))
     qx = q.withColumn("_qb", F.pmod(F.xxhash64("_id"), F.lit(qb_n))).withColumn(
-        "_db", F.explode(F.sequence(F.lit(0), F.lit(db_n - 1))).cast("long"))
+        "_db", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(db_n - 1).cast("long"))))
     dx = d.withColumn("_db", F.pmod(F.xxhash64("_id"), F.lit(db_n))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(qb_n - 1))).cast("long"))
+        "_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb_n - 1).cast("long"))))
 
     def per_cell(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
         qids = qpdf["_id"].to_numpy(dtype=np.int64)
