@@ -47,8 +47,9 @@ REPLY_WITHIN = "24 hours"
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
     """Event rows as a stream; ``ts`` cast to TIMESTAMP (watermarks need it)."""
+    # the stream source lists a folder; the glob filter keeps the events files
     src = (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-           .parquet(os.path.join(sf_dir, "events.parquet")))
+           .option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
     return src.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
