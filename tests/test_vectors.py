@@ -27,3 +27,13 @@ def test_ties_break_by_doc_id_and_threshold_after_topk(spark):
     assert got == [(5, 1), (10, 2), (3, 3)]
     kept = vectors.apply_threshold(t, 0.7).select("doc_id").collect()
     assert sorted(r[0] for r in kept) == [5, 10]
+
+
+def test_blocked_grid_with_many_cells(spark, sf_small, monkeypatch):
+    """Force ~20-row blocks so queries and index span many grid cells."""
+    e = table(spark, sf_small, "embeddings").select("vec_id", "embedding")
+    ref = vectors.exact_topk(e, e, 2, query_id="vec_id", doc_id="vec_id", exclude_self=True, strategy="broadcast_index")
+    monkeypatch.setattr(vectors, "BLOCK_ELEMENTS", 400)
+    blk = vectors.exact_topk(e, e, 2, query_id="vec_id", doc_id="vec_id", exclude_self=True, strategy="blocked")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"]) for r in df.collect())
+    assert key(ref) == key(blk)
