@@ -9,12 +9,14 @@ Spark ML with balanced class weights.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportlake import fixed
+from supportlake.session import cut_lineage
 
 # maximal runs of >= 2 word characters (Python's \b\w\w+\b); the explicit
 # class reads the same in Java and RE2
@@ -24,9 +26,13 @@ MAX_FEATURES = 5000
 
 def terms(text: Column, stopwords: Sequence[str] = fixed.ENGLISH_STOPWORDS, ngram_max: int = 2) -> Column:
     """ARRAY<STRING>: tokens without stop words, then their bigrams."""
-    toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_PATTERN), 0)
-    stop = F.array(*[F.lit(w) for w in stopwords])
-    toks = F.filter(toks, lambda t: ~F.array_contains(stop, t))
+    # one native regex pass returns only the tokens that are not stop words:
+    # a token starts where no word character precedes it, and the negative
+    # lookahead rejects a whole-token stop word (no per-token lambda)
+    w = r"[\p{L}\p{N}_]"
+    stop_alt = "|".join(sorted((re.escape(x) for x in stopwords), key=len, reverse=True))
+    pattern = f"(?<!{w})(?!(?:{stop_alt})(?!{w})){TOKEN_PATTERN}" if stopwords else TOKEN_PATTERN
+    toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), 0)
     if ngram_max < 2:
         return toks
     n = F.size(toks)
@@ -43,6 +49,9 @@ def tfidf_weights(docs: DataFrame, id_cols: Sequence[str], text_col: str,
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     tf = docs.select(*ids, F.explode(terms(F.col(text_col), stopwords)).alias("term")).groupBy(*ids, "term").agg(
         F.count(F.lit(1)).alias("tf"))
+    # tf feeds both the vocabulary and the weights: write it once instead of
+    # tokenising the corpus twice
+    tf = cut_lineage(tf)
     stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     # top-N by corpus frequency: TakeOrderedAndProject keeps N rows per task
     vocab = stats.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
