@@ -250,3 +250,19 @@ FROM s""")
 def q_annotation_sample(spark, sf_dir):
     c = corpus(spark, sf_dir)
     return golden.annotation_template(c, golden.golden_set(c))
+
+
+@query("corpus_stats", lambda: f"""WITH {_pairs_cte()}, {_labelled_cte('pairs')}
+SELECT (SELECT count(*) FROM pairs) AS n_pairs,
+       (SELECT count(DISTINCT customer_tweet_id) FROM pairs) AS n_customer_messages,
+       (SELECT count(*) FROM lab) AS n_labelled,
+       (SELECT count(DISTINCT weak_intent) FROM lab) AS n_intents""")
+def q_corpus_stats(spark, sf_dir):
+    """Index/corpus statistics as one summary row (rows, messages, intents)."""
+    c = corpus(spark, sf_dir)
+    lab = labels.weak_labels(c)
+    a = c.agg(F.count(F.lit(1)).alias("n_pairs"),
+              F.count_distinct("customer_tweet_id").alias("n_customer_messages")).withColumn("_one", F.lit(1))
+    b = lab.agg(F.count(F.lit(1)).alias("n_labelled"),
+                F.count_distinct("weak_intent").alias("n_intents")).withColumn("_one", F.lit(1))
+    return a.join(b, "_one").drop("_one")

@@ -61,3 +61,12 @@ def test_correlation_p_value():
     # r = 0.5 with n = 10: t = 1.633, 8 d.f., two-sided p = 0.1411
     assert abs(agreement.corr_p_value(0.5, 10) - 0.141) < 5e-4
     assert agreement.corr_p_value(1.0, 10) == 0.0
+
+
+def test_parse_judge_json(spark):
+    ok = '{"correctness": 5, "groundedness": 4, "helpfulness": 4, "brand_consistency": 5, "safety": 5, "reasoning": "fine"}'
+    bad_range = '{"correctness": 7, "groundedness": 4, "helpfulness": 4, "brand_consistency": 5, "safety": 5}'
+    df = spark.createDataFrame([(ok,), (bad_range,), ("not json",)], "raw string")
+    got = [r["s"] for r in df.select(judge.parse_judge_json(F.col("raw")).alias("s")).collect()]
+    assert got[0]["average_score"] == 4.6 and got[0]["reasoning"] == "fine"
+    assert got[1] is None and got[2] is None
