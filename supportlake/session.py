@@ -70,3 +70,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = os.path.join(root, "tables", uuid.uuid4().hex)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``supportlake`` importable in Python workers (mapInPandas, pandas
+    UDFs, foreachBatch) by adding a zip of the package with ``addPyFile``,
+    once per SparkContext.  Clusters that install the package on every node
+    do not need it; it is harmless there."""
+    import zipfile
+
+    import supportlake
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(supportlake.__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="supportlake-pyfiles-"), "supportlake.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for dirpath, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(id(sc))
