@@ -152,8 +152,8 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, scale: int = SCALE, i
 def oracle_sql(every: int = 100, k: int = 10, scale: int = SCALE) -> str:
     """The same rows by comparing every query with every row in DuckDB."""
     return f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor({scale} * x::DOUBLE)) AS e FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
     FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)

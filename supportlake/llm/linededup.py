@@ -175,7 +175,7 @@ def oracle_sql(min_words: int = MIN_WORDS, source: str = "documents") -> str:
     return f"""
 WITH u AS (SELECT doc_id, unnest(regexp_extract_all(text, '{UNIT_PATTERN}')) AS unit,
     generate_subscripts(regexp_extract_all(text, '{UNIT_PATTERN}'), 1) AS k FROM {source} WHERE text IS NOT NULL),
-w AS (SELECT *, list_filter(string_split_regex(lower(unit), '\\s+'), x -> x <> '') AS words,
+w AS (SELECT *, list_filter(string_split_regex(lower(unit), '\\s+'), lambda x: x <> '') AS words,
     sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM u),
 d AS (SELECT doc_id, k, unit, stop, stop - length(unit) AS start, len(words) AS n,
     len(words) > 0 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, k) > 1 AS rep FROM w),
