@@ -14,32 +14,45 @@ from __future__ import annotations
 import json
 import re
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 600_000       # of a generation; the one before it is kept to draw from
 LONGEST_CACHED = 64
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 
 
-class _Words(dict):
-    """Pre-token -> little-endian 32-bit ids (bounded by its owner)."""
+class _Generations(dict):
+    """A bounded cache: when it is full it becomes the old generation, from
+    which entries still in use are taken over."""
 
-    def __init__(self, model):
-        import numpy as np
+    old: dict = {}
 
-        self._np = np
-        self._model = model
+    def turn(self) -> None:
+        if len(self) > CACHE_PIECES:
+            self.old = dict(self)
+            self.clear()
+
+
+class _Words(_Generations):
+    """Pre-token -> little-endian 32-bit ids (bounded by its owner)."""
+
+    def __init__(self, model, size: int):
+        self._tokenize = model.tokenize
+        self._four = [i.to_bytes(4, "little") for i in range(size)]
         kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in kept]
         # the byte-level alphabet: printable bytes stand for themselves, the rest follow from 256 on
         self._alphabet = {**{b: chr(b) for b in kept}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
     def __missing__(self, word: str) -> bytes:
-        spelled = word.encode().decode("latin-1").translate(self._alphabet)
-        ids = [t.id for t in self._model.tokenize(spelled)]
-        self[word] = out = self._np.array(ids, "<u4").tobytes()
+        out = self.old.get(word)
+        if out is None:
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self._alphabet)
+            four = self._four
+            out = b"".join([four[t.id] for t in self._tokenize(spelled)])
+        self[word] = out
         return out
 
 
-class _Pieces(dict):
+class _Pieces(_Generations):
     def __init__(self, path: str):
         import numpy as np
         from tokenizers import Tokenizer
@@ -56,13 +69,19 @@ class _Pieces(dict):
             pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
             # on plain pieces, lower-cased, the letter and digit classes are these
             self._split = re.compile(pattern.replace(r"\p{L}", "a-zß-öø-ÿ").replace(r"\p{N}", "0-9"))
-            self._words = _Words(self._tokenizer.model)
+            self._words = _Words(self._tokenizer.model, self._tokenizer.get_vocab_size())
 
     def whole(self, text: str) -> bytes:
         return self._np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if self._words is not None and "<|" not in piece and _PLAIN.fullmatch(piece):
+        out = self.old.get(piece)
+        if out is not None:
+            self[piece] = out
+            return out
+        if self._words is not None and piece.isascii() and piece.isalpha():
+            out = self._words[piece.lower()]
+        elif self._words is not None and "<|" not in piece and _PLAIN.fullmatch(piece):
             out = b"".join(map(self._words.__getitem__, self._split.findall(piece.lower())))
         else:
             out = self.whole(piece)
@@ -73,11 +92,8 @@ class _Pieces(dict):
     def ids(self, text: str) -> bytes:
         if not self.by_blank:
             return self.whole(text)
-        if len(self) > CACHE_PIECES:
-            self.clear()
-            self._words.clear()
-        elif len(self._words) > CACHE_PIECES:
-            self._words.clear()
+        self.turn()
+        self._words.turn()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
