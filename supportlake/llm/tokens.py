@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import re
 
-CACHE_PIECES = 600_000       # of a generation; the one before it is kept to draw from
+CACHE_PIECES = 250_000       # of a generation; the one before it is kept to draw from
 LONGEST_CACHED = 64
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 
