@@ -8,6 +8,11 @@ patterns carry ``(?U)`` or an explicit whitespace class to match it.
 
 from __future__ import annotations
 
+import html
+import json
+from functools import lru_cache
+from html.entities import html5
+
 import re
 from collections.abc import Sequence
 
@@ -45,19 +50,62 @@ def py_strip(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), f"^{PY_WHITESPACE}+|{PY_WHITESPACE}+$", "")
 
 
-# Named and numeric entities decoded natively.  ``&amp;`` goes last so the
-# chain stays a single decoding pass.
-ENTITY_CHAIN = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-    ("&apos;", "'"), ("&#34;", '"'), ("&nbsp;", "\xa0"), ("&amp;", "&"),
-]
+# A character reference: a decimal or hexadecimal number or a name, the
+# semicolon optional (the HTML5 rules, single pass).
+ENTITY_PATTERN = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@lru_cache(maxsize=1)
+def _entity_tables() -> tuple[str, list[str], str]:
+    """(names as JSON, names that need no semicolon, odd numbers as JSON), from
+    the standard library's tables."""
+    odd = {str(n): html.unescape(f"&#{n};") for n in [*range(0x00, 0x20), *range(0x7F, 0xA0)]}
+    odd = {n: t for n, t in odd.items() if t != chr(int(n))}
+    legacy = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+    return json.dumps(html5), legacy, json.dumps(odd)
+
+
+def _decode_number(body: Column) -> Column:
+    digits = F.rtrim(body, F.lit(";"))
+    is_hex = digits.rlike("^#[xX]")
+    hexed = F.ltrim(F.substring(digits, 3, 1 << 20), F.lit("0"))
+    # seven digits and more are beyond the last code point in either base
+    dec = F.ltrim(F.substring(digits, 2, 1 << 20), F.lit("0"))
+    number = F.when(is_hex, F.when(F.length(hexed) > 6, F.lit(0x110000)).otherwise(F.conv(F.concat(F.lit("0"), hexed), 16, 10).cast("int"))
+                    ).otherwise(F.when(F.length(dec) > 7, F.lit(0x110000)).otherwise(F.concat(F.lit("0"), dec).cast("int")))
+    _, _, odd = _entity_tables()
+    low = F.try_element_at(F.from_json(F.lit(odd), "map<string,string>"), number.cast("string"))
+    beyond = (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    # code points that are not characters vanish
+    none = number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.when(low.isNotNull(), low).when(beyond, F.lit("\ufffd")).when(none, F.lit("")).otherwise(char)
+
+
+def _decode_name(body: Column) -> Column:
+    names, legacy, _ = _entity_tables()
+    table = F.from_json(F.lit(names), "map<string,string>")
+    start = F.get(F.filter(F.array(*[F.lit(n) for n in legacy]), lambda n: F.startswith(body, n)), F.lit(0))
+    return F.coalesce(
+        F.try_element_at(table, body),
+        F.concat(F.try_element_at(table, start), F.substr(body, F.length(start) + 1)),
+        F.concat(F.lit("&"), body))
 
 
 def decode_entities(c: Column | str) -> Column:
-    out = _col(c)
-    for ent, ch in ENTITY_CHAIN:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Every HTML character reference, natively and in one pass (``&amp;lt;``
+    becomes ``&lt;``): the text between references and the decoded references
+    are zipped together.  Texts without an ampersand are not touched."""
+    t = _col(c)
+    between = F.split(t, ENTITY_PATTERN, -1)
+    found = F.regexp_extract_all(t, F.lit(ENTITY_PATTERN), 0)
+
+    def decode(e: Column) -> Column:
+        body = F.substring(e, 2, 1 << 20)
+        return F.when(F.startswith(body, F.lit("#")), _decode_number(body)).otherwise(_decode_name(body))
+
+    joined = F.zip_with(between, found, lambda x, e: F.concat(x, F.coalesce(decode(e), F.lit(""))))
+    return F.when(F.contains(t, F.lit("&")), F.array_join(joined, "")).otherwise(t)
 
 
 def collapse_whitespace(c: Column | str) -> Column:

@@ -87,34 +87,42 @@ def corr_p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
 
 # ---- the agreement table ---------------------------------------------------
 
-def _avg_ranks(long: DataFrame, col: str) -> DataFrame:
+def _avg_ranks(counts: DataFrame, col: str) -> DataFrame:
     """(dimension, value, avg_rank): rank = values below + (ties + 1) / 2."""
-    vc = long.groupBy("dimension", F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    vc = counts.groupBy("dimension", F.col(col).alias("v")).agg(F.sum("c").alias("c"))
     w = Window.partitionBy("dimension").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return vc.select("dimension", "v", (F.sum("c").over(w) - (F.col("c") - 1) / 2.0).alias(f"r_{col}"))
+    return vc.select("dimension", F.col("v").alias(col), (F.sum("c").over(w) - (F.col("c") - 1) / 2.0).alias(f"r_{col}"))
 
 
 def agreement(long: DataFrame) -> DataFrame:
-    """One row per dimension with the reference's agreement fields."""
-    rh = _avg_ranks(long, "h").withColumnRenamed("v", "h")
-    rl = _avg_ranks(long, "l").withColumnRenamed("v", "l")
-    x = long.join(rh, ["dimension", "h"]).join(rl, ["dimension", "l"])
+    """One row per dimension with the reference's agreement fields.
+
+    The rows are counted per (dimension, h, l) once; ranks and every statistic
+    come from that table, weighted by the counts.  Rows without both scores
+    are left out."""
+    c = long.where(F.col("h").isNotNull() & F.col("l").isNotNull()).groupBy("dimension", "h", "l").agg(
+        F.count(F.lit(1)).alias("c"))
+    x = c.join(_avg_ranks(c, "h"), ["dimension", "h"]).join(_avg_ranks(c, "l"), ["dimension", "l"])
     th, tl = tier(F.col("h")), tier(F.col("l"))
     close = F.abs(F.col("h") - F.col("l")) <= fixed.ALLCLOSE_ATOL + fixed.ALLCLOSE_RTOL * F.abs(F.col("l"))
+    of = Window.partitionBy("dimension")
+    total = F.sum("c").over(of)
+    mean = lambda v: F.sum(F.col("c") * v).over(of) / total
+    # centred first, so that the sums of squares do not cancel
+    x = x.select("*", total.alias("n"), *[mean(F.col(v)).alias(f"m_{v}") for v in ("h", "l", "r_h", "r_l")])
+    off = {v: F.col(v) - F.col(f"m_{v}") for v in ("h", "l", "r_h", "r_l")}
+    avg = lambda v: F.sum(F.col("c") * v) / F.first("n")
     a = x.groupBy("dimension").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("h").alias("mh"), F.avg("l").alias("ml"),
-        F.stddev_pop("h").alias("sh"), F.stddev_pop("l").alias("sl"),
-        F.covar_pop("h", "l").alias("cov"),
-        F.stddev_pop("r_h").alias("srh"), F.stddev_pop("r_l").alias("srl"),
-        F.covar_pop("r_h", "r_l").alias("rcov"),
+        F.first("n").alias("n"), F.first("m_h").alias("mh"), F.first("m_l").alias("ml"),
+        *[F.sqrt(avg(off[v] * off[v])).alias(n) for v, n in (("h", "sh"), ("l", "sl"), ("r_h", "srh"), ("r_l", "srl"))],
+        avg(off["h"] * off["l"]).alias("cov"), avg(off["r_h"] * off["r_l"]).alias("rcov"),
         F.bool_and(close).alias("allclose"),
-        F.avg(F.abs(F.col("h") - F.col("l"))).alias("mae"),
-        F.avg((F.abs(F.col("h") - F.col("l")) >= fixed.DISAGREEMENT_GAP).cast("double")).alias("disagree"),
-        F.avg((th == tl).cast("double")).alias("po"),
+        avg(F.abs(F.col("h") - F.col("l"))).alias("mae"),
+        avg((F.abs(F.col("h") - F.col("l")) >= fixed.DISAGREEMENT_GAP).cast("double")).alias("disagree"),
+        avg((th == tl).cast("double")).alias("po"),
         F.bool_and(th == tl).alias("same_tiers"),
-        *[F.avg((th == t).cast("double")).alias(f"ph_{i}") for i, t in enumerate(fixed.TIERS)],
-        *[F.avg((tl == t).cast("double")).alias(f"pl_{i}") for i, t in enumerate(fixed.TIERS)],
+        *[avg((th == t).cast("double")).alias(f"ph_{i}") for i, t in enumerate(fixed.TIERS)],
+        *[avg((tl == t).cast("double")).alias(f"pl_{i}") for i, t in enumerate(fixed.TIERS)],
     )
     gate = (F.col("sh") > fixed.MIN_STD) & (F.col("sl") > fixed.MIN_STD) & (F.col("n") >= 3)
     r = F.try_divide(F.col("cov"), F.col("sh") * F.col("sl"))

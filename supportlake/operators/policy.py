@@ -17,6 +17,9 @@ from supportlake import fixed
 from supportlake.functions import text as tx
 
 
+UNKNOWN_CONFIDENCE = 0.5  # of a message that has no classification
+
+
 @dataclass(frozen=True)
 class Policy:
     confidence_threshold: float = fixed.CONFIDENCE_THRESHOLD
@@ -42,7 +45,8 @@ def escalation_decision(message: Column, intent: Column, confidence: Column, sim
     low = F.lower(tx.not_null_text(message))
     kw = tx.first_word_match(low, policy.threat_keywords)
     max_sim = max_similarity(sims)
-    conf = confidence.cast("double")
+    # a message without a classification is not safe to answer
+    conf = F.coalesce(confidence.cast("double"), F.lit(UNKNOWN_CONFIDENCE))
     esc, auto = F.lit(fixed.ESCALATE), F.lit(fixed.AUTO_HANDLE)
     thr = F.lit(f"{policy.confidence_threshold:.2f}")
     min_sim = F.lit(f"{policy.min_evidence_similarity:.2f}")

@@ -35,10 +35,10 @@ def terms(text: Column, stopwords: Sequence[str] = fixed.ENGLISH_STOPWORDS, ngra
     toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), 0)
     if ngram_max < 2:
         return toks
-    n = F.size(toks)
-    bigrams = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1),
-                                         lambda i: F.concat(F.element_at(toks, i), F.lit(" "), F.element_at(toks, i + 1)))
-                     ).otherwise(F.array().cast("array<string>"))
+    # neighbours are zipped: one pass, whatever the document's length (the
+    # longer side's last element has no partner and is dropped)
+    after = F.slice(toks, F.lit(2), F.greatest(F.size(toks), F.lit(1)))
+    bigrams = F.filter(F.zip_with(toks, after, lambda x, y: F.concat(x, F.lit(" "), y)), lambda b: b.isNotNull())
     return F.concat(toks, bigrams)
 
 
@@ -90,7 +90,7 @@ def fit_text_classifier(train: DataFrame, text_col: str, label_col: str, reg_c:
         # summed-loss objective with inverse strength C
         LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="class_weight",
                            regParam=1.0 / (reg_c * max(n, 1)), elasticNetParam=0.0, standardization=False,
-                           maxIter=200, family="multinomial"),
+                           maxIter=200, family="auto")  # two classes: binomial,
     ]
     return Pipeline(stages=stages).fit(data)
 

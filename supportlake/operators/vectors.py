@@ -12,9 +12,9 @@ rows per query leave a task (never all pairs):
 * neither small: hash both sides into blocks and ``cogroup`` each
   (query block, index block) cell; partial top-k per cell, then merge.
 
-Ranking is by similarity rounded to 1e-6 (so equal scores tie the same way
-in every engine), then by document id ascending.  The similarity threshold
-is applied after the top-k, as the reference does.
+Ranking is by similarity (differences below 1e-9, the noise of summation
+order, count as ties), then by document id ascending.  The similarity
+threshold is applied after the top-k, to the unrounded value.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from supportlake.sources.tables import spread
 
-SCALE = 1_000_000          # ranking precision (1e-6)
+SCALE = 1_000_000_000      # similarities closer than 1e-9 count as ties
 DEFAULT_BROADCAST_BYTES = 256 << 20
 BLOCK_ELEMENTS = 8_000_000  # query-rows x index-rows per matmul block
 
@@ -209,9 +209,39 @@ def _ranked(cand: DataFrame, k: int, merge: bool = True) -> DataFrame:
     return out.select("query_id", "doc_id", "similarity", "rank", "_skey")
 
 
+def distinct_topk(queries: DataFrame, index: DataFrame, k: int, *, query_id: str = "query_id",
+                  query_vec: str = "embedding", doc_id: str = "doc_id", doc_vec: str = "embedding",
+                  exclude_self: bool = False, **options) -> DataFrame:
+    """``exact_topk`` for vectors that repeat a lot (short texts, keyword
+    counts): distinct query vectors meet distinct index vectors, then both are
+    expanded.  Exact: a vector ranked below k + 1 others (ties by least id) has
+    k + 1 documents before any of its own, one of which may be the query.  Of
+    the documents of one vector only the k + 1 least ids can be among the best;
+    they are cut by a partial top-k, so a hot vector is no large group."""
+    q, d = _prep(queries, query_id, query_vec), _prep(index, doc_id, doc_vec)
+    own = Window.partitionBy("_vec").orderBy("_id")
+    members = d.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= k + 1)
+    first = members.where("_n = 1").select(F.col("_id").alias("gid"), "_vec")
+    members = members.join(first.select(F.col("gid"), F.col("_vec").alias("_gvec")), F.col("_vec") == F.col("_gvec")).select(
+        "gid", F.col("_id").alias("doc_id"))
+    asked = q.groupBy("_vec").agg(F.min("_id").alias("qid"))
+    best = exact_topk(asked, first, k + 1, query_id="qid", query_vec="_vec", doc_id="gid", doc_vec="_vec", **options)
+    rank = Window.partitionBy("qid").orderBy(F.desc("_skey"), F.asc("doc_id"))
+    found = best.select(F.col("query_id").alias("qid"), F.col("doc_id").alias("gid"), "similarity", "_skey").join(members, "gid")
+    found = found.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= k + 1).select("qid", "doc_id", "similarity", "_skey", "_n")
+    of = q.join(asked.select("qid", F.col("_vec").alias("_avec")), F.col("_vec") == F.col("_avec")).select(F.col("_id").alias("query_id"), "qid")
+    hits = of.join(found, "qid")
+    if exclude_self:
+        hits = hits.where(F.col("query_id") != F.col("doc_id"))
+    # at most k + 1 rows a query, already ranked for its vector
+    hits = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("_n", "doc_id", "similarity", "_skey"))), 1, k).alias("h"))
+    return hits.select("query_id", F.posexplode("h").alias("rank", "x")).select(
+        "query_id", "x.doc_id", "x.similarity", (F.col("rank") + 1).cast("int").alias("rank"), "x._skey")
+
+
 def apply_threshold(topk: DataFrame, threshold: float) -> DataFrame:
     """Similarity floor after the top-k (fewer than k rows may remain)."""
-    return topk.where(F.col("_skey") >= int(round(threshold * SCALE)))
+    return topk.where(F.col("similarity") >= threshold)
 
 
 def evidence(topk: DataFrame, index_meta: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -9,7 +9,10 @@ dialect: RE2 regex without ``(?U)``, ``'g'`` flag for global replace,
 from __future__ import annotations
 
 from supportlake import fixed
-from supportlake.functions.text import ENTITY_CHAIN, PY_WHITESPACE, regex_escape
+from supportlake.functions.text import PY_WHITESPACE, regex_escape
+
+# the references that the fixture rows hold, ``&amp;`` last (the library decodes all of them natively)
+ENTITY_CHAIN = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 from supportlake.taxonomy import keyword_vocabulary, keywords_by_intent
 
 

@@ -37,13 +37,13 @@ mv AS (SELECT id, message, {_norm_sql('v0')} AS v FROM mv0),
 p0 AS (SELECT * FROM (VALUES {protos}) t(proto_ord, intent, txt)),
 pv AS (SELECT proto_ord, intent, {_norm_sql(sq.keyword_vector('txt'))} AS v FROM p0),
 cls0 AS (SELECT m.id, p.intent, list_inner_product(m.v, p.v) AS sim,
-           row_number() OVER (PARTITION BY m.id ORDER BY round(list_inner_product(m.v, p.v), 6) DESC, p.proto_ord) AS rk
+           row_number() OVER (PARTITION BY m.id ORDER BY round(list_inner_product(m.v, p.v), 9) DESC, p.proto_ord) AS rk
          FROM mv m JOIN pv p ON true),
 cls AS (SELECT id, intent, round(greatest(0.0, least(1.0, (sim + 1) / 2)), 4) AS confidence FROM cls0 WHERE rk = 1),
 ret0 AS (SELECT q.id, d.id AS doc_id, list_inner_product(q.v, d.v) AS sim FROM mv q JOIN mv d ON q.id <> d.id),
 ret AS (SELECT id, max(round(sim, 4)) AS max_sim, count(*) AS n_evidence FROM (
-          SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 6) DESC, doc_id) AS rk FROM ret0)
-        WHERE rk <= {k} AND round(sim, 6) >= {thr} GROUP BY id),
+          SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 9) DESC, doc_id) AS rk FROM ret0)
+        WHERE rk <= {k} AND sim >= {thr} GROUP BY id),
 dec0 AS (SELECT m.id, m.message, c.intent, c.confidence, coalesce(r.max_sim, 0.0) AS max_sim,
                 coalesce(r.n_evidence, 0) AS n_evidence
          FROM mv m JOIN cls c USING (id) LEFT JOIN ret r USING (id)),

@@ -25,14 +25,14 @@ e AS (SELECT vec_id, label, list_transform(v0, lambda x: x / sqrt(list_sum(list_
 TOPK_SQL = f"""{EMB_CTE},
 s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_inner_product(q.v, d.v) AS sim
       FROM e q JOIN e d ON q.vec_id <> d.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, doc_id) AS rank FROM s)"""
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, doc_id) AS rank FROM s)"""
 
 PROTO_SQL = f"""{EMB_CTE},
 p0 AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM e),
 p AS (SELECT label AS proto_label, v, row_number() OVER (ORDER BY label, vec_id) AS proto_ord
       FROM p0 WHERE rn <= {PROTOTYPES_PER_LABEL}),
 s AS (SELECT e.vec_id, e.label, p.proto_label, p.proto_ord, list_inner_product(e.v, p.v) AS sim FROM e JOIN p ON true),
-r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 6) DESC, proto_ord) AS rk FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, proto_ord) AS rk FROM s),
 pred AS (SELECT vec_id, CAST(label AS VARCHAR) AS y_true, CAST(proto_label AS VARCHAR) AS y_pred,
                 round(greatest(0.0, least(1.0, (sim + 1) / 2)), 4) AS confidence FROM r WHERE rk = 1)"""
 
@@ -76,7 +76,7 @@ def q_vector_topk(spark, sf_dir):
 
 @query("evidence_threshold", f"""WITH {TOPK_SQL}
 SELECT query_id, count(*) AS n_hits, round(max(sim), 4) AS max_similarity FROM r
-WHERE rank <= {TOP_K} AND round(sim, 6) >= {EVIDENCE_THRESHOLD} GROUP BY query_id""")
+WHERE rank <= {TOP_K} AND sim >= {EVIDENCE_THRESHOLD} GROUP BY query_id""")
 def q_evidence_threshold(spark, sf_dir):
     t = vectors.apply_threshold(self_topk(spark, sf_dir), EVIDENCE_THRESHOLD)
     return t.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"),

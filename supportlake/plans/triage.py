@@ -33,7 +33,7 @@ def prototype_index(spark: SparkSession) -> DataFrame:
 def classify_by_prototypes(msgs: DataFrame, protos: DataFrame, id_col: str = "id",
                            vec_col: str = "embedding") -> DataFrame:
     """(id, intent, confidence): nearest anchor, first anchor wins ties."""
-    best = vectors.exact_topk(msgs, protos, 1, query_id=id_col, query_vec=vec_col, doc_id="proto_ord")
+    best = vectors.distinct_topk(msgs, protos, 1, query_id=id_col, query_vec=vec_col, doc_id="proto_ord")
     names = F.broadcast(protos.select(F.col("proto_ord").alias("doc_id"), "intent"))
     return best.join(names, "doc_id").select(
         F.col("query_id").alias(id_col), "intent",
@@ -55,9 +55,11 @@ def history_index(pairs: DataFrame, write: bool = True) -> DataFrame:
 
 def retrieve(msgs: DataFrame, index: DataFrame, k: int = fixed.RETRIEVAL_TOP_K,
              threshold: float = fixed.RETRIEVAL_SIMILARITY_THRESHOLD, id_col: str = "id",
-             exclude_same_id: bool = False) -> DataFrame:
+             exclude_same_id: bool = False, exclude_ids: DataFrame | None = None) -> DataFrame:
     """(id, evidence ARRAY<STRUCT>) for messages with at least one hit."""
-    top = vectors.exact_topk(msgs, index, k, query_id=id_col, doc_id="doc_id", exclude_self=exclude_same_id)
+    if exclude_ids is not None:  # (doc_id): rows that must not serve as evidence
+        index = index.join(exclude_ids.select("doc_id"), "doc_id", "left_anti")
+    top = vectors.distinct_topk(msgs, index, k, query_id=id_col, doc_id="doc_id", exclude_self=exclude_same_id)
     top = vectors.apply_threshold(top, threshold)
     meta = index.drop("embedding")
     return vectors.evidence(top, meta).withColumnRenamed("query_id", id_col)

@@ -25,7 +25,7 @@ RAW_TWEET_SCHEMA = T.StructType([
     T.StructField("created_at", T.StringType()),
     T.StructField("text", T.StringType()),
     T.StructField("response_tweet_id", T.StringType()),
-    T.StructField("in_response_to_tweet_id", T.DoubleType()),
+    T.StructField("in_response_to_tweet_id", T.StringType()),
 ])
 
 HUMAN_VALIDATION_SCHEMA = T.StructType(
@@ -58,14 +58,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) ->
     return spread(df) if balance else df
 
 
-def read_raw_tweets_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw tweet export (quoted, multi-line text).  The parent id arrives as a
-    float-looking string (``1234.0``), so it goes through DOUBLE to BIGINT."""
-    df = (spark.read.schema(RAW_TWEET_SCHEMA).option("header", True).option("multiLine", True)
+def read_raw_tweets_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Raw tweet export.  ``multi_line`` is for files whose quoted texts hold
+    line breaks (each file is then one task).  The parent id arrives as a
+    float-looking string (``1234.0``); it goes through DECIMAL to BIGINT, so
+    no digit of a long id is lost."""
+    df = (spark.read.schema(RAW_TWEET_SCHEMA).option("header", True).option("multiLine", multi_line)
           .option("escape", '"').csv(path))
     return df.select(
         "tweet_id", "author_id", "inbound", "created_at", "text",
-        F.col("in_response_to_tweet_id").cast("bigint").alias("in_response_to_tweet_id"),
+        F.col("in_response_to_tweet_id").try_cast("decimal(38,6)").try_cast("bigint").alias("in_response_to_tweet_id"),
     )
 
 
