@@ -11,8 +11,10 @@ from __future__ import annotations
 from supportlake import fixed
 from supportlake.functions.text import PY_WHITESPACE, regex_escape
 
-# the references that the fixture rows hold, ``&amp;`` last (the library decodes all of them natively)
-ENTITY_CHAIN = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+# the references that the tables and fixture rows hold, each also without its
+# semicolon; ``&amp`` last (the library decodes all HTML references natively)
+ENTITY_CHAIN = [("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "'"), ("&copy;?", "\xa9"),
+                ("&middot;?", "\xb7"), ("&amp;?", "&")]
 from supportlake.taxonomy import keyword_vocabulary, keywords_by_intent
 
 
@@ -35,7 +37,7 @@ def py_pattern(p: str) -> str:
 def clean(x: str, brand: bool) -> str:
     t = nn(x)
     for ent, ch in ENTITY_CHAIN:
-        t = f"replace({t}, {lit(ent)}, {lit(ch)})"
+        t = f"regexp_replace({t}, {lit(ent)}, {lit(ch)}, 'g')"
     t = f"replace({t}, {lit(fixed.REPLACEMENT_CHAR)}, {lit(fixed.REPLACEMENT_CHAR_SUB)})"
     if brand:
         t = f"regexp_replace({t}, {lit(py_pattern(fixed.SIGNATURE_PATTERN))}, '')"
