@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from supportlake import fixed
 from supportlake.operators import classify, golden, labels, metrics, pairs, tfidf
 from supportlake.plans import oracle as sq
+from supportlake.plans import triage
 from supportlake.plans.queries import corpus
 from supportlake.plans.registry import query
 from supportlake.session import cut_lineage
@@ -85,8 +86,9 @@ def q_linear_probe(spark, sf_dir):
 
 @query("system_comparison")
 def q_system_comparison(spark, sf_dir):
-    """Majority baseline vs TF-IDF heads on the golden set: intent summary and
-    escalation metrics per system (one grouped aggregation each)."""
+    """Majority baseline, TF-IDF heads and the triage agent on the golden set:
+    intent summary and escalation metrics per system (one grouped aggregation
+    each).  The agent's history leaves the golden pairs out."""
     train, g = _train_and_golden(spark, sf_dir)
     maj = classify.fit_majority(train, "weak_intent", "true_action", order_col="brand_tweet_id")
     pm = classify.predict_majority(g.select("eval_id", "true_intent", "true_action"), maj).select(
@@ -101,7 +103,13 @@ def q_system_comparison(spark, sf_dir):
         "eval_id", F.col("pred_label").alias("pred_action"))
     pt = pi.join(pa, "eval_id").select(F.lit("tfidf_logistic_regression").alias("system"), "eval_id", "true_intent",
                                        "true_action", "pred_intent", "pred_action")
-    long = pm.unionByName(pt)
+    msgs = g.select(F.col("brand_tweet_id").alias("id"), F.col("customer_text").alias("message"))
+    history = triage.history_index(pairs.without_ids(corpus(spark, sf_dir), g))
+    agent = triage.triage(msgs, history, triage.prototype_index(spark)).select("id", "intent", "action")
+    pg = g.join(agent, g["brand_tweet_id"] == agent["id"]).select(
+        F.lit("support_agent").alias("system"), "eval_id", "true_intent", "true_action",
+        F.col("intent").alias("pred_intent"), F.col("action").alias("pred_action"))
+    long = pm.unionByName(pt).unionByName(pg)
     summ = metrics.intent_summary(metrics.pair_counts(long, "true_intent", "pred_intent", ["system"]), ["system"])
     esc = metrics.escalation_metrics(long, "true_action", "pred_action", ["system"]).withColumnRenamed(
         "accuracy", "action_accuracy")

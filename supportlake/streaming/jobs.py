@@ -2,8 +2,8 @@
 
 Every job reads a file stream (parquet, fixed schema), derives tweets with
 the same Columns as the batch code, and writes append-mode output with its
-own checkpoint in the shared checkpoint folder, so a restarted job resumes
-exactly where it stopped.
+own checkpoint in the shared checkpoint folder; a job that is given its old
+folder (``root``) resumes exactly where it stopped.
 
 * J1 ``triage_stream``: stateless triage per micro-batch (``foreachBatch``)
   against a static history index.
@@ -58,9 +58,11 @@ def _tweets_with_time(events: DataFrame) -> DataFrame:
     return tweet_view(events, keep_time=True)
 
 
-def _run(df: DataFrame, name: str, mode: str = "append", foreach=None) -> str:
+def _run(df: DataFrame, name: str, mode: str = "append", foreach=None, root: str | None = None) -> str:
+    """Run to the end of the input; returns the output folder.  A job that is
+    given the same ``root`` again resumes from its checkpoint there."""
     spark = df.sparkSession
-    root = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+    root = root or os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
     out, ckpt = os.path.join(root, "out"), os.path.join(root, "checkpoint")
     w = df.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
     if foreach is not None:
@@ -128,7 +130,7 @@ def reply_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_run(out, "reply_pairs"))
 
 
-def triage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def triage_stream(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
     """J1: triage every incoming customer message per micro-batch against the
     static history index (pairs of the batch table)."""
     from supportlake.operators.pairs import conversation_pairs
@@ -148,8 +150,9 @@ def triage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         try:
             res = tr.triage(bdf, history, protos, write_inputs=False)
             res.select("id", "intent", "confidence", "action", "reason", "reply",
-                       F.size("evidence").alias("n_evidence")).write.mode("append").parquet(out)
+                       F.size("evidence").alias("n_evidence")).write.mode("overwrite").parquet(
+                os.path.join(out, f"batch={batch_id}"))  # a replayed batch replaces its rows
         finally:
             bdf.unpersist()
 
-    return spark.read.parquet(_run(msgs, "triage_stream", foreach=per_batch))
+    return spark.read.parquet(_run(msgs, "triage_stream", foreach=per_batch, root=root)).drop("batch")

@@ -67,3 +67,18 @@ def test_sinks_and_csv_ids(spark, tmp_path):
     assert sinks.load_index(spark, str(tmp_path / "i")).count() == 2
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         sinks.load_index(spark, str(tmp_path / "none"))
+
+
+def test_a_restarted_triage_job_adds_no_rows(spark, sf_small, tmp_path):
+    from supportlake.streaming import jobs
+
+    first = jobs.triage_stream(spark, sf_small, str(tmp_path / "job")).collect()
+    again = jobs.triage_stream(spark, sf_small, str(tmp_path / "job")).collect()
+    assert len(first) and sorted(map(str, first)) == sorted(map(str, again)) and len({r["id"] for r in first}) == len(first)
+
+
+def test_three_systems_are_compared(spark, sf_small):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["system_comparison"](spark, sf_small).collect()
+    assert {r["system"] for r in rows} == {"majority_baseline", "tfidf_logistic_regression", "support_agent"}
