@@ -75,7 +75,8 @@ def intent_summary(counts: DataFrame, group_cols: Sequence[str] = ()) -> DataFra
 
 
 def report_with_averages(counts: DataFrame, labels: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
-    """Per-label rows plus 'macro avg' and 'weighted avg' rows over ``labels``."""
+    """Per-label rows plus 'macro avg', 'weighted avg' and 'accuracy' rows over
+    ``labels`` (accuracy is the support-weighted recall, in all three columns)."""
     g = list(group_cols)
     pcl = per_class(counts, labels, g)
     macro = pcl.groupBy(*g).agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
@@ -85,7 +86,10 @@ def report_with_averages(counts: DataFrame, labels: Sequence[str], group_cols: S
         *[_div0(F.sum(F.col(m) * F.col("support")), F.sum("support")).alias(m) for m in ("precision", "recall", "f1")],
         F.sum("support").alias("support")).withColumn("label", F.lit("weighted avg"))
     cols = [*g, "label", "precision", "recall", "f1", "support"]
-    out = pcl.select(*cols).unionByName(macro.select(*cols)).unionByName(weighted.select(*cols))
+    accuracy = weighted.select(*g, F.lit("accuracy").alias("label"), *[F.col("recall").alias(m) for m in ("precision", "recall", "f1")],
+                               "support")
+    out = (pcl.select(*cols).unionByName(macro.select(*cols)).unionByName(weighted.select(*cols))
+           .unionByName(accuracy.select(*cols)))
     return out.select(*g, "label", *[F.round(m, 6).alias(m) for m in ("precision", "recall", "f1")],
                       F.col("support").cast("long").alias("support"))
 

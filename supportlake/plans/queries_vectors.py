@@ -111,7 +111,8 @@ m AS (SELECT label,
 u AS (SELECT label, precision, recall, f1, support FROM m
       UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM m
       UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-                       sum(f1 * support) / sum(support), sum(support) FROM m)
+                       sum(f1 * support) / sum(support), sum(support) FROM m
+      UNION ALL SELECT 'accuracy', sum(tp) / sum(support), sum(tp) / sum(support), sum(tp) / sum(support), sum(support) FROM pcl)
 SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
        CAST(support AS BIGINT) AS support FROM u""")
 def q_intent_report(spark, sf_dir):
