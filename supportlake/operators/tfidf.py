@@ -1,19 +1,22 @@
 """TF-IDF features (uni+bigrams, sublinear tf, smooth idf, L2 norm) and the
 logistic-regression heads trained on them.
 
-Weights are computed with DataFrame operations (explode -> term counts ->
-document frequency -> top-N vocabulary -> weights -> per-document norm), so
-every step is a partial/final aggregation or a narrow map.  The ML heads use
-Spark ML with balanced class weights.
+``tfidf_weights`` gives the weights as rows (term counts -> document frequency
+-> vocabulary -> weights -> per-document norm), every step a partial/final
+aggregation or a narrow map.  The ML heads need vectors: their vocabulary comes
+from one aggregation over the terms, and everything after it is row-wise (Spark
+ML transformers and Column functions), with balanced class weights.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from supportlake import fixed
 from supportlake.session import cut_lineage
@@ -21,7 +24,15 @@ from supportlake.session import cut_lineage
 # maximal runs of >= 2 word characters (Python's \b\w\w+\b); the explicit
 # class reads the same in Java and RE2
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-MAX_FEATURES = 5000
+BROADCAST_TERMS = 200_000     # a vocabulary stated to be no larger is broadcast
+
+
+def english_stopwords() -> list[str]:
+    """Spark's own English list (the default of the features here; the short
+    list in ``fixed`` belongs to the language test)."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return StopWordsRemover.loadDefaultStopWords("english")
 
 
 def terms(text: Column, stopwords: Sequence[str] = fixed.ENGLISH_STOPWORDS, ngram_max: int = 2) -> Column:
@@ -42,22 +53,35 @@ def terms(text: Column, stopwords: Sequence[str] = fixed.ENGLISH_STOPWORDS, ngra
     return F.concat(toks, bigrams)
 
 
-def tfidf_weights(docs: DataFrame, id_cols: Sequence[str], text_col: str,
-                  stopwords: Sequence[str] = fixed.ENGLISH_STOPWORDS, max_features: int = MAX_FEATURES) -> DataFrame:
-    """(id..., term, tf, df, idf, weight) for vocabulary terms."""
+def smooth_idf(df: Column, n_docs: Column) -> Column:
+    return F.log((1.0 + n_docs) / (1.0 + df)) + 1.0
+
+
+def sublinear(tf: Column) -> Column:
+    return 1.0 + F.log(tf)
+
+
+def tfidf_weights(docs: DataFrame, id_cols: Sequence[str], text_col: str, stopwords: Sequence[str] | None = None,
+                  max_features: int | None = None) -> DataFrame:
+    """(id..., term, tf, df, idf, weight) of the vocabulary's terms: all terms,
+    or the ``max_features`` most frequent (ties by term)."""
     ids = list(id_cols)
+    stopwords = english_stopwords() if stopwords is None else stopwords
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     tf = docs.select(*ids, F.explode(terms(F.col(text_col), stopwords)).alias("term")).groupBy(*ids, "term").agg(
         F.count(F.lit(1)).alias("tf"))
     # tf feeds both the vocabulary and the weights: write it once instead of
     # tokenising the corpus twice
     tf = cut_lineage(tf)
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    # top-N by corpus frequency: TakeOrderedAndProject keeps N rows per task
-    vocab = stats.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
+    vocab = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    if max_features is not None:
+        # top-N by corpus frequency: TakeOrderedAndProject keeps N rows per task
+        vocab = vocab.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
     vocab = vocab.withColumn("_one", F.lit(1)).join(F.broadcast(n_docs.withColumn("_one", F.lit(1))), "_one")
-    vocab = vocab.select("term", "df", (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    w = tf.join(F.broadcast(vocab), "term").withColumn("raw", (1.0 + F.log(F.col("tf"))) * F.col("idf"))
+    vocab = vocab.select("term", "df", smooth_idf(F.col("df"), F.col("n_docs")).alias("idf"))
+    if max_features is not None and max_features <= BROADCAST_TERMS:
+        vocab = F.broadcast(vocab)
+    w = tf.join(vocab, "term").withColumn("raw", sublinear(F.col("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*ids)))
     return w.select(*ids, "term", "tf", "df", "idf", (F.col("raw") / norm).alias("weight"))
 
@@ -71,39 +95,115 @@ def balanced_weights(df: DataFrame, label_col: str, out: str = "class_weight") -
     return df.join(F.broadcast(cw), label_col)
 
 
+_RAW_VECTOR = "v struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+
+
+def vector_fields(vector: Column) -> Column:
+    """struct(type, size, indices, values) of an ML vector."""
+    return F.from_json(F.to_json(F.struct(vector.alias("v"))), _RAW_VECTOR)["v"]
+
+
+def _sublinear_vector(counts: Column) -> Column:
+    """Sparse counts to sparse ``1 + ln(tf)``, in the JVM (Spark ML has no
+    transformer for it; JSON carries a vector's fields both ways exactly)."""
+    from pyspark.ml.linalg import VectorUDT
+
+    raw = vector_fields(counts)
+    new = F.struct(raw["type"].alias("type"), raw["size"].alias("size"), raw["indices"].alias("indices"),
+                   F.transform(raw["values"], sublinear).alias("values"))
+    return F.from_json(F.to_json(F.struct(new.alias("v"))), T.StructType([T.StructField("v", VectorUDT())]))["v"]
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """The terms of the features, most frequent first, and their idf.  Both are
+    on the driver: ``max_features`` bounds them."""
+    terms: list[str]
+    idf: list[float]
+    stopwords: list[str]
+
+    def features(self, df: DataFrame, text_col: str, out: str = "_features") -> DataFrame:
+        """``df`` with the unit TF-IDF vector of every text, row by row (a text
+        without a known term has the zero vector)."""
+        from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+        from pyspark.ml.linalg import Vectors
+
+        if not self.terms:
+            raise ValueError("no terms: the training texts are empty")
+        counts = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_terms", outputCol="_tf")
+        tf = counts.transform(df.withColumn("_terms", terms(F.col(text_col), self.stopwords)))
+        tf = tf.withColumn("_tf", _sublinear_vector(F.col("_tf")))
+        scaled = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_tfidf").transform(tf)
+        return Normalizer(inputCol="_tfidf", outputCol=out, p=2.0).transform(scaled).drop("_terms", "_tf", "_tfidf")
+
+
+def fit_vocabulary(docs: DataFrame, text_col: str, max_features: int, stopwords: Sequence[str] | None = None) -> Vocabulary:
+    """Counts and document counts of all terms in one aggregation, then the
+    ``max_features`` most frequent (ties by term)."""
+    stopwords = list(english_stopwords() if stopwords is None else stopwords)
+    toks = docs.select(terms(F.col(text_col), stopwords).alias("t"))
+    each = F.transform("t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    once = F.transform(F.array_distinct("t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    stats = toks.select(F.explode(F.concat(each, once)).alias("x")).groupBy("x.term").agg(
+        F.sum("x.tf").alias("total"), F.sum("x.df").alias("df"))
+    top = stats.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
+    rows = top.withColumn("idf", smooth_idf(F.col("df"), F.lit(docs.count()))).collect()
+    rows.sort(key=lambda r: (-r["total"], r["term"]))
+    return Vocabulary([r["term"] for r in rows], [r["idf"] for r in rows], stopwords)
+
+
+@dataclass(frozen=True)
+class TextClassifier:
+    vocabulary: Vocabulary
+    head: object                 # PipelineModel: label index, logistic regression
+
+    @property
+    def labels(self) -> list[str]:
+        return self.head.stages[0].labels
+
+    def save(self, spark, path: str) -> None:
+        v = self.vocabulary
+        spark.createDataFrame([(v.terms, v.idf, v.stopwords)], "terms array<string>, idf array<double>, stopwords array<string>"
+                              ).write.mode("overwrite").parquet(f"{path}/vocabulary")
+        self.head.write().overwrite().save(f"{path}/head")
+
+    @classmethod
+    def load(cls, spark, path: str) -> TextClassifier:
+        from pyspark.ml import PipelineModel
+
+        v = spark.read.parquet(f"{path}/vocabulary").first()
+        return cls(Vocabulary(list(v["terms"]), list(v["idf"]), list(v["stopwords"])), PipelineModel.load(f"{path}/head"))
+
+
 def fit_text_classifier(train: DataFrame, text_col: str, label_col: str, reg_c: float = 1.0,
-                        stopwords: Sequence[str] = fixed.ENGLISH_STOPWORDS, max_features: int = MAX_FEATURES):
-    """TF-IDF (CountVectorizer vocabulary by frequency) + weighted multinomial
-    logistic regression.  Returns a fitted PipelineModel."""
+                        stopwords: Sequence[str] | None = None,
+                        max_features: int = fixed.TFIDF_MAX_FEATURES) -> TextClassifier:
+    """TF-IDF features and a class-balanced logistic regression: binomial for
+    two labels, multinomial for more."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer
+    from pyspark.ml.feature import StringIndexer
 
-    data = balanced_weights(train.withColumn("_terms", terms(F.col(text_col), stopwords)), label_col)
+    vocabulary = fit_vocabulary(train, text_col, max_features, stopwords)
+    data = cut_lineage(balanced_weights(vocabulary.features(train.select(text_col, label_col), text_col), label_col))
     n = data.count()
     stages = [
         StringIndexer(inputCol=label_col, outputCol="_label", stringOrderType="alphabetAsc"),
-        CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_features", p=2.0),
         # Spark minimises the mean loss: regParam = 1 / (C * n) matches a
         # summed-loss objective with inverse strength C
         LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="class_weight",
                            regParam=1.0 / (reg_c * max(n, 1)), elasticNetParam=0.0, standardization=False,
-                           maxIter=200, family="auto")  # two classes: binomial,
+                           maxIter=200, family="auto"),
     ]
-    return Pipeline(stages=stages).fit(data)
+    return TextClassifier(vocabulary, Pipeline(stages=stages).fit(data))
 
 
-def predict_text_classifier(model, df: DataFrame, text_col: str,
-                            stopwords: Sequence[str] = fixed.ENGLISH_STOPWORDS) -> DataFrame:
+def predict_text_classifier(model: TextClassifier, df: DataFrame, text_col: str) -> DataFrame:
     """Adds pred_label and pred_confidence (probability of the predicted class)."""
     from pyspark.ml.functions import vector_to_array
 
-    labels = model.stages[0].labels
-    out = model.transform(df.withColumn("_terms", terms(F.col(text_col), stopwords)).withColumn(
-        "class_weight", F.lit(1.0)))
-    names = F.array(*[F.lit(x) for x in labels])
+    out = model.head.stages[1].transform(model.vocabulary.features(df, text_col))
+    names = F.array(*[F.lit(x) for x in model.labels])
     probs = vector_to_array(F.col("probability"))
     return out.select(
         *df.columns,

@@ -9,37 +9,70 @@ from supportlake import fixed
 from supportlake.operators import classify, golden, labels, metrics, pairs, tfidf
 from supportlake.plans import oracle as sq
 from supportlake.plans import triage
-from supportlake.plans.queries import corpus
+from supportlake.plans.queries import _labelled_cte, _pairs_cte, corpus
 from supportlake.plans.registry import query
 from supportlake.session import cut_lineage
 from supportlake.sources.tables import table
 
 
-def _tfidf_sql() -> str:
+def _tfidf_cte(source: str = "conversations", ids: str = "conv_id, turn") -> str:
     stop = sq.str_list(fixed.ENGLISH_STOPWORDS)
-    return f"""WITH d AS (
-  SELECT conv_id, turn, list_filter(regexp_extract_all(lower(coalesce(text, '')), {sq.lit(tfidf.TOKEN_PATTERN)}),
-                                    lambda t: NOT list_contains({stop}, t)) AS toks FROM conversations),
-t AS (SELECT conv_id, turn, unnest(list_concat(toks, CASE WHEN len(toks) >= 2 THEN
+    return f"""d AS (
+  SELECT {ids}, list_filter(regexp_extract_all(lower(coalesce(text, '')), {sq.lit(tfidf.TOKEN_PATTERN)}),
+                                    lambda t: NOT list_contains({stop}, t)) AS toks FROM {source}),
+t AS (SELECT {ids}, unnest(list_concat(toks, CASE WHEN len(toks) >= 2 THEN
         list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]) ELSE []::VARCHAR[] END)) AS term
       FROM d),
-tf AS (SELECT conv_id, turn, term, count(*) AS tf FROM t GROUP BY ALL),
+tf AS (SELECT {ids}, term, count(*) AS tf FROM t GROUP BY ALL),
 st AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term),
-v AS (SELECT term, df, ln((1.0 + (SELECT count(*) FROM conversations)) / (1.0 + df)) + 1.0 AS idf
-      FROM st ORDER BY total DESC, term LIMIT {tfidf.MAX_FEATURES}),
-w AS (SELECT tf.conv_id, tf.turn, tf.term, tf.tf, v.df, v.idf, (1.0 + ln(tf.tf)) * v.idf AS raw FROM tf JOIN v USING (term))
-SELECT conv_id, turn, term, tf, df, round(idf, 6) AS idf,
-       round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY conv_id, turn)), 6) AS weight FROM w"""
+v AS (SELECT term, df, ln((1.0 + (SELECT count(*) FROM {source})) / (1.0 + df)) + 1.0 AS idf
+      FROM st ORDER BY total DESC, term LIMIT {fixed.TFIDF_MAX_FEATURES}),
+w AS (SELECT tf.*, v.df, v.idf, (1.0 + ln(tf.tf)) * v.idf AS raw FROM tf JOIN v USING (term)),
+weights AS (SELECT {ids}, term, tf, df, round(idf, 6) AS idf,
+       round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY {ids})), 6) AS weight FROM w)"""
 
 
-@query("tfidf_weights", _tfidf_sql)
+@query("tfidf_weights", lambda: f"WITH {_tfidf_cte()} SELECT * FROM weights")
 def q_tfidf_weights(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    w = tfidf.tfidf_weights(c, ["conv_id", "turn"], "text")
+    w = tfidf.tfidf_weights(c, ["conv_id", "turn"], "text", fixed.ENGLISH_STOPWORDS, fixed.TFIDF_MAX_FEATURES)
     return w.select("conv_id", "turn", "term", "tf", "df", F.round("idf", 6).alias("idf"),
                     F.round("weight", 6).alias("weight"))
 
 
+@query("tfidf_vectors", lambda: f"WITH {_tfidf_cte()} SELECT conv_id, turn, term, weight FROM weights")
+def q_tfidf_vectors(spark, sf_dir):
+    """The classifier's feature vectors, one row per entry."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    vocab = tfidf.fit_vocabulary(c, "text", fixed.TFIDF_MAX_FEATURES, fixed.ENGLISH_STOPWORDS)
+    raw = vocab.features(c, "text").select("conv_id", "turn", tfidf.vector_fields(F.col("_features")).alias("f"))
+    entries = raw.select("conv_id", "turn", F.explode(F.arrays_zip("f.indices", "f.values")).alias("e"))
+    names = spark.createDataFrame(list(enumerate(vocab.terms)), "i int, term string")
+    return entries.join(F.broadcast(names), entries["e.indices"] == names["i"]).select(
+        "conv_id", "turn", "term", F.round("e.values", 6).alias("weight"))
+
+
+@query("tfidf_documents", lambda: f"""WITH {_tfidf_cte("documents", "doc_id")}
+SELECT doc_id, count(*) AS n_terms, round(sum(weight * weight), 6) AS squares, round(max(weight), 6) AS top_weight
+FROM weights GROUP BY doc_id""")
+def q_tfidf_documents(spark, sf_dir):
+    """Weights of whole documents (up to 20,000 words), summed up per document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    w = tfidf.tfidf_weights(d, ["doc_id"], "text", fixed.ENGLISH_STOPWORDS, fixed.TFIDF_MAX_FEATURES)
+    w = w.withColumn("weight", F.round("weight", 6))
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("squares"),
+                                   F.round(F.max("weight"), 6).alias("top_weight"))
+
+
+@query("class_weights", lambda: f"""WITH {_pairs_cte()}, {_labelled_cte('pairs')},
+c AS (SELECT weak_intent, count(*) AS n FROM lab GROUP BY 1)
+SELECT weak_intent, n, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS class_weight FROM c""")
+def q_class_weights(spark, sf_dir):
+    """Balanced weight of every intent's rows."""
+    w = tfidf.balanced_weights(labels.weak_labels(corpus(spark, sf_dir)).select("weak_intent"), "weak_intent")
+    return w.groupBy("weak_intent").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("class_weight"), 6).alias("class_weight"))
+
+
 def _train_and_golden(spark, sf_dir):
     c = corpus(spark, sf_dir)
     # both tables feed several ML passes: write them once to the shared
@@ -65,21 +98,23 @@ def q_tfidf_logreg(spark, sf_dir):
 
 @query("linear_probe")
 def q_linear_probe(spark, sf_dir):
-    """Weighted logistic probe (C = 1.5) on unit embeddings, label + probability."""
+    """Weighted logistic probe (C = 1.5) on unit embeddings, label + probability.
+    It learns from the rows whose crc32(vec_id) mod 5 is not 0 and predicts all;
+    ``held_out`` marks the others."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     e = table(spark, sf_dir, "embeddings")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x * x))
     data = e.select("vec_id", F.col("label").cast("double").alias("label"),
+                    (F.crc32(F.col("vec_id").cast("string")) % 5 == 0).alias("held_out"),
                     array_to_vector(F.transform("embedding", lambda x: x / norm)).alias("features"))
-    data = tfidf.balanced_weights(data, "label")
-    n = data.count()
+    train = tfidf.balanced_weights(data.where("NOT held_out"), "label")
+    n = train.count()
     lr = LogisticRegression(weightCol="class_weight", regParam=1.0 / (1.5 * max(n, 1)), standardization=False,
                             maxIter=200, family="multinomial")
-    model = lr.fit(data)
-    out = model.transform(data)
-    return out.select("vec_id", F.col("label").cast("int").alias("true_label"),
+    out = lr.fit(train).transform(data)
+    return out.select("vec_id", "held_out", F.col("label").cast("int").alias("true_label"),
                       F.col("prediction").cast("int").alias("pred_label"),
                       F.round(F.array_max(vector_to_array("probability")), 4).alias("confidence"))
 

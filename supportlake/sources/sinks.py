@@ -22,6 +22,7 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def save_model(model, path: str) -> None:
+    """A fitted Spark ML pipeline (text classifiers have their own ``save``)."""
     model.write().overwrite().save(path)
 
 
