@@ -8,17 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from supportlake import fixed
 from supportlake.functions import text as tx
 
 SCORE_FIELDS = fixed.JUDGE_DIMENSIONS + ["average_score"]
 
-JUDGE_JSON_SCHEMA = T.StructType(
-    [T.StructField(d, T.DoubleType()) for d in fixed.JUDGE_DIMENSIONS] + [T.StructField("reasoning", T.StringType())])
-
-
 def rubric(action: Column, reply: Column, evidence_text: Column) -> Column:
     """struct(correctness, groundedness, helpfulness, brand_consistency, safety,
     average_score, reasoning)."""
@@ -54,18 +49,52 @@ def rubric(action: Column, reply: Column, evidence_text: Column) -> Column:
         s.alias("safety"), F.round((c + g + h + b + s) / 5.0, 2).alias("average_score"), reasoning.alias("reasoning"))
 
 
+def _answer(raw: Column) -> tuple[Column, dict[str, Column]]:
+    """The answer's fields as text (null if it is no JSON object) and its scores
+    as numbers (null if missing or no number)."""
+    fields = F.from_json(raw, "map<string, string>")
+    return fields, {d: F.get(F.array(fields[d]), F.lit(0)).try_cast("double") for d in fixed.JUDGE_DIMENSIONS}
+
+
+def reject_reason(raw: Column) -> Column:
+    """Why a judge's answer does not count; null if it does."""
+    fields, scores = _answer(raw)
+
+    def those(bad) -> Column:
+        return F.concat_ws(", ", *[F.when(bad(c), F.lit(d)) for d, c in scores.items()])
+
+    absent = those(lambda c: c.isNull())
+    outside = those(lambda c: ~c.between(1.0, 5.0))
+    return (F.when(fields.isNull(), F.lit("not a JSON object"))
+            .when(absent != "", F.concat(F.lit("not a number: "), absent))
+            .when(outside != "", F.concat(F.lit("out of range: "), outside)))
+
+
 def parse_judge_json(raw: Column) -> Column:
     """Typed scores from a judge's JSON answer; null when unparseable or out
-    of the 1..5 range (the caller then falls back to ``rubric``)."""
-    p = F.from_json(raw, JUDGE_JSON_SCHEMA)
-    ok = F.lit(True)
-    for d in fixed.JUDGE_DIMENSIONS:
-        ok = ok & p.getField(d).between(1.0, 5.0)
-    total = sum((p.getField(d) for d in fixed.JUDGE_DIMENSIONS[1:]), p.getField(fixed.JUDGE_DIMENSIONS[0]))
-    return F.when(F.coalesce(ok, F.lit(False)), F.struct(
-        *[p.getField(d).alias(d) for d in fixed.JUDGE_DIMENSIONS],
-        F.round(total / 5.0, 2).alias("average_score"),
-        F.coalesce(p.getField("reasoning"), F.lit("LLM Judge evaluation")).alias("reasoning")))
+    of the 1..5 range (``reject_reason`` says why; ``scored_answers`` falls back
+    to the rubric)."""
+    fields, scores = _answer(raw)
+    cols = list(scores.values())
+    return F.when(reject_reason(raw).isNull(), F.struct(
+        *[c.alias(d) for d, c in scores.items()],
+        F.round(sum(cols[1:], cols[0]) / 5.0, 2).alias("average_score"),
+        F.coalesce(fields["reasoning"], F.lit(fixed.JUDGE_REASONING_DEFAULT)).alias("reasoning")))
+
+
+def scored_answers(df: DataFrame, raw_col: str, fallback: Column) -> DataFrame:
+    """``df`` with ``score``, ``score_source`` (``judge``, or ``rubric`` where the
+    answer was rejected and ``fallback`` stands in) and ``reject_reason``."""
+    raw = F.col(raw_col)
+    return df.withColumn("reject_reason", reject_reason(raw)).withColumn(
+        "score", F.coalesce(parse_judge_json(raw), fallback)).withColumn(
+        "score_source", F.when(F.col("reject_reason").isNull(), F.lit("judge")).otherwise(F.lit("rubric")))
+
+
+def rejected_answers(scored: DataFrame) -> DataFrame:
+    """Side table: the rows of ``scored_answers`` whose answer was rejected, with
+    the answer as it came."""
+    return scored.where(F.col("reject_reason").isNotNull()).drop("score", "score_source")
 
 
 def audit_summary(scored: DataFrame, score_col: str = "score") -> DataFrame:

@@ -136,3 +136,24 @@ def escalation_metrics(df: DataFrame, true_col: str, pred_col: str, group_cols:
         F.round(_div0(fp, tn + fp), 4).alias("false_escalation_rate"),
         "tp", "fp", "tn", "fn",
     )
+
+
+def summary_json(long: DataFrame, labels: Sequence[str], system_col: str = "system") -> DataFrame:
+    """One row ``summary``: {dataset_size, num_intents, systems: {system:
+    {intent: {accuracy, macro_f1, weighted_f1, classification_report},
+    escalation}}} over rows (system, true_intent, pred_intent, true_action,
+    pred_action).  One small row per system is gathered."""
+    counts = pair_counts(long, "true_intent", "pred_intent", [system_col])
+    report = report_with_averages(counts, labels, [system_col])
+    by_label = report.groupBy(system_col).agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct(
+        "precision", "recall", F.col("f1").alias("f1-score"), "support")))).alias("r"))
+    rows = F.struct(*[F.col("r")[x].alias(x) for x in [*labels, "macro avg", "weighted avg"]],
+                    F.col("r")["accuracy"]["recall"].alias("accuracy"))
+    esc = escalation_metrics(long, "true_action", "pred_action", [system_col])
+    esc = esc.select(system_col, F.struct(*[c for c in esc.columns if c != system_col]).alias("escalation"))
+    each = intent_summary(counts, [system_col]).join(by_label, system_col).join(esc, system_col).select(
+        system_col, "n", F.struct(F.struct("accuracy", "macro_f1", "weighted_f1", rows.alias("classification_report")).alias("intent"),
+                                  "escalation").alias("s"))
+    systems = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(system_col).alias("k"), F.col("s").alias("v")))))
+    return each.agg(F.max("n").alias("dataset_size"), systems.alias("systems")).select(F.to_json(F.struct(
+        "dataset_size", F.lit(len(labels)).alias("num_intents"), "systems")).alias("summary"))

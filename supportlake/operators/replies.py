@@ -71,3 +71,9 @@ def generate_with(df: DataFrame, make_generator: Callable[[], Callable[[list[str
             yield pdf.assign(**{out_col: out.astype(str).str.strip()})
 
     return df.mapInPandas(run, schema)
+
+
+def response_json(intent: Column, confidence: Column, reply: Column, action: Column, reason: Column, evidence: Column) -> Column:
+    """The response as one JSON object; missing values stay as null fields."""
+    return F.to_json(F.struct(intent.alias("intent"), confidence.alias("confidence"), reply.alias("reply"), action.alias("action"),
+                              reason.alias("reason"), evidence.alias("evidence")), {"ignoreNullFields": "false"})

@@ -9,7 +9,8 @@ from supportlake import fixed
 from supportlake.operators import classify, golden, labels, metrics, pairs, tfidf
 from supportlake.plans import oracle as sq
 from supportlake.plans import triage
-from supportlake.plans.queries import _labelled_cte, _pairs_cte, corpus
+from supportlake.plans.queries import _golden_cte, _labelled_cte, _pairs_cte, corpus
+from supportlake.plans.queries_pipeline import _decision_cte
 from supportlake.plans.registry import query
 from supportlake.session import cut_lineage
 from supportlake.sources.tables import table
@@ -119,33 +120,111 @@ def q_linear_probe(spark, sf_dir):
                       F.round(F.array_max(vector_to_array("probability")), 4).alias("confidence"))
 
 
-@query("system_comparison")
-def q_system_comparison(spark, sf_dir):
-    """Majority baseline, TF-IDF heads and the triage agent on the golden set:
-    intent summary and escalation metrics per system (one grouped aggregation
-    each).  The agent's history leaves the golden pairs out."""
-    train, g = _train_and_golden(spark, sf_dir)
+_LONG = ("system", "eval_id", "true_intent", "true_action", "pred_intent", "pred_action", "confidence", "reply")
+
+
+def _rule_systems(spark, sf_dir, train, g):
+    """Majority baseline and triage agent on the golden set; the agent's history
+    leaves the golden messages out."""
     maj = classify.fit_majority(train, "weak_intent", "true_action", order_col="brand_tweet_id")
     pm = classify.predict_majority(g.select("eval_id", "true_intent", "true_action"), maj).select(
-        F.lit("majority_baseline").alias("system"), "eval_id", "true_intent", "true_action",
-        F.col("pred_intent"), F.col("pred_action"))
-    m_int = tfidf.fit_text_classifier(train, "customer_text", "weak_intent")
-    m_act = tfidf.fit_text_classifier(train, "customer_text", "true_action")
-    pi = tfidf.predict_text_classifier(m_int, g.select("eval_id", "customer_text", "true_intent", "true_action"),
-                                       "customer_text").select("eval_id", "true_intent", "true_action",
-                                                               F.col("pred_label").alias("pred_intent"))
-    pa = tfidf.predict_text_classifier(m_act, g.select("eval_id", "customer_text"), "customer_text").select(
-        "eval_id", F.col("pred_label").alias("pred_action"))
-    pt = pi.join(pa, "eval_id").select(F.lit("tfidf_logistic_regression").alias("system"), "eval_id", "true_intent",
-                                       "true_action", "pred_intent", "pred_action")
+        F.lit("majority_baseline").alias("system"), "eval_id", "true_intent", "true_action", "pred_intent", "pred_action",
+        F.col("pred_confidence").alias("confidence"), F.lit(None).cast("string").alias("reply"))
     msgs = g.select(F.col("brand_tweet_id").alias("id"), F.col("customer_text").alias("message"))
     history = triage.history_index(pairs.without_ids(corpus(spark, sf_dir), g))
-    agent = triage.triage(msgs, history, triage.prototype_index(spark)).select("id", "intent", "action")
+    agent = triage.triage(msgs, history, triage.prototype_index(spark)).select("id", "intent", "action", "confidence", "reply")
     pg = g.join(agent, g["brand_tweet_id"] == agent["id"]).select(
         F.lit("support_agent").alias("system"), "eval_id", "true_intent", "true_action",
-        F.col("intent").alias("pred_intent"), F.col("action").alias("pred_action"))
-    long = pm.unionByName(pt).unionByName(pg)
+        F.col("intent").alias("pred_intent"), F.col("action").alias("pred_action"), "confidence", "reply")
+    return pm.unionByName(pg)
+
+
+def _learned_system(train, g):
+    m_int = tfidf.fit_text_classifier(train, "customer_text", "weak_intent")
+    m_act = tfidf.fit_text_classifier(train, "customer_text", "true_action")
+    pi = tfidf.predict_text_classifier(m_int, g.select("eval_id", "customer_text", "true_intent", "true_action"), "customer_text")
+    pa = tfidf.predict_text_classifier(m_act, g.select("eval_id", "customer_text"), "customer_text").select(
+        "eval_id", F.col("pred_label").alias("pred_action"))
+    return pi.join(pa, "eval_id").select(
+        F.lit("tfidf_logistic_regression").alias("system"), "eval_id", "true_intent", "true_action",
+        F.col("pred_label").alias("pred_intent"), "pred_action", F.col("pred_confidence").alias("confidence"),
+        F.lit(None).cast("string").alias("reply"))
+
+
+def _all_systems(spark, sf_dir):
+    train, g = _train_and_golden(spark, sf_dir)
+    rules = _rule_systems(spark, sf_dir, train, g).select(*_LONG)
+    return g, cut_lineage(rules.unionByName(_learned_system(train, g).select(*_LONG)))
+
+
+def _compare(long):
+    """Intent summary and escalation metrics per system, one grouped aggregation each."""
     summ = metrics.intent_summary(metrics.pair_counts(long, "true_intent", "pred_intent", ["system"]), ["system"])
     esc = metrics.escalation_metrics(long, "true_action", "pred_action", ["system"]).withColumnRenamed(
         "accuracy", "action_accuracy")
     return summ.join(esc, "system")
+
+
+@query("system_comparison")
+def q_system_comparison(spark, sf_dir):
+    """Majority baseline, TF-IDF heads and the triage agent on the golden set."""
+    return _compare(_all_systems(spark, sf_dir)[1])
+
+
+def _rule_systems_sql() -> str:
+    return f"""WITH {_decision_cte(_golden_cte() + """,
+hist AS (SELECT * FROM pairs WHERE customer_tweet_id NOT IN (SELECT customer_tweet_id FROM golden))""", "golden", "hist")},
+{_labelled_cte('hist', name='tl')},
+mi AS (SELECT weak_intent AS i FROM tl GROUP BY 1 ORDER BY count(*) DESC, min(brand_tweet_id) LIMIT 1),
+ma AS (SELECT true_action AS a FROM tl GROUP BY 1 ORDER BY count(*) DESC, min(brand_tweet_id) LIMIT 1),
+long AS (SELECT 'majority_baseline' AS system, true_intent, true_action, i AS pred_intent, a AS pred_action FROM golden, mi, ma
+  UNION ALL SELECT 'support_agent', g.true_intent, g.true_action, d.intent, d.action
+  FROM golden g JOIN decision d ON g.brand_tweet_id = d.id),
+labs AS (SELECT system, true_intent AS label FROM long UNION SELECT system, pred_intent FROM long),
+f AS (SELECT l.system, l.label, count(*) FILTER (true_intent = l.label) AS support,
+        2.0 * count(*) FILTER (true_intent = l.label AND pred_intent = l.label)
+          / (count(*) FILTER (true_intent = l.label) + count(*) FILTER (pred_intent = l.label)) AS f1
+      FROM labs l JOIN long ON long.system = l.system GROUP BY 1, 2),
+s AS (SELECT system, round(avg(f1), 4) AS macro_f1, round(sum(f1 * support) / sum(support), 4) AS weighted_f1 FROM f GROUP BY 1),
+c AS (SELECT system, count(*) AS n, avg(CASE WHEN true_intent = pred_intent THEN 1.0 ELSE 0.0 END) AS acc,
+        avg(CASE WHEN true_action = pred_action THEN 1.0 ELSE 0.0 END) AS act,
+        count(*) FILTER (true_action = 'ESCALATE' AND pred_action = 'ESCALATE') AS tp,
+        count(*) FILTER (true_action <> 'ESCALATE' AND pred_action = 'ESCALATE') AS fp,
+        count(*) FILTER (true_action <> 'ESCALATE' AND pred_action <> 'ESCALATE') AS tn,
+        count(*) FILTER (true_action = 'ESCALATE' AND pred_action <> 'ESCALATE') AS fn FROM long GROUP BY 1)
+SELECT system, round(acc, 4) AS accuracy, macro_f1, weighted_f1, n, round(act, 4) AS action_accuracy,
+  round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 4) AS escalate_precision,
+  round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 4) AS escalate_recall,
+  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 4) AS escalate_f1,
+  round(CASE WHEN tp + fn > 0 THEN fn / (tp + fn) ELSE 0.0 END, 4) AS false_auto_handle_rate,
+  round(CASE WHEN tn + fp > 0 THEN fp / (tn + fp) ELSE 0.0 END, 4) AS false_escalation_rate, tp, fp, tn, fn
+FROM c JOIN s USING (system)"""
+
+
+@query("rule_systems", _rule_systems_sql)
+def q_rule_systems(spark, sf_dir):
+    """The two systems of the comparison that SQL can express."""
+    return _compare(cut_lineage(_rule_systems(spark, sf_dir, *_train_and_golden(spark, sf_dir))))
+
+
+@query("prediction_table")
+def q_prediction_table(spark, sf_dir):
+    """Golden columns with every system's prediction beside them."""
+    g, long = _all_systems(spark, sf_dir)
+    prefix = {"majority_baseline": "majority", "tfidf_logistic_regression": "tfidf", "support_agent": "agent"}
+
+    def of(system: str, col: str):
+        return F.max(F.when(F.col("system") == system, F.col(col)))
+
+    wide = long.groupBy("eval_id").agg(
+        *[of(s, "pred_intent").alias(f"{p}_pred_intent") for s, p in prefix.items()],
+        of("support_agent", "confidence").alias("agent_confidence"),
+        *[of(s, "pred_action").alias(f"{p}_pred_action") for s, p in prefix.items()],
+        of("support_agent", "reply").alias("agent_reply"))
+    return g.join(wide, "eval_id")
+
+
+@query("benchmark_summary")
+def q_benchmark_summary(spark, sf_dir):
+    """The comparison as one nested JSON object."""
+    return metrics.summary_json(_all_systems(spark, sf_dir)[1], fixed.INTENTS)

@@ -26,21 +26,24 @@ def _norm_sql(v0: str) -> str:
     return f"CASE WHEN {n} > 0 THEN list_transform({v0}, lambda x: x / {n}) ELSE list_transform({v0}, lambda x: 0.0) END"
 
 
-def _decision_cte() -> str:
+def _decision_cte(base: str | None = None, messages: str = "pairs", history: str = "pairs") -> str:
+    """Decisions on the rows of ``messages`` with evidence from ``history``."""
     protos = ", ".join(f"({o}, {sq.lit(i)}, {sq.lit(t)})" for o, i, t in prototype_texts())
     action, reason = sq.escalation("message", "intent", "confidence", "max_sim", POL.threat_keywords,
                                    POL.sensitive_intents, POL.confidence_threshold, POL.min_evidence_similarity)
     k, thr = fixed.RETRIEVAL_TOP_K, fixed.RETRIEVAL_SIMILARITY_THRESHOLD
-    return f"""{_pairs_cte()},
-mv0 AS (SELECT brand_tweet_id AS id, customer_text AS message, {sq.keyword_vector('customer_text')} AS v0 FROM pairs),
+    return f"""{base or _pairs_cte()},
+mv0 AS (SELECT brand_tweet_id AS id, customer_text AS message, {sq.keyword_vector('customer_text')} AS v0 FROM {messages}),
 mv AS (SELECT id, message, {_norm_sql('v0')} AS v FROM mv0),
+hv0 AS (SELECT brand_tweet_id AS id, {sq.keyword_vector('customer_text')} AS v0 FROM {history}),
+hv AS (SELECT id, {_norm_sql('v0')} AS v FROM hv0),
 p0 AS (SELECT * FROM (VALUES {protos}) t(proto_ord, intent, txt)),
 pv AS (SELECT proto_ord, intent, {_norm_sql(sq.keyword_vector('txt'))} AS v FROM p0),
 cls0 AS (SELECT m.id, p.intent, list_inner_product(m.v, p.v) AS sim,
            row_number() OVER (PARTITION BY m.id ORDER BY round(list_inner_product(m.v, p.v), 9) DESC, p.proto_ord) AS rk
          FROM mv m JOIN pv p ON true),
 cls AS (SELECT id, intent, round(greatest(0.0, least(1.0, (sim + 1) / 2)), 4) AS confidence FROM cls0 WHERE rk = 1),
-ret0 AS (SELECT q.id, d.id AS doc_id, list_inner_product(q.v, d.v) AS sim FROM mv q JOIN mv d ON q.id <> d.id),
+ret0 AS (SELECT q.id, d.id AS doc_id, list_inner_product(q.v, d.v) AS sim FROM mv q JOIN hv d ON q.id <> d.id),
 ret AS (SELECT id, max(round(sim, 4)) AS max_sim, count(*) AS n_evidence FROM (
           SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 9) DESC, doc_id) AS rk FROM ret0)
         WHERE rk <= {k} AND sim >= {thr} GROUP BY id),
@@ -159,6 +162,20 @@ def q_reply_template(spark, sf_dir):
     return _judged(spark, sf_dir).select("brand_tweet_id", "true_action", "reply")
 
 
+@query("response_json", lambda: f"""WITH {_pairs_cte()}, {_labelled_cte('pairs')},
+rep AS (SELECT *, {_reply_sql()} AS reply FROM lab)
+SELECT brand_tweet_id, CAST(to_json({{'intent': weak_intent, 'confidence': CAST(weak_score / 10.0 AS DOUBLE), 'reply': reply,
+  'action': true_action, 'reason': ground_truth_reason,
+  'evidence': [{{'query': customer_text, 'resolution': brand_text, 'similarity': CAST(1.0 AS DOUBLE),
+                'links': {sq.links('brand_text_raw')}, 'customer_tweet_id': customer_tweet_id,
+                'brand_tweet_id': brand_tweet_id}}]}}) AS VARCHAR) AS response FROM rep""")
+def q_response_json(spark, sf_dir):
+    df = _judged(spark, sf_dir)
+    return df.select("brand_tweet_id", replies.response_json(
+        F.col("weak_intent"), (F.col("weak_score") / 10.0).cast("double"), F.col("reply"), F.col("true_action"),
+        F.col("ground_truth_reason"), F.col("evidence")).alias("response"))
+
+
 @query("prompt_text", lambda: f"""WITH {_pairs_cte()}, {_labelled_cte('pairs')},
 lk AS (SELECT *, {sq.links('brand_text_raw')} AS lks FROM lab)
 SELECT brand_tweet_id, {sq.template(fixed.PROMPT_TEMPLATE, message='customer_text', intent='weak_intent',
@@ -205,6 +222,52 @@ def q_judge_status(spark, sf_dir):
     return judge.audit_summary(_scored(spark, sf_dir))
 
 
+# --------------------------------------------------------------------------
+# a judge's JSON answers: accepted, or rejected with a reason
+# --------------------------------------------------------------------------
+# Test answers over ``documents``: by id, a text that is no JSON, a missing
+# score, a word for a score, a score out of range, or a good answer.
+ANSWER_SQL = """CASE doc_id % 7 WHEN 0 THEN coalesce(text, '')
+  WHEN 1 THEN '{"correctness": 4, "groundedness": 3.5, "helpfulness": 4, "brand_consistency": 5}'
+  WHEN 2 THEN '{"correctness": "good", "groundedness": 4, "helpfulness": 4, "brand_consistency": 4, "safety": 5}'
+  ELSE '{"correctness": ' || CAST(1 + doc_id % 5 AS STRING) || ', "groundedness": "4.5", "helpfulness": ' ||
+       CAST(doc_id % 6 AS STRING) || '.5, "brand_consistency": 3.25, "safety": 5, "reasoning": "r' ||
+       CAST(doc_id AS STRING) || '"}' END"""
+
+
+def _answers_sql() -> str:
+    dims = fixed.JUDGE_DIMENSIONS
+    obj = "CASE WHEN json_valid(raw) THEN json_type(raw) = 'OBJECT' ELSE false END"
+    nums = ", ".join(f"CASE WHEN is_obj THEN TRY_CAST(json_extract_string(raw, '$.{d}') AS DOUBLE) END AS j_{d}" for d in dims)
+    absent = "concat_ws(', ', " + ", ".join(f"CASE WHEN j_{d} IS NULL THEN '{d}' END" for d in dims) + ")"
+    outside = "concat_ws(', ', " + ", ".join(f"CASE WHEN NOT (j_{d} BETWEEN 1 AND 5) THEN '{d}' END" for d in dims) + ")"
+    total = " + ".join(f"j_{d}" for d in dims)
+    return f"""WITH a0 AS (SELECT doc_id, text, {ANSWER_SQL} AS raw FROM documents),
+a1 AS (SELECT *, {obj} AS is_obj FROM a0), a2 AS (SELECT *, {nums} FROM a1),
+a3 AS (SELECT *, CASE WHEN NOT is_obj THEN 'not a JSON object' WHEN {absent} <> '' THEN 'not a number: ' || {absent}
+                 WHEN {outside} <> '' THEN 'out of range: ' || {outside} END AS reject_reason FROM a2),
+a4 AS (SELECT *, {_rubric_sql("'AUTO_HANDLE'", sq.nn('text'), "''")} FROM a3),
+answers AS (SELECT doc_id, raw, reject_reason, CASE WHEN reject_reason IS NULL THEN 'judge' ELSE 'rubric' END AS score_source,
+  CASE WHEN reject_reason IS NULL THEN round(({total}) / 5.0, 2) ELSE average_score END AS average_score,
+  CASE WHEN reject_reason IS NULL THEN coalesce(json_extract_string(raw, '$.reasoning'), {sq.lit(fixed.JUDGE_REASONING_DEFAULT)})
+       ELSE reasoning END AS reasoning FROM a4)"""
+
+
+def _answers(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(ANSWER_SQL).alias("raw"))
+    return judge.scored_answers(d, "raw", judge.rubric(F.lit(fixed.AUTO_HANDLE), F.col("text"), F.lit("")))
+
+
+@query("judge_answers", lambda: f"{_answers_sql()} SELECT doc_id, score_source, average_score, reasoning FROM answers")
+def q_judge_answers(spark, sf_dir):
+    return _answers(spark, sf_dir).select("doc_id", "score_source", "score.average_score", "score.reasoning")
+
+
+@query("judge_rejects", lambda: f"{_answers_sql()} SELECT doc_id, raw, reject_reason FROM answers WHERE reject_reason IS NOT NULL")
+def q_judge_rejects(spark, sf_dir):
+    return judge.rejected_answers(_answers(spark, sf_dir)).select("doc_id", "raw", "reject_reason")
+
+
 # --------------------------------------------------------------------------
 # agreement: label-derived "human" scores vs the rubric on documents
 # --------------------------------------------------------------------------
