@@ -52,7 +52,7 @@ def q_stream_sessions(spark, sf_dir):
 
 @query("stream_dedup", lambda: f"WITH tweets AS {tweet_view_sql()} SELECT tweet_id, author_id, inbound FROM tweets")
 def q_stream_dedup(spark, sf_dir):
-    return jobs.dedup_messages(spark, sf_dir)
+    return jobs.dedup_messages(spark, sf_dir, redelivered="1 MINUTE")
 
 
 @query("stream_pairs", lambda: f"""WITH tweets AS {tweet_view_sql()}

@@ -105,9 +105,13 @@ def customer_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_run(out, "customer_sessions"))
 
 
-def dedup_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J4: each tweet id once; the watermark bounds the dedup state."""
+def dedup_messages(spark: SparkSession, sf_dir: str, redelivered: str | None = None) -> DataFrame:
+    """J4: each tweet id once; the watermark bounds the dedup state.  With
+    ``redelivered`` (an interval) every event comes a second time, that much
+    later, as from a source that delivers at least once."""
     ev = events_stream(spark, sf_dir)
+    if redelivered is not None:
+        ev = ev.unionByName(events_stream(spark, sf_dir).withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {redelivered}")))
     t = _tweets_with_time(ev).withWatermark("event_time", WATERMARK).dropDuplicatesWithinWatermark(["tweet_id"])
     out = t.select("tweet_id", "author_id", "inbound")
     return spark.read.parquet(_run(out, "dedup_messages"))
