@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from supportlake.operators import classify, metrics, vectors
+from supportlake.operators.pairs import without_ids
 from supportlake.plans.registry import query
 from supportlake.sources.tables import table
 
@@ -34,7 +35,8 @@ p AS (SELECT label AS proto_label, v, row_number() OVER (ORDER BY label, vec_id)
 s AS (SELECT e.vec_id, e.label, p.proto_label, p.proto_ord, list_inner_product(e.v, p.v) AS sim FROM e JOIN p ON true),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, proto_ord) AS rk FROM s),
 pred AS (SELECT vec_id, CAST(label AS VARCHAR) AS y_true, CAST(proto_label AS VARCHAR) AS y_pred,
-                round(greatest(0.0, least(1.0, (sim + 1) / 2)), 4) AS confidence FROM r WHERE rk = 1)"""
+                round(greatest(0.0, least(1.0, (sim + 1) / 2)), 4) AS confidence FROM r WHERE rk = 1),
+scored AS (SELECT * FROM pred WHERE vec_id NOT IN (SELECT vec_id FROM p0 WHERE rn <= {PROTOTYPES_PER_LABEL}))"""
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def prototypes(emb: DataFrame, per_label: int = PROTOTYPES_PER_LABEL) -> DataFra
     w = Window.partitionBy("label").orderBy("vec_id")
     p = emb.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_label)
     return p.select(F.row_number().over(Window.orderBy("label", "vec_id")).cast("long").alias("proto_ord"),
-                    F.col("label").alias("proto_label"), "embedding")
+                    F.col("label").alias("proto_label"), "vec_id", "embedding")
 
 
 def prototype_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,12 +91,14 @@ def q_prototype_classify(spark, sf_dir):
 
 
 def _counts(spark, sf_dir):
-    return metrics.pair_counts(prototype_predictions(spark, sf_dir), "y_true", "y_pred")
+    """Predictions against labels, without the anchors (each is its own nearest)."""
+    anchors = prototypes(embeddings(spark, sf_dir)).select("vec_id")
+    return metrics.pair_counts(without_ids(prototype_predictions(spark, sf_dir), anchors, "vec_id"), "y_true", "y_pred")
 
 
 _LABELS_SQL = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
 _PER_CLASS_SQL = f"""{PROTO_SQL},
-c AS (SELECT y_true, y_pred, count(*) AS n FROM pred GROUP BY ALL),
+c AS (SELECT y_true, y_pred, count(*) AS n FROM scored GROUP BY ALL),
 spine AS (SELECT unnest({_LABELS_SQL}) AS label),
 tp AS (SELECT y_true AS label, sum(n) AS tp FROM c WHERE y_true = y_pred GROUP BY 1),
 sup AS (SELECT y_true AS label, sum(n) AS support FROM c GROUP BY 1),
@@ -120,7 +124,7 @@ def q_intent_report(spark, sf_dir):
 
 
 @query("confusion_matrix", f"""WITH {PROTO_SQL},
-c AS (SELECT y_true, y_pred, count(*) AS n FROM pred GROUP BY ALL),
+c AS (SELECT y_true, y_pred, count(*) AS n FROM scored GROUP BY ALL),
 spine AS (SELECT t.true_label, unnest({_LABELS_SQL}) AS pred_label FROM (SELECT unnest({_LABELS_SQL}) AS true_label) t)
 SELECT s.true_label, s.pred_label, CAST(coalesce(c.n, 0) AS BIGINT) AS n
 FROM spine s LEFT JOIN c ON s.true_label = c.y_true AND s.pred_label = c.y_pred""")
@@ -129,7 +133,7 @@ def q_confusion_matrix(spark, sf_dir):
 
 
 @query("macro_f1", f"""WITH {PROTO_SQL},
-c AS (SELECT y_true, y_pred, count(*) AS n FROM pred GROUP BY ALL),
+c AS (SELECT y_true, y_pred, count(*) AS n FROM scored GROUP BY ALL),
 labs AS (SELECT y_true AS label FROM c UNION SELECT y_pred FROM c),
 tp AS (SELECT y_true AS label, sum(n) AS tp FROM c WHERE y_true = y_pred GROUP BY 1),
 sup AS (SELECT y_true AS label, sum(n) AS support FROM c GROUP BY 1),
