@@ -128,10 +128,12 @@ def _strip(min_words: int):
 
 
 def _with_result(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` plus __out (struct of RESULT)."""
+    """(row, out): each row of ``docs`` as a struct, so that no name of its
+    columns can clash with those used here, and its struct of RESULT."""
     text = F.col(text_col).cast("string")
-    rows = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
-                             "__tag": F.coalesce(_row_tag(text), F.lit(0)), "__text": text})
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__doc"),
+                       F.coalesce(_row_tag(text), F.lit(0)).alias("__tag"), text.alias("__text"))
     units = _units(rows)
     groups = units.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first"))
     groups = groups.where("n > 1").select("h1", "h2", F.col("first.doc").alias("fdoc"), F.col("first.pos").alias("fpos"))
@@ -142,7 +144,7 @@ def _with_result(docs: DataFrame, min_words: int, id_col: str, text_col: str) ->
         F.array_distinct(F.collect_list(F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))).alias("__marked"))
     marked = cut_lineage(marked)
     met = rows.join(marked, (rows["__doc"] == marked["doc"]) & (rows["__tag"] == marked["tag"]), "left")
-    return met.withColumn("__out", _strip(min_words)(F.col("__text"), F.col("__marked")))
+    return met.select("row", _strip(min_words)(F.col("__text"), F.col("__marked")).alias("out"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,16 +160,16 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     looked at."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return _with_result(rows, min_words, "doc_id", "text").select(
-        "doc_id", "__out.text", "__out.removed", "__out.kept")
+        "row.doc_id", "out.text", "out.removed", "out.kept")
 
 
 def with_repeats_removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with its columns, text replaced (and n_chars, if it is there)."""
     out = _with_result(docs, min_words, "doc_id", "text")
-    new = {"text": F.col("__out.text").alias("text")}
+    new = {"text": F.col("out.text").alias("text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length(F.col("__out.text")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return out.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
+        new["n_chars"] = F.length(F.col("out.text")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[new.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns])
 
 
 def oracle_sql(min_words: int = MIN_WORDS, source: str = "documents") -> str:
