@@ -9,7 +9,9 @@ blocks): a host is distrusted for pointing at blocked hosts.  A host whose
 distrust exceeds ``threshold`` times its trust is blocked.
 
 Everything is DataFrame functions; the graph holds hosts, not pages, and is
-written to the shared checkpoint folder every few steps.
+written to the shared checkpoint folder every few steps.  Pages meet what is
+known of their host in joins where the pages of hot hosts (pages without a
+host among them) are dealt to several parts.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ STEPS = 8
 CUT_EVERY = 2
 THRESHOLD = 1.0
 DIGITS = 9           # scores are compared after rounding to so many decimals
+HOT = 1024           # a host with more than 1 / HOT of the pages is hot, so there are fewer than HOT such hosts
+SALTS = 256          # parts that the pages of a hot host are dealt to
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,11 +55,33 @@ def domains_of(host: Column) -> Column:
 
 
 def rule_frame(spark, rules: list[Rule]) -> DataFrame:
-    rows = [(h.translate(str.maketrans(_UPPER, _LOWER)), p, v) for h, p, v in rules]
-    return spark.createDataFrame(rows, "host string, path string, verdict string")
+    """(host, path, verdict), hosts lower-cased."""
+    empty = spark.range(0).select(*[F.lit("").alias(c) for c in ("host", "path", "verdict")])
+    if not rules:
+        return empty
+    rows = F.array(*[F.struct(F.translate(F.lit(h), _UPPER, _LOWER).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict"))
+                     for h, p, v in rules])
+    return spark.range(1).select(F.inline(rows))
 
 
-def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+def hot_hosts(hosts: DataFrame) -> DataFrame:
+    """(host) of ``hosts`` (host, n) with more than 1 / HOT of all pages."""
+    total = hosts.agg(F.sum("n")).first()[0] or 0
+    return cut_lineage(hosts.where(F.col("n") * HOT > total).select("host"))
+
+
+def meet_hosts(pages: DataFrame, facts: DataFrame, hot: DataFrame) -> DataFrame:
+    """``pages`` left join ``facts`` on host; pages of a hot host are dealt to
+    SALTS parts, for which its one row of facts is copied."""
+    known = F.broadcast(hot.select("host", F.lit(True).alias("__hot")))     # fewer than HOT rows
+    part = F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")
+    salted = pages.join(known, "host", "left").withColumn("__salt", F.when(F.col("__hot"), part).otherwise(0)).drop("__hot")
+    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = facts.join(known, "host", "left").withColumn("__salt", F.explode(parts)).drop("__hot")
+    return salted.join(copies, ["host", "__salt"], "left").drop("__salt")
+
+
+def match_rules(pages: DataFrame, hosts: DataFrame, hot: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict) for pages of (page_id, host, path);
     the longest fitting rule wins (same length: the lesser text).  Rules meet
     distinct hosts, not pages; the rules of one host are as many as its parent
@@ -63,25 +89,25 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     text = F.concat(F.col("host"), F.col("path"))
     grouped = rules.groupBy(F.col("host").alias("domain")).agg(F.collect_set(F.struct(
         (-F.length(text)).alias("order"), text.alias("rule"), "path", "verdict")).alias("rules"))
-    fits = (pages.select("host").where("host <> ''").distinct()
+    fits = (hosts.where("host <> ''")
             .select("host", F.explode(domains_of(F.col("host"))).alias("domain"))
             .join(grouped, "domain").select("host", F.explode("rules").alias("r"))
             .groupBy("host").agg(F.array_sort(F.collect_list("r")).alias("__rules")))
     best = F.get(F.filter("__rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0))
-    return (pages.join(fits, "host", "left")
+    return (meet_hosts(pages, fits, hot)
             .select("page_id", "host", "path", best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
+def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """(src, dst, n): absolute links of the HTML by host, and each host's link
-    with its parent domains.  ``pages``: (host, html)."""
+    with its parent domains.  ``pages``: (host, html), ``hosts``: their (host)."""
     links = F.regexp_extract_all("html", F.lit(r"(?i)\b(?:href|src)\s*=\s*[\"']?(https?://[^\"'\s>]+)"), F.lit(1))
     out = (pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(links).alias("to"))
            .select("src", host_of(F.col("to")).alias("dst")).where("dst <> '' and dst <> src")
            .groupBy("src", "dst").agg(F.count("*").cast("double").alias("n")))
-    hosts = pages.select("host").where("host <> ''").distinct().select(domains_of(F.col("host")).alias("d"))
+    chains = hosts.where("host <> ''").select(domains_of(F.col("host")).alias("d"))
     # the last label alone (com, org) says nothing about a host
-    up = (hosts.select(F.explode(F.filter(F.transform(
+    up = (chains.select(F.explode(F.filter(F.transform(
         F.sequence(F.lit(0), F.size("d") - 1), lambda i: F.struct(
             F.get("d", i).alias("src"), F.get("d", i + 1).alias("dst"))),
         lambda x: x["dst"].contains(".") & (x["src"] != ""))).alias("x")).select("x.src", "x.dst").distinct())
@@ -126,15 +152,17 @@ def judge_urls(pages: DataFrame, rules: list[Rule], steps: int = STEPS, damping:
     spark = pages.sparkSession
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
                        F.col("html").cast("string").alias("html"))
-    judged = cut_lineage(match_rules(own.select("page_id", "host", "path"), rule_frame(spark, rules)))
-    edges = cut_lineage(host_edges(own.select("host", "html")))
+    hosts = cut_lineage(own.groupBy("host").agg(F.count("*").alias("n")))
+    hot = hot_hosts(hosts)
+    judged = cut_lineage(match_rules(own.select("page_id", "host", "path"), hosts, hot, rule_frame(spark, rules)))
+    edges = cut_lineage(host_edges(own.select("host", "html"), hosts))
     seeds = (judged.where("rule is not null").groupBy(
         F.when(F.col("verdict") == "block", 1).otherwise(0).alias("side"), "host").agg(F.count("*").cast("double").alias("weight")))
     scores = propagate(edges, seeds, steps, damping).select(
         "host", F.round("trust", DIGITS).alias("trust"), F.round("distrust", DIGITS).alias("distrust"))
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
     method = F.when(distrust > F.lit(threshold) * trust, "block").otherwise("allow")
-    return judged.join(scores, "host", "left").select(
+    return meet_hosts(judged, scores, hot).select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"),
         trust.alias("trust"), distrust.alias("distrust"))
 

@@ -169,6 +169,17 @@ def test_distrust_flows_back_over_links(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
 
 
+def test_a_hot_host_is_dealt_to_parts(spark):
+    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, None).when(
+        F.col("id") % 3 == 1, F.concat(F.lit("http://b.net/fr/"), F.col("id").cast("string"))).otherwise(
+        F.concat(F.lit("http://h"), F.col("id").cast("string"), F.lit(".com/"))).alias("url"), F.lit("").alias("html"))
+    hosts = pages.groupBy(urltrust.host_of(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+    assert {r["host"] for r in urltrust.hot_hosts(hosts).collect()} == {"", "b.net"}
+    got = sorted((r["page_id"], r["rule"], r["verdict"]) for r in urltrust.judge_urls(pages, URL_RULES).collect())
+    assert got == [(i, *((None, "allow"), ("net/fr/", "block"), ("com/", "allow"))[i % 3]) for i in range(4000)]
+    assert {r["verdict"] for r in urltrust.judge_urls(pages, []).collect()} == {"allow"}
+
+
 # ---- 3 and 10 searches -----------------------------------------------------------
 
 VECS = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]),
@@ -465,6 +476,10 @@ def test_repeats_odd_rows(odd, none):
     assert [r["text"] for r in got if r["doc_id"] == 3 and r["text"].startswith("rep")] == ["repeated row here"] * 2
     assert linededup.remove_repeats(none).collect() == []
     assert linededup.with_repeats_removed(odd).columns == odd.columns
+    clash = odd.select("*", *[F.lit(c).alias(c) for c in ("doc", "tag", "pos", "row", "out", "__doc", "__marked", "a.b") if c not in odd.columns])
+    stripped = linededup.with_repeats_removed(clash)
+    assert stripped.columns == clash.columns and stripped.count() == odd.count()
+    assert {tuple(r) for r in stripped.select("doc", "tag", "row", "`a.b`").collect()} == {("doc", "tag", "row", "a.b")}
 
 
 # ---- 9 byte-level BPE -------------------------------------------------------------------------
