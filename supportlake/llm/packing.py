@@ -118,9 +118,10 @@ def rank_within(rows: DataFrame, by: str, order: list[str], bucket_rows: int = 5
     """``rows`` with ``rank`` (long, from 0) within each value of ``by``, any
     but fixed order.  Buckets by a hash of ``order`` grow in number with the
     rows, so no window holds more than about ``bucket_rows`` rows of one value
-    (rows equal in all of ``order`` stay together)."""
+    (rows equal in all of ``order`` stay together); there are at least as many
+    as the shuffle has partitions, so a value that most rows share is spread."""
     total = rows.count()
-    buckets = max(1, -(-total // bucket_rows))
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_rows))
     dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy(by, "__bucket").count()
     before = Window.partitionBy(by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
