@@ -1,12 +1,13 @@
 """Token ids of whole texts from a public tokenizer file, inside tasks.
 
-Words repeat, so ids are cached per piece of text between blanks.  A blank
-(space or newline) always ends a pre-token of this kind of tokenizer (its
-split pattern never matches white space and its normaliser is blind to what
-stands on the other side of one), so the ids of a text are the ids of its
-pieces in order.  Pieces of ASCII and Latin-1 letters take a short way through
-the tokenizer's own model; every other piece goes through ``encode``.  The
-cache holds a bounded number of pieces and long pieces are never cached.
+A blank (space or newline) always ends a pre-token of this kind of tokenizer
+(its split pattern never matches white space and its normaliser is blind to
+what stands on the other side of one), so the ids of a text are the ids of its
+stretches between blanks in order.  Stretches of ASCII and Latin-1 letters,
+the most by far, are lower-cased and split here, and every distinct pre-token
+goes once through the tokenizer's own model; a piece between blanks with any
+other character goes through ``encode``.  The caches hold a bounded number of
+pre-tokens and pieces, and long pieces are never cached.
 """
 
 from __future__ import annotations
@@ -14,25 +15,31 @@ from __future__ import annotations
 import json
 import re
 
-CACHE_PIECES = 250_000       # of a generation; the one before it is kept to draw from
+CACHE_WORDS = 400_000        # of a generation; the one before it is kept to draw from
+CACHE_PIECES = 100_000
 LONGEST_CACHED = 64
-_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+STRETCH = 1 << 20            # characters split at once
+_ODD = re.compile(r"[^\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\|")
+_BLANK = re.compile(r"[ \n]")
 
 
 class _Generations(dict):
     """A bounded cache: when it is full it becomes the old generation, from
     which entries still in use are taken over."""
 
+    most = CACHE_PIECES
     old: dict = {}
 
     def turn(self) -> None:
-        if len(self) > CACHE_PIECES:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 
 
 class _Words(_Generations):
-    """Pre-token -> little-endian 32-bit ids (bounded by its owner)."""
+    """Pre-token -> little-endian 32-bit ids."""
+
+    most = CACHE_WORDS
 
     def __init__(self, model, size: int):
         self._tokenize = model.tokenize
@@ -48,7 +55,8 @@ class _Words(_Generations):
             spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self._alphabet)
             four = self._four
             out = b"".join([four[t.id] for t in self._tokenize(spelled)])
-        self[word] = out
+        if len(word) <= LONGEST_CACHED:
+            self[word] = out
         return out
 
 
@@ -67,8 +75,10 @@ class _Pieces(_Generations):
         self._words = None
         if self.by_blank:
             pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-            # on plain pieces, lower-cased, the letter and digit classes are these
-            self._split = re.compile(pattern.replace(r"\p{L}", "a-zß-öø-ÿ").replace(r"\p{N}", "0-9"))
+            # on plain stretches, lower-cased, the letter and digit classes are these; letters first, as no
+            # other alternative begins with one
+            pattern = pattern.replace(r"\p{L}", "a-zß-öø-ÿ").replace(r"\p{N}", "0-9")
+            self._split = re.compile("[a-zß-öø-ÿ]+|" + pattern)
             self._words = _Words(self._tokenizer.model, self._tokenizer.get_vocab_size())
 
     def whole(self, text: str) -> bytes:
@@ -76,25 +86,37 @@ class _Pieces(_Generations):
 
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
-        if out is not None:
-            self[piece] = out
-            return out
-        if self._words is not None and piece.isascii() and piece.isalpha():
-            out = self._words[piece.lower()]
-        elif self._words is not None and "<|" not in piece and _PLAIN.fullmatch(piece):
-            out = b"".join(map(self._words.__getitem__, self._split.findall(piece.lower())))
-        else:
+        if out is None:
             out = self.whole(piece)
         if len(piece) <= LONGEST_CACHED:
             self[piece] = out
         return out
 
+    def _plain(self, text: str, a: int, b: int) -> list[bytes]:
+        """Ids of text[a:b], a plain stretch, in parts that end at a blank."""
+        out = []
+        while a < b:
+            cut = b
+            if b - a > STRETCH and (m := _BLANK.search(text, a + STRETCH, b)):
+                cut = m.end()
+            self._words.turn()
+            out.append(b"".join(map(self._words.__getitem__, self._split.findall(text[a:cut].lower()))))
+            a = cut
+        return out
+
     def ids(self, text: str) -> bytes:
         if not self.by_blank:
             return self.whole(text)
         self.turn()
-        self._words.turn()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        out, at = [], 0
+        while m := _ODD.search(text, at):
+            a = max(at, text.rfind(" ", at, m.start()) + 1, text.rfind("\n", at, m.start()) + 1)
+            end = _BLANK.search(text, m.end())
+            b = end.start() if end else len(text)
+            out += self._plain(text, at, a)
+            out.append(self[text[a:b]])
+            at = b
+        return b"".join(out + self._plain(text, at, len(text)))
 
 
 def _drops_blanks(spec: dict) -> bool:
