@@ -9,6 +9,13 @@ runs of later occurrences that hold at least ``min_words`` words are removed;
 shorter repeats (a lone "The.") stay.  Offsets of what was removed refer to
 the original text.
 
+With ``whole_lines`` (the query and the pipeline) blocks are hashed as well:
+lines, and paragraphs of several lines (up to a blank line), by their words, so
+that a paragraph broken otherwise is found too.  Every later occurrence of a
+block is removed whatever its length, and the minimum holds only for units
+inside lines that are not repeats: ``min_words`` words or MIN_CHARS characters
+(words say nothing in scripts without blanks).
+
 Only digests and places are shuffled, pre-aggregated per digest; the join back
 is an equality join whose hot digests Spark can split.  A text moves once, to
 meet the list of its own repeated units.
@@ -24,8 +31,10 @@ from pyspark.sql import functions as F
 from supportlake.session import cut_lineage
 
 MIN_WORDS = 10
+MIN_CHARS = 50                           # with whole_lines, the length that a run of fewer words needs
 UNIT_PATTERN = r"[^.!?\n]+[.!? \t\r\n\f]*|[.!? \t\r\n\f]+"
 _UNIT = re.compile(UNIT_PATTERN)
+_LINE = re.compile(r"[^\n]*\n|[^\n]+")
 NO_ID = (1 << 63) - 1                    # a null doc_id ranks last
 RESULT = ("struct<text: string, removed: array<struct<start: int, stop: int>>, kept: array<struct<start: int, stop: int>>>")
 
@@ -34,14 +43,31 @@ def units_of(text: str) -> list[str]:
     return _UNIT.findall(text)
 
 
-def digest_of(unit: str) -> tuple[int, int, int] | None:
+def blocks_of(text: str) -> list[tuple[int, int, int]]:
+    """(place, start, stop) of each line with words and each paragraph of
+    several of them.  place = 4 * number of the (first) line + 1 for a line, + 2
+    for a paragraph; a unit's place is 4 * its number."""
+    out, at, paragraph = [], 0, []
+    for j, line in enumerate([*_LINE.findall(text), ""]):
+        if line.strip():
+            paragraph.append((4 * j + 1, at, at + len(line)))
+        else:
+            out += paragraph
+            if len(paragraph) > 1:
+                out.append((paragraph[0][0] + 1, paragraph[0][1], paragraph[-1][2]))
+            paragraph = []
+        at += len(line)
+    return out
+
+
+def digest_of(unit: str, seed: int = 0) -> tuple[int, int, int] | None:
     """(two halves of a 128-bit digest, words); None for a unit without words."""
     from xxhash import xxh3_128_intdigest
 
     words = unit.lower().split()
     if not words:
         return None
-    h = xxh3_128_intdigest(" ".join(words))
+    h = xxh3_128_intdigest(" ".join(words), seed)
     return h >> 64, h & 0xFFFFFFFFFFFFFFFF, len(words)
 
 
@@ -50,8 +76,9 @@ def _row_tag(text):
     return F.pmod(F.xxhash64(text), F.lit(1 << 31))
 
 
-def _units(rows: DataFrame) -> DataFrame:
-    """(h1, h2, doc, pos): one row per unit with words.  pos = tag * 2**32 + unit number."""
+def _units(rows: DataFrame, whole_lines: bool) -> DataFrame:
+    """(h1, h2, doc, pos): one row per unit with words, and per block if
+    ``whole_lines``.  pos = tag * 2**32 + place."""
 
     def batches(it):
         import numpy as np
@@ -61,11 +88,17 @@ def _units(rows: DataFrame) -> DataFrame:
             h1, h2, doc, pos = [], [], [], []
             for d, tag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 n = len(h1)
-                for k, unit in enumerate(units_of(text.as_py())):
+                text = text.as_py()
+                for k, unit in enumerate(units_of(text)):
                     if (x := digest_of(unit)) is not None:
                         h1.append(x[0])
                         h2.append(x[1])
-                        pos.append(tag << 32 | k)
+                        pos.append(tag << 32 | 4 * k)
+                for place, start, stop in blocks_of(text) if whole_lines else ():
+                    x = digest_of(text[start:stop], seed=1)      # a block repeats blocks only
+                    h1.append(x[0])
+                    h2.append(x[1])
+                    pos.append(tag << 32 | place)
                 doc.extend([d] * (len(h1) - n))
                 if len(h1) > 200_000:
                     yield pa.RecordBatch.from_arrays([np.array(h1, np.uint64).view(np.int64), np.array(h2, np.uint64).view(np.int64),
@@ -77,12 +110,13 @@ def _units(rows: DataFrame) -> DataFrame:
     return rows.select("__doc", "__tag", "__text").where("__text <> ''").mapInArrow(batches, "h1 long, h2 long, doc long, pos long")
 
 
-def strip_runs(text: str, repeated, min_words: int):
+def strip_runs(text: str, repeated, min_words: int, blocks=(), min_chars: int | None = None):
     """(text, removed spans, kept spans) after removing the runs of repeated
-    units of at least ``min_words`` words.  Units without words neither break
-    a run nor count; they go only inside one."""
-    marked = set(repeated)
-    if not marked:
+    units of at least ``min_words`` words (or ``min_chars`` characters) and the
+    repeated ``blocks``, given by place.  Units without words neither break a
+    run nor count; they go only inside one."""
+    marked, blocks = set(repeated), set(blocks)
+    if not marked and not blocks:
         return text, [], [(0, len(text))] if text else []
     spans, at = [], 0
     run: list | None = None              # [start, stop of the last repeated unit, words]
@@ -99,7 +133,16 @@ def strip_runs(text: str, repeated, min_words: int):
         at += len(unit)
     if run is not None:
         spans.append(run)
-    removed = [(a, b) for a, b, w in spans if w >= min_words]
+    removed = [(a, b) for a, b, w in spans
+               if w >= min_words or min_chars is not None and len(text[a:b].strip()) >= min_chars]
+    if blocks:
+        every = sorted(removed + [(a, b) for place, a, b in blocks_of(text) if place in blocks])
+        removed = []
+        for a, b in every:                # spans that overlap or touch are one
+            if removed and a <= removed[-1][1]:
+                removed[-1] = (removed[-1][0], max(b, removed[-1][1]))
+            else:
+                removed.append((a, b))
     kept, at = [], 0
     for a, b in removed:
         if a > at:
@@ -110,7 +153,7 @@ def strip_runs(text: str, repeated, min_words: int):
     return "".join(text[a:b] for a, b in kept), removed, kept
 
 
-def _strip(min_words: int):
+def _strip(min_words: int, whole_lines: bool):
     @F.pandas_udf(RESULT)
     def strip(texts, marked):
         import pandas as pd
@@ -120,36 +163,42 @@ def _strip(min_words: int):
             if t is None:
                 out.append((None, [], []))
                 continue
-            text, removed, kept = strip_runs(t, () if m is None else [int(x) for x in m], min_words)
+            places = [] if m is None else [int(x) for x in m]
+            text, removed, kept = strip_runs(t, [p >> 2 for p in places if not p & 3], min_words,
+                                             [p for p in places if p & 3], MIN_CHARS if whole_lines else None)
             out.append((text, [{"start": a, "stop": b} for a, b in removed], [{"start": a, "stop": b} for a, b in kept]))
         return pd.DataFrame(out, columns=["text", "removed", "kept"])
 
     return strip
 
 
-def _with_result(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+def _with_result(docs: DataFrame, min_words: int, id_col: str, text_col: str, whole_lines: bool) -> DataFrame:
     """(row, out): each row of ``docs`` as a struct, so that no name of its
     columns can clash with those used here, and its struct of RESULT."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__doc"),
                        F.coalesce(_row_tag(text), F.lit(0)).alias("__tag"), text.alias("__text"))
-    units = _units(rows)
+    units = _units(rows, whole_lines)
     groups = units.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first"))
     groups = groups.where("n > 1").select("h1", "h2", F.col("first.doc").alias("fdoc"), F.col("first.pos").alias("fpos"))
     # what later occurrences leave behind: few rows beside the units, kept for the join with the texts
     later = (units.join(cut_lineage(groups), ["h1", "h2"])
              .where((F.col("doc") != F.col("fdoc")) | (F.col("pos") != F.col("fpos"))))
     marked = later.groupBy("doc", F.shiftright("pos", 32).alias("tag")).agg(
-        F.array_distinct(F.collect_list(F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))).alias("__marked"))
+        F.array_distinct(F.collect_list(F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("__marked"))
     marked = cut_lineage(marked)
     met = rows.join(marked, (rows["__doc"] == marked["doc"]) & (rows["__tag"] == marked["tag"]), "left")
-    return met.select("row", _strip(min_words)(F.col("__text"), F.col("__marked")).alias("out"))
+    return met.select("row", _strip(min_words, whole_lines)(F.col("__text"), F.col("__marked")).alias("out"))
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text",
+                   whole_lines: bool = False) -> DataFrame:
     """(doc_id, text, removed, kept), one row per row of ``docs``; spans are
     character offsets [start, stop) in the original text and partition it.
+    ``whole_lines``: repeated lines and paragraphs go whatever their length;
+    without it a run of fewer than ``min_words`` words stays, also on lines of
+    its own.
 
     Defined cases: null text stays null and empty text empty, both without
     spans; the earliest place is the least (doc_id, then the text's hash among
@@ -159,13 +208,13 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     is not dropped; an empty table gives an empty one; other columns are not
     looked at."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _with_result(rows, min_words, "doc_id", "text").select(
+    return _with_result(rows, min_words, "doc_id", "text", whole_lines).select(
         "row.doc_id", "out.text", "out.removed", "out.kept")
 
 
-def with_repeats_removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def with_repeats_removed(docs: DataFrame, min_words: int = MIN_WORDS, whole_lines: bool = True) -> DataFrame:
     """``docs`` with its columns, text replaced (and n_chars, if it is there)."""
-    out = _with_result(docs, min_words, "doc_id", "text")
+    out = _with_result(docs, min_words, "doc_id", "text", whole_lines)
     new = {"text": F.col("out.text").alias("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(F.col("out.text")).cast(docs.schema["n_chars"].dataType).alias("n_chars")

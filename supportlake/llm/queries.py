@@ -64,7 +64,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    return linededup.remove_repeats(_read(spark, sf_dir, "documents")).select(
+    return linededup.remove_repeats(_read(spark, sf_dir, "documents"), whole_lines=True).select(
         "doc_id", "text", F.coalesce(spans, F.lit("")).alias("removed"))
 
 

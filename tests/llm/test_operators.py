@@ -12,7 +12,7 @@ pytest.importorskip("supportlake.llm")
 import public_tokenizers as P  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from supportlake.llm import bytebpe, kdtree, langid, linededup, mih, packing, quality, rans, simhash, urltrust  # noqa: E402
+from supportlake.llm import bytebpe, kdtree, langid, linededup, mih, packing, quality, queries, rans, simhash, urltrust  # noqa: E402
 from supportlake.llm.queries import BYTE_BPE, URL_RULES, WORD_BPE  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, piece string, component_id string"
@@ -469,6 +469,26 @@ def test_a_passage_inside_lines_is_found(spark):
     assert rows[1][1][a:b] == passage + "\n"
 
 
+def test_whole_lines_go_whatever_their_length(spark, docs, sf_small):
+    got = {r["doc_id"]: r for r in queries.op8_repeats(spark, sf_small).collect()}
+    seen, repeats = set(), 0
+    for r in docs.orderBy("doc_id").collect():
+        gone = [tuple(map(int, x.split("-"))) for x in got[r["doc_id"]]["removed"].split(",") if x]
+        at = 0
+        for line in (r["text"] or "").split("\n"):
+            words = tuple(line.lower().split())
+            if words and words in seen:
+                repeats += len(words) < 10
+                assert any(a <= at and at + len(line) <= b for a, b in gone), line
+            seen.add(words)
+            at += len(line) + 1
+    assert repeats
+    rows = [(1, "Share this page.\nOne thing.\n\nA first line\nand a second."), (2, "Other thing.\n share  THIS page.\nLast. The."),
+            (3, "A first line and\na second.\n\nThird. The."), (4, "The.\n同じ文が" + "長" * 60 + ".ここから"), (5, "別の.同じ文が" + "長" * 60 + ".おわり")]
+    got = {r["doc_id"]: r["text"] for r in linededup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), whole_lines=True).collect()}
+    assert got == {1: rows[0][1], 2: "Other thing.\nLast. The.", 3: "\nThird. The.", 4: rows[3][1], 5: "別の.おわり"}
+
+
 def test_repeats_odd_rows(odd, none):
     got = linededup.remove_repeats(odd).collect()
     assert len(got) == odd.count() and sum(r["text"] is None for r in got) == 1
