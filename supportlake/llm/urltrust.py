@@ -28,7 +28,8 @@ DAMPING = 0.85
 STEPS = 8
 CUT_EVERY = 2
 THRESHOLD = 1.0
-DIGITS = 9           # scores are compared after rounding to so many decimals
+DIGITS = 9           # scores are given with so many decimals; they are compared as they are
+TIE = 1e-9           # scores closer than this share of themselves are equal
 HOT = 1024           # a host with more than 1 / HOT of the pages is hot, so there are fewer than HOT such hosts
 SALTS = 256          # parts that the pages of a hot host are dealt to
 
@@ -158,13 +159,12 @@ def judge_urls(pages: DataFrame, rules: list[Rule], steps: int = STEPS, damping:
     edges = cut_lineage(host_edges(own.select("host", "html"), hosts))
     seeds = (judged.where("rule is not null").groupBy(
         F.when(F.col("verdict") == "block", 1).otherwise(0).alias("side"), "host").agg(F.count("*").cast("double").alias("weight")))
-    scores = propagate(edges, seeds, steps, damping).select(
-        "host", F.round("trust", DIGITS).alias("trust"), F.round("distrust", DIGITS).alias("distrust"))
+    scores = propagate(edges, seeds, steps, damping)
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
-    method = F.when(distrust > F.lit(threshold) * trust, "block").otherwise("allow")
+    method = F.when(distrust > F.lit(threshold * (1 + TIE)) * trust, "block").otherwise("allow")
     return meet_hosts(judged, scores, hot).select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"),
-        trust.alias("trust"), distrust.alias("distrust"))
+        F.round(trust, DIGITS).alias("trust"), F.round(distrust, DIGITS).alias("distrust"))
 
 
 def oracle_sql(rules: list[Rule], steps: int = STEPS, damping: float = DAMPING, threshold: float = THRESHOLD,
