@@ -6,7 +6,9 @@ link in its HTML, and between a host and its parent domain (``m.a.org`` and
 PageRank runs forward from trusted seeds (hosts of pages that a rule allows)
 and, on the reversed edges, from blocked seeds (hosts of pages that a rule
 blocks): a host is distrusted for pointing at blocked hosts.  A host whose
-distrust exceeds ``threshold`` times its trust is blocked.
+distrust exceeds ``threshold`` times its trust is blocked.  The walk goes on
+until no score changes by more than TOLERANCE of itself, so it has reached every
+host that a seed can reach; a chain of n hosts takes n steps.
 
 Everything is DataFrame functions; the graph holds hosts, not pages, and is
 written to the shared checkpoint folder every few steps.  Pages meet what is
@@ -25,7 +27,8 @@ from supportlake.session import cut_lineage
 Rule = tuple[str, str, str]
 
 DAMPING = 0.85
-STEPS = 8
+STEPS = 8            # unrolled in the oracle; the query walks until scores settle
+TOLERANCE = 1e-6     # largest change of a score, as a share of it, over the last CUT_EVERY steps
 CUT_EVERY = 2
 THRESHOLD = 1.0
 DIGITS = 9           # scores are given with so many decimals; they are compared as they are
@@ -116,10 +119,14 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return out.unionByName(tied).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, steps: int | None = None, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust).  ``seeds``: (side, host, weight), side 0 trusted,
     side 1 blocked.  Both sides run in one join per step; a hot destination is
-    summed before the shuffle.  A seed set's weights are scaled to one."""
+    summed before the shuffle.  A seed set's weights are scaled to one.
+
+    Without ``steps`` the walk goes on until scores settle.  It then starts from
+    what the seeds get in any case, so scores only grow and a host is never
+    taken for settled before the walk has reached it."""
     total = seeds.groupBy("side").agg(F.sum("weight").alias("total"))
     start = cut_lineage(seeds.join(total, "side").select("side", "host", (F.col("weight") / F.col("total")).alias("seed")))
     forth = edges.select(F.lit(0).alias("side"), "src", "dst", "n")
@@ -127,22 +134,32 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: f
     both = forth.unionByName(back)
     outs = both.groupBy("side", "src").agg(F.sum("n").alias("all"))
     flow = cut_lineage(both.join(outs, ["side", "src"]).select("side", "src", "dst", (F.col("n") / F.col("all")).alias("share")))
-    rank = start.select("side", "host", F.col("seed").alias("score"))
-    for step in range(1, steps + 1):
-        moved = rank.withColumnRenamed("host", "src").join(flow, ["side", "src"]).select(
-            "side", F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("score"))
-        fresh = start.select("side", "host", (F.lit(1 - damping) * F.col("seed")).alias("score"))
-        rank = moved.unionByName(fresh).groupBy("side", "host").agg(F.sum("score").alias("score"))
-        if step % CUT_EVERY == 0 or step == steps:
-            rank = cut_lineage(rank)
+    share = 1 - damping if steps is None else 1.0
+    rank = start.select("side", "host", (F.lit(share) * F.col("seed")).alias("score"))
+    fresh = start.select("side", "host", (F.lit(1 - damping) * F.col("seed")).alias("score"), F.lit(0.0).alias("last"))
+    done = 0
+    while steps is None or done < steps:
+        before = rank.select("side", "host", F.lit(0.0).alias("score"), F.col("score").alias("last"))
+        for _ in range(CUT_EVERY if steps is None else min(CUT_EVERY, steps - done)):
+            moved = rank.withColumnRenamed("host", "src").join(flow, ["side", "src"]).select(
+                "side", F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("score"),
+                F.lit(0.0).alias("last"))
+            done, parts = done + 1, moved.unionByName(fresh)
+            if done % CUT_EVERY == 0:
+                parts = parts.unionByName(before)
+            rank = parts.groupBy("side", "host").agg(F.sum("score").alias("score"), F.max("last").alias("last"))
+        rank = cut_lineage(rank)
+        if steps is None and not rank.where(F.col("score") > F.col("last") * (1 + TOLERANCE)).head(1):
+            break
     side = lambda k: F.coalesce(F.sum(F.when(F.col("side") == k, F.col("score"))), F.lit(0.0))
     return rank.groupBy("host").agg(side(0).alias("trust"), side(1).alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], steps: int = STEPS, damping: float = DAMPING,
+def judge_urls(pages: DataFrame, rules: list[Rule], steps: int | None = None, damping: float = DAMPING,
                threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust), one row per row of
-    ``pages`` (page_id, url, html).
+    ``pages`` (page_id, url, html).  ``steps`` bounds the walk; without it scores
+    settle first.
 
     Defined cases: a null url, or one without ``://``, has an empty host and
     path, fits no rule and is allowed; a null html has no links; a null page_id

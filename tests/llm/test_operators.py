@@ -175,11 +175,27 @@ def test_verdicts_do_not_depend_on_the_number_of_blocked_pages(spark):
         url = (F.when(F.col("id") < many, "http://big.net/es/").when(F.col("id") == many, "http://s.p.org/es/").otherwise(sub))
         pages = spark.range(many + 20_000).select(F.col("id").alias("page_id"), url.alias("url"), F.lit("").alias("html"))
         rules = [("big.net", "/es/", "block"), ("s.p.org", "/es/", "block")]
-        got = urltrust.judge_urls(pages, rules).groupBy("verdict").agg(F.count("*"), F.min("distrust")).collect()
+        got = urltrust.judge_urls(pages, rules, steps=8).groupBy("verdict").agg(F.count("*"), F.min("distrust")).collect()
         assert [r[:2] for r in got] == [("block", many + 20_000)]
     assert got[0][2] == 0.0                # as rounded for the output: compared so, these hosts were allowed
 
 
+def test_the_walk_goes_on_until_scores_settle(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">' for h in hosts)
+    hosts = ["bad.net"] + [f"h{i}.org" for i in range(1, 14)]
+    to = {i: [i - 1] for i in range(2, 14)} | {0: [], 1: [0, 5, 9], 6: [5, 12]}
+    pages = spark.createDataFrame([(i, f"http://{h}/es/", link(*(hosts[j] for j in to[i]))) for i, h in enumerate(hosts)],
+                                  "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in urltrust.judge_urls(pages, URL_RULES).collect()}
+    m = np.zeros((14, 14))                      # distrust runs against the links
+    for i, out in to.items():
+        m[i, out] = 1
+    m = m / np.maximum(m.sum(0), 1)
+    want = np.linalg.solve(np.eye(14) - 0.85 * m, 0.15 * np.eye(14)[0])
+    assert (want > 0).all() and {r["verdict"] for r in got.values()} == {"block"}
+    assert [got[i]["distrust"] for i in range(14)] == pytest.approx(want.tolist(), rel=1e-5, abs=1e-9)
+
+
 def test_a_hot_host_is_dealt_to_parts(spark):
     pages = spark.range(4000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, None).when(
         F.col("id") % 3 == 1, F.concat(F.lit("http://b.net/fr/"), F.col("id").cast("string"))).otherwise(
