@@ -24,8 +24,8 @@ SCALE = 1024
 LEAF = 128
 SHARD_ROWS = 16_384
 QUERY_BLOCK = 4_096
-LARGEST = 1 << 28            # larger scaled components could leave the range of a long score
-NONE = -(1 << 63)            # no k-th score yet
+LONG = 1 << 63               # scaled components are longs
+NONE = -LONG                 # no k-th score yet; as a score: at or below the long range
 PAIR = "query_id long, vec_id long, score long"
 
 
@@ -50,7 +50,7 @@ class Tree:
             self.rows.append(None)
             if parent >= 0:
                 self.children[parent][side] = me
-            axis = int((high - low).argmax())
+            axis = int((high.astype(float) - low).argmax())
             if len(rows) <= leaf or high[axis] == low[axis]:
                 self.rows[me] = np.sort(rows)
                 continue
@@ -59,6 +59,7 @@ class Tree:
             stack.append((rows[split[half:]], me, 1))
             stack.append((rows[split[:half]], me, 0))
         self.low, self.high = np.array(self.low), np.array(self.high)
+        self.most = np.maximum(np.abs(self.low), np.abs(self.high)).max(1)
 
     def top(self, query, own: int, k: int, floor: int | None):
         """The k best (score, id) at or above ``floor``, without the row ``own``."""
@@ -66,6 +67,12 @@ class Tree:
 
         # the most that any point of a box can score, for all boxes
         bound = np.maximum(query * self.low, query * self.high).sum(1)
+        # boxes where a product could leave int64: Python integers
+        exact = query.astype(object)
+        wide = self.most > (LONG - 1) // (len(query) * max(1, int(np.abs(query).max())))
+        if wide.any():
+            bound = bound.astype(object)
+            bound[wide] = np.maximum(exact * self.low[wide], exact * self.high[wide]).sum(1)
         best: list[tuple[int, int]] = []               # heap of (score, -id): the worst first
         kth = floor
         open_boxes = [(-int(bound[0]), 0)]
@@ -79,7 +86,7 @@ class Tree:
                     if kth is None or bound[c] >= kth:
                         heapq.heappush(open_boxes, (-int(bound[c]), c))
                 continue
-            score = self.x[rows] @ query
+            score = self.x[rows].astype(object) @ exact if wide[node] else self.x[rows] @ query
             if kth is not None:
                 keep = score >= kth
                 rows, score = rows[keep], score[keep]
@@ -95,6 +102,14 @@ class Tree:
         return best
 
 
+def in_range(score: int) -> int:
+    """A score above the long range is among the best of all shards, so it
+    raises at once; one below may still fall to others and becomes NONE."""
+    if score >= LONG:
+        raise OverflowError(f"the inner product {score} is not a long; use a smaller scale")
+    return max(score, NONE)
+
+
 def _search(k: int):
     def group(key, queries, rows):
         import numpy as np
@@ -104,7 +119,7 @@ def _search(k: int):
         if len(queries) and len(rows):
             tree = Tree(rows["vec_id"].to_numpy(), np.array(rows["v"].tolist(), np.int64))
             for own, v, floor in zip(queries["vec_id"].tolist(), queries["v"], queries["floor"].tolist()):
-                out += [(own, -i, s) for s, i in tree.top(np.array(v, np.int64), own, k, None if floor == NONE else floor)]
+                out += [(own, -i, in_range(s)) for s, i in tree.top(np.array(v, np.int64), own, k, None if floor == NONE else floor)]
         return pd.DataFrame({n: np.array(c, np.int64) for n, c in zip(
             ("query_id", "vec_id", "score"), zip(*out) if out else ([], [], []))})
 
@@ -122,12 +137,13 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, scale: int = SCALE, i
     ``every``, the k other rows with the largest integer inner product.
 
     Defined cases: vectors that are null, hold null or non-finite numbers, lack
-    an id, have another length than most, or a scaled component of 2**28 or
-    more take no part (zero vectors do); ties go to the smaller id; rows that
+    an id, have another length than most, or a scaled component that is not a
+    long (2**63 or more) take no part (zero vectors do); a score of the result
+    that is not a long raises; ties go to the smaller id; rows that
     repeat an id are one row (the least vector); fewer than k others: all of
     them; an empty table gives an empty one; other columns are not looked at."""
     ok = usable(rows, id_col, vec_col)
-    ok = ok.where(F.forall("v", lambda x: F.abs(x) * scale < LARGEST)).select(
+    ok = ok.where(F.forall("v", lambda x: F.abs(x) * scale < float(LONG))).select(
         "vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
     ok = cut_lineage(ok.groupBy("vec_id").agg(F.min("v").alias("v")))
     ok = ok.where(F.size("v") == common_length(ok))
@@ -146,7 +162,9 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, scale: int = SCALE, i
                 .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
                 .select(*[F.col(c).alias(c) for c in ("vec_id", "v", "floor", "shard", "block")]))
         at_home = at_home.unionByName(away.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(_search(k), PAIR))
-    return _top(at_home, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    score = F.when(F.col("score") == NONE, F.raise_error(F.lit("an inner product is not a long; use a smaller scale")).cast("long")).otherwise(
+        F.col("score"))
+    return _top(at_home, k).select("query_id", F.col("rank").cast("int"), "vec_id", score.alias("score"))
 
 
 def oracle_sql(every: int = 100, k: int = 10, scale: int = SCALE) -> str:

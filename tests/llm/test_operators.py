@@ -285,6 +285,24 @@ def test_kdtree_across_shards(spark):
     assert got == brute_products(pairs, 20, 7)
 
 
+def test_kdtree_keeps_large_vectors(spark):
+    rng = np.random.default_rng(4)
+    pairs = [(i, rng.integers(-3, 4, 2).astype(float).tolist()) for i in range(400)]
+    pairs[7] = (7, [300000.0, -262144.0])                                        # once left out from 262144 on
+    pairs[20], pairs[21], pairs[22] = (20, [4e6, 4e6]), (21, [4e6, -4e6]), (22, [-4e6, 4000000.25])   # products beyond int64 that cancel
+    df = spark.createDataFrame(pairs, "vec_id long, embedding array<double>")
+    v = {i: [int(np.floor(1024 * x)) for x in e] for i, e in pairs}
+    want = []
+    for q in range(0, 400, 20):
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)[:5]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    got = [tuple(r) for r in kdtree.search(df, 20, 5, shard_rows=100).orderBy("query_id", "rank").collect()]
+    assert got == want and {7, 21, 22} & {c for _, _, c, _ in got}
+    over = spark.createDataFrame([(0, [4e6, 4e6]), (1, [4e6, 4e6])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="not a long"):
+        kdtree.search(over, 20, 5).collect()
+
+
 # ---- 4 packing ---------------------------------------------------------------------
 
 def test_plan_places_everything_once():
