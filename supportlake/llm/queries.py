@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with their oracles where SQL
+"""The registered queries of the operators, with their oracles where SQL
 can say them.  Merged into the entry point by ``__spark_entry__`` only."""
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportlake.llm import bytebpe, kdtree, langid, linededup, mih, packing, quality, rans, simhash, urltrust
+from supportlake.llm import (
+    bytebpe, filteraudit, kdtree, langid, linededup, mih, packing, quality, rans, resample, secretscan, simhash, urltrust)
 from supportlake.session import ensure_checkpoint_dir
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -76,12 +77,27 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.search(_read(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(_read(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_url_filters, op3_nearest, op4_packing, op5_quality, op6_token_files, op7_language, op8_repeats,
-    op9_byte_bpe, op10_top_k)}
+    op9_byte_bpe, op10_top_k, op11_secrets, op12_filter_audit, op13_resample)}
 
 ORACLES = {
     "op2_url_filters": urltrust.oracle_sql(URL_RULES),
     "op8_repeats": linededup.oracle_sql(),
     "op10_top_k": kdtree.oracle_sql(),
+    "op11_secrets": secretscan.oracle_sql(),
+    "op12_filter_audit": filteraudit.oracle_sql(),
+    "op13_resample": resample.oracle_sql(),
 }
