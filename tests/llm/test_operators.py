@@ -578,6 +578,46 @@ def test_byte_bpe_long_words(reference_bpe):
     assert c.decode(ids) == [t.encode() for t in texts]
 
 
+def test_byte_bpe_very_long_words_take_bounded_time(reference_bpe, monkeypatch):
+    import time
+
+    rng = np.random.default_rng(6)
+    letters, c = list("abcdefghijklmnopqrstuvwxyz"), bytebpe.codec(BYTE_BPE, P.PATTERN)
+    texts = ["".join(rng.choice(letters, 200_000)), "a" * 200_000, "abc" * 66_667, "".join(rng.choice(list("日本語中文字"), 60_000)), "0" * 100_000]
+    for t in texts:
+        began = time.time()
+        (ids,) = c.encode([t])
+        assert time.time() - began < 10
+        assert np.frombuffer(ids, "<u4").tolist() == reference_bpe.encode_ordinary(t)
+        assert c.decode([ids]) == [t.encode()]
+    # the second way, from left to right, for every word whose windows do not fit at once
+    calls = []
+    own = c._from_left
+    monkeypatch.setattr(bytebpe, "ROUNDS", 0)
+    monkeypatch.setattr(c, "_from_left", lambda w: calls.append(w) or own(w))
+    short = [t[:7001] for t in texts] + ["aab" * 2000 + "c", "thethethe" * 300]
+    assert [np.frombuffer(k, "<u4").tolist() for k in c.encode(short)] == [reference_bpe.encode_ordinary(t) for t in short]
+    assert calls
+
+
+def test_byte_bpe_generations_and_parts(reference_bpe, monkeypatch):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abeinrstü"), rng.integers(1, 12))) for _ in range(3000)] + ["x" * 70, "don't", "a\u00a0b", "12", "\n\n", "  "]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(60)]
+    monkeypatch.setattr(bytebpe, "CACHE_PIECES", 500)
+    c = bytebpe.Codec(BYTE_BPE, P.PATTERN)
+    for x in range(0, 60, 7):
+        got = c.encode(texts[x:x + 7])
+        assert [np.frombuffer(k, "<u4").tolist() for k in got] == [reference_bpe.encode_ordinary(t) for t in texts[x:x + 7]]
+        assert len(c._new.keys) < 4000 and not any(len(k) > bytebpe.LONGEST_CACHED for k in c._new.keys.to_pylist())
+    monkeypatch.setattr(bytebpe, "BATCH_CHARS", 100)
+    monkeypatch.setattr(bytebpe, "QUERY_TOKENS", 50)
+    whole = " ".join(texts)
+    ids = c.encode_whole(whole)
+    assert np.frombuffer(ids, "<u4").tolist() == reference_bpe.encode_ordinary(whole)
+    assert c.decode([ids, b"", ids[:400]]) == [whole.encode(), b"", b"".join(map(reference_bpe.decode_single_token_bytes, np.frombuffer(ids[:400], "<u4").tolist()))]
+
+
 # ---- all of them --------------------------------------------------------------------------------
 
 def test_pipeline_rows(spark, sf_small):
