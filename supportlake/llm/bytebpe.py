@@ -36,6 +36,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from supportlake.llm.stretches import Stretches, runs_of
+
 CACHE_PIECES = 300_000       # of a generation; the one before it is kept to draw from
 LONGEST_CACHED = 64
 LONG_WORD = 256              # bytes
@@ -111,45 +113,6 @@ class _Generations(dict):
         return out
 
 
-class _Stretches:
-    """Stretches (an Arrow array) with their tokens, looked up by the batch."""
-
-    def __init__(self):
-        import numpy as np
-        import pyarrow as pa
-
-        self.keys = pa.array([], pa.large_string())
-        self.begin, self.size, self.tokens = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
-
-    def find(self, names):
-        """Places of ``names``, -1 for those that are not here."""
-        import pyarrow.compute as pc
-
-        return pc.fill_null(pc.index_in(names, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype("int64")
-
-    def add(self, names, size, tokens) -> None:
-        import numpy as np
-        import pyarrow as pa
-
-        self.begin = np.concatenate([self.begin, len(self.tokens) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.tokens = np.concatenate([self.tokens, tokens])
-        self.keys = pa.concat_arrays([self.keys, names])
-
-    def cut(self, n: int) -> None:
-        """Forget all but the first ``n``."""
-        self.keys, self.begin, self.size = self.keys.slice(0, n), self.begin[:n], self.size[:n]
-        self.tokens = self.tokens[:int(self.begin[-1] + self.size[-1]) if n else 0]
-
-    def of(self, places):
-        """(tokens of ``places`` one after another, their numbers)."""
-        import numpy as np
-
-        n = self.size[places]
-        upto = np.cumsum(n)
-        return self.tokens[np.repeat(self.begin[places] - (upto - n), n) + np.arange(int(upto[-1]) if len(upto) else 0)], n
-
-
 class Codec:
     def __init__(self, path: str, pattern: str):
         import duckdb
@@ -175,7 +138,7 @@ class Codec:
         # a stretch between blanks stands alone only if the pattern lets a match take the blank before it and none after it
         self._by_blank = pattern == _BLANK_FIRST
         self._words = _Generations()
-        self._new, self._old = _Stretches(), _Stretches()
+        self._new, self._old = Stretches(), Stretches()
         self._fits: dict[tuple[int, int], bool] = {}
 
     def _contract(self, words: list[bytes], query: str = _SHORT) -> list[bytes]:
@@ -184,7 +147,7 @@ class Codec:
 
         np, pa = self._np, self._pa
         out: list[bytes] = []
-        for x, y in _runs([len(b) for b in words], QUERY_BYTES):
+        for x, y in runs_of([len(b) for b in words], QUERY_BYTES):
             part = words[x:y]
             raw = self._byte[np.frombuffer(b"".join(part), np.uint8)]
             ends = np.cumsum([0, *map(len, part)]).astype(np.int32)
@@ -314,34 +277,6 @@ class Codec:
                 del words[w]
         return out
 
-    def _places(self, names):
-        """Places in the new generation of distinct stretches, which are there
-        without the blank that each begins with."""
-        import pyarrow.compute as pc
-
-        np, pa = self._np, self._pa
-        if len(self._new.keys) > CACHE_PIECES:
-            self._old, self._new = self._new, _Stretches()
-        out = self._new.find(names)
-        left = np.flatnonzero(out < 0)
-        if len(left):
-            asked = names.take(pa.array(left))
-            long = pc.greater(pc.utf8_length(asked), LONGEST_CACHED).to_numpy(zero_copy_only=False)
-            places = self._old.find(asked)
-            # those of the old generation, the new ones, and last those that will not be kept
-            order = np.argsort(np.where(long, 2, np.where(places >= 0, 0, 1)), kind="stable")
-            kept, of_old = int((~long).sum()), int((~long & (places >= 0)).sum())
-            asked = asked.take(pa.array(order))
-            tokens, size = self._old.of(places[order[:of_old]])
-            ids = self._ids([" " + x for x in asked.slice(of_old).to_pylist()])
-            out[left[order]] = len(self._new.keys) + np.arange(len(order))
-            self._keep = len(self._new.keys) + kept
-            self._new.add(asked, np.concatenate([size, np.fromiter(map(len, ids), np.int64, len(ids)) // 4]),
-                          np.concatenate([tokens, np.frombuffer(b"".join(ids), "<u4")]))
-        else:
-            self._keep = len(self._new.keys)
-        return out
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids per text."""
         np, pa = self._np, self._pa
@@ -373,10 +308,17 @@ class Codec:
         return out
 
     def _new_of(self, coded):
-        """(tokens, their numbers) of a dictionary-coded array of stretches."""
-        places = self._places(coded.dictionary)
+        """(tokens, their numbers) of a dictionary-coded array of stretches,
+        which stand there without the blank that each begins with."""
+        if len(self._new.keys) > CACHE_PIECES:
+            self._old, self._new = self._new, Stretches()
+        def ids_of(new):
+            ids = self._ids([" " + x for x in new])
+            return self._np.frombuffer(b"".join(ids), "<u4"), self._np.fromiter(map(len, ids), "int64", len(ids)) // 4
+
+        places, keep = self._new.places(coded.dictionary, self._old, LONGEST_CACHED, ids_of)
         got = self._new.of(places[coded.indices.to_numpy()])
-        self._new.cut(self._keep)
+        self._new.cut(keep)
         return got
 
     def encode_whole(self, text: str) -> bytes:
@@ -395,7 +337,7 @@ class Codec:
         np, pa = self._np, self._pa
         parts = [(i, b[a:a + 4 * QUERY_TOKENS]) for i, b in enumerate(ids) for a in range(0, len(b), 4 * QUERY_TOKENS)]
         out: list[list[bytes]] = [[] for _ in ids]
-        for x, y in _runs([len(b) for _, b in parts], 4 * QUERY_TOKENS):
+        for x, y in runs_of([len(b) for _, b in parts], 4 * QUERY_TOKENS):
             some = parts[x:y]
             n = np.array([len(b) // 4 for _, b in some], np.int64)
             tok = np.frombuffer(b"".join(b for _, b in some), "<u4").astype(np.int32)
@@ -423,18 +365,6 @@ def codec(path: str, pattern: str) -> Codec:
     return _OPEN[path, pattern]
 
 
-def _runs(sizes: list[int], most: int):
-    """Index ranges whose sizes add up to at most ``most`` (or hold one item)."""
-    a, total = 0, 0
-    for i, n in enumerate(sizes):
-        if i > a and total + n > most:
-            yield a, i
-            a, total = i, 0
-        total += n
-    if a < len(sizes):
-        yield a, len(sizes)
-
-
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): ids are little-endian unsigned 32-bit."""
     return _through(docs, ranks, pattern, id_col, text_col, False)
@@ -462,7 +392,7 @@ def _through(docs, ranks, pattern, id_col, text_col, digests):
         for b in it:
             ids = b.column(0)
             sizes = [0 if t is None else t for t in pc.binary_length(b.column(1)).to_pylist()]
-            for x, y in _runs(sizes, BATCH_CHARS):
+            for x, y in runs_of(sizes, BATCH_CHARS):
                 texts = [t or "" for t in b.column(1).slice(x, y - x).to_pylist()]
                 codes = c.encode(texts) if len(texts) > 1 else [c.encode_whole(texts[0])]
                 n = pa.array([len(k) // 4 for k in codes], pa.int64())
@@ -487,7 +417,7 @@ def decode(rows: DataFrame, ranks: str, pattern: str) -> DataFrame:
         c = codec(ranks, pattern)
         for b in it:
             codes = [x or b"" for x in b.column(1).to_pylist()]
-            for x, y in _runs([len(k) for k in codes], 4 * BATCH_CHARS):
+            for x, y in runs_of([len(k) for k in codes], 4 * BATCH_CHARS):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(c.decode(codes[x:y]), pa.binary())], ["doc_id", "bytes"])
 
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(batches, "doc_id long, bytes binary")

@@ -39,16 +39,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
         import pyarrow as pa
 
-        from supportlake.llm.tokens import text_ids
+        from supportlake.llm.tokens import column_ids
 
-        ids_of = text_ids(tokenizer)
+        ids_of = column_ids(tokenizer)
         end = end_id.to_bytes(4, "little")
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                             ("ids_crc32", pa.int64()), ("ids", pa.binary())])
         for b in it:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = ids_of(text.as_py() or "") + end
+            for doc, ids in zip(b.column(0).to_pylist(), ids_of(b.column(1))):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), capacity * 4)):
                     part = ids[at:at + capacity * 4]
                     rows.append((doc, k, k * capacity, len(part) // 4, zlib.crc32(part), part if keep_ids else None))

@@ -196,9 +196,9 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, partitions: in
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from supportlake.llm.tokens import text_ids
+        from supportlake.llm.tokens import column_ids
 
-        ids_of = text_ids(tokenizer)
+        ids_of = column_ids(tokenizer)
         end = end_id.to_bytes(4, "little")
         part, seq = TaskContext.get().partitionId(), 0
         held: list[tuple[int, object]] = []
@@ -232,8 +232,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, partitions: in
                 ["part", "seq", "first_doc", "freqs", "blocks"])
 
         for b in it:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.frombuffer(ids_of(text.as_py() or "") + end, "<u4")
+            for doc, ids in zip(b.column(0).to_pylist(), ids_of(b.column(1))):
+                ids = np.frombuffer(ids + end, "<u4")
                 ids = ids.astype(np.uint16) if ids.max() < 1 << 16 else ids
                 held.append((NO_ID if doc is None else doc, ids))
                 size += len(ids)
