@@ -182,14 +182,24 @@ def decode_block(data: bytes, table, scale: int = SCALE, every: int = CHECK_STEP
     return docs, lengths, ids
 
 
+def block_documents(data: bytes):
+    """(doc ids, lengths, lanes) of a block, without decoding it."""
+    import numpy as np
+
+    _, lanes, _, m, *_ = _HEAD.unpack_from(data)
+    docs = np.frombuffer(data, "<i8", m, _HEAD.size)
+    return docs, np.frombuffer(data, "<i8", m, _HEAD.size + docs.nbytes), lanes
+
+
 NO_ID = -(1 << 63)                       # stands for a null doc_id, which comes first
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, partitions: int | None = None,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+           id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT, block_ids: int = BLOCK) -> DataFrame:
     """The records (see FILES) of all documents in ascending doc_id order: rows
-    are range-partitioned by doc_id and sorted within, so part, seq and the
-    order inside a block give the order of the corpus."""
+    are range-partitioned by doc_id and, as an id may repeat, the length and
+    hash of their text, and sorted within, so part, seq and the order inside a
+    block give the order of the corpus."""
 
     def batches(it):
         import numpy as np
@@ -218,7 +228,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, partitions: in
             blocks, a = [], 0
             while a < len(held):
                 b, n = a, 0
-                while b < len(held) and (not n or n + len(held[b][1]) <= BLOCK):
+                while b < len(held) and (not n or n + len(held[b][1]) <= block_ids):
                     n += len(held[b][1])
                     b += 1
                 blocks.append({"tokens": n, "data": encode_block(
@@ -237,7 +247,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, partitions: in
                 ids = ids.astype(np.uint16) if ids.max() < 1 << 16 else ids
                 held.append((NO_ID if doc is None else doc, ids))
                 size += len(ids)
-                if size >= SEGMENT:
+                if size >= segment_ids:
                     yield segment()
                     held, size = [], 0
         if held:
@@ -246,22 +256,28 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, partitions: in
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), F.length("text"), F.xxhash64("text"))
-    return ordered.mapInArrow(batches, FILES)
+    order = [F.col("doc_id").asc_nulls_first(), F.length("text"), F.xxhash64("text")]
+    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(batches, FILES)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None,
+          segment_ids: int = SEGMENT, block_ids: int = BLOCK) -> None:
     """Write the records of ``docs`` as a dataset at ``path`` (any file system Spark writes to)."""
-    encode(docs, tokenizer, end_id, partitions).write.mode("error").option("compression", "none").parquet(path)
+    records = encode(docs, tokenizer, end_id, partitions, segment_ids=segment_ids, block_ids=block_ids)
+    records.write.mode("error").option("compression", "none").parquet(path)
 
 
-def read(spark, path: str) -> DataFrame:
+def read(spark, path: str, between: tuple[int, int] | None = None) -> DataFrame:
     """(part, seq, block, doc_id, inner, n_tokens, ids): documents decoded from
     the files at ``path``; ids are little-endian unsigned 32-bit, inner is the
     number of ids before the document in its block.  Blocks are decoded one by
-    one with their segment's table; checksums are verified."""
-    return _decoded(spark, path, True)
+    one with their segment's table; checksums are verified.
+
+    ``between``: only documents whose id lies between these two (both
+    included, no null ids).  Segments that begin behind them are not read, and
+    of a block only the stretches that hold them are decoded, each from its
+    checkpoint."""
+    return _decoded(spark, path, True, between)
 
 
 def read_digests(spark, path: str) -> DataFrame:
@@ -269,34 +285,53 @@ def read_digests(spark, path: str) -> DataFrame:
     return _decoded(spark, path, False)
 
 
-def _decoded(spark, path: str, whole: bool) -> DataFrame:
-    blocks = spark.read.schema(FILES).parquet(path).select("part", "seq", "freqs", F.posexplode("blocks").alias("block", "b")).select(
-        "part", "seq", "block", "freqs", "b.data")
+def stretches_of(starts, lengths, wanted, width: int) -> list[int]:
+    """Numbers of the stretches of ``width`` ids that hold the wanted documents."""
+    import numpy as np
+
+    spans = [range(a // width, (a + n - 1) // width + 1) for a, n in zip(starts[wanted].tolist(), lengths[wanted].tolist())]
+    return np.unique([c for s in spans for c in s]).tolist()
+
+
+def _decoded(spark, path: str, whole: bool, between: tuple[int, int] | None = None) -> DataFrame:
+    segments = spark.read.schema(FILES).parquet(path)
+    if between:
+        segments = segments.where(F.col("first_doc") <= between[1])
 
     def batches(it):
+        import numpy as np
         import pyarrow as pa
 
-        last, table = None, None
         for b in it:
             for i in range(b.num_rows):
-                freqs = b.column(3)[i].as_py()
-                if freqs != last:
-                    last, table = freqs, table_from(freqs)
-                docs, lengths, ids = decode_block(b.column(4)[i].as_py(), table)
-                raw, at, out, inner = memoryview(ids.astype("<u4").tobytes()), 0, [], []
-                for k in (lengths * 4).tolist():
-                    out.append(bytes(raw[at:at + k]) if whole else zlib.crc32(raw[at:at + k]))
-                    inner.append(at // 4)
-                    at += k
-                m = len(docs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(c)[i].as_py()] * m, pa.int32()) for c in range(3)]
-                    + [pa.array([None if d == NO_ID else d for d in docs.tolist()], pa.int64()), pa.array(inner, pa.int64()),
-                       pa.array(lengths.tolist(), pa.int64()), pa.array(out, pa.binary() if whole else pa.int64())],
-                    ["part", "seq", "block", "doc_id", "inner", "n_tokens", "out"])
+                part, seq = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                table, blocks = None, b.column(3)[i].values
+                for block in range(len(blocks)):
+                    data = blocks.field("data")[block].as_py()
+                    only = None
+                    docs, lengths, lanes = block_documents(data)
+                    starts = np.cumsum(lengths) - lengths
+                    mine = np.ones(len(docs), bool)
+                    if between:
+                        mine = (docs >= between[0]) & (docs <= between[1]) & (docs != NO_ID)
+                        if not mine.any():
+                            continue
+                        only = stretches_of(starts, lengths, mine, lanes * CHECK_STEPS)
+                    table = table or table_from(b.column(2)[i].as_py())      # one table for the blocks of a segment
+                    ids = decode_block(data, table, only=only)[2]
+                    raw, out = memoryview(ids.astype("<u4").tobytes()), []
+                    for a, k in zip((starts[mine] * 4).tolist(), (lengths[mine] * 4).tolist()):
+                        out.append(bytes(raw[a:a + k]) if whole else zlib.crc32(raw[a:a + k]))
+                    m = int(mine.sum())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x] * m, pa.int32()) for x in (part, seq, block)]
+                        + [pa.array([None if d == NO_ID else d for d in docs[mine].tolist()], pa.int64()), pa.array(starts[mine], pa.int64()),
+                           pa.array(lengths[mine], pa.int64()), pa.array(out, pa.binary() if whole else pa.int64())],
+                        ["part", "seq", "block", "doc_id", "inner", "n_tokens", "out"])
 
     kind, name = ("binary", "ids") if whole else ("long", "ids_crc32")
-    return blocks.mapInArrow(batches, f"part int, seq int, block int, doc_id long, inner long, n_tokens long, out {kind}").withColumnRenamed("out", name)
+    return segments.select("part", "seq", "freqs", "blocks").mapInArrow(
+        batches, f"part int, seq int, block int, doc_id long, inner long, n_tokens long, out {kind}").withColumnRenamed("out", name)
 
 
 def with_starts(spark, path: str, decoded: DataFrame) -> DataFrame:

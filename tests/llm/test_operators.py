@@ -436,6 +436,40 @@ def test_token_files(docs, odd, none, tmp_path):
     assert rans.roundtrip(none, str(tmp_path / "none"), WORD_BPE).collect() == []
 
 
+def test_token_files_of_many_segments_and_blocks(spark, docs, tmp_path):
+    # an id that a third of the rows share, null ids, and a document longer than a block
+    rows = docs.select("doc_id", "text").unionByName(spark.range(120).select(
+        F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("again "), F.col("id").cast("string")).alias("text"))).unionByName(
+        spark.createDataFrame([(None, "none"), (None, "no"), (5000, "long word " * 9000)], "doc_id long, text string"))
+    texts = [(r["doc_id"], r["text"]) for r in rows.collect()]
+    path = str(tmp_path / "files")
+    rans.write(rows, path, WORD_BPE, partitions=3, segment_ids=20_000, block_ids=3_000)
+    files = spark.read.schema(rans.FILES).parquet(path)
+    assert files.count() > 5 and files.where(F.size("blocks") > 3).count() > 2
+    check_files(rans.with_starts(spark, path, rans.read_digests(spark, path)).collect(), texts)
+    ids = {}
+    for (i, _), k in zip(texts, whole_ids([t for _, t in texts])):
+        ids.setdefault(i, []).append(np.array(k, "<u4").tobytes())
+    for low, high in ((0, 0), (7, 30), (150, 10_000), (5000, 5000), (-5, -1), (9_000, 9_001)):
+        got = {}
+        for r in rans.read(spark, path, between=(low, high)).collect():
+            got.setdefault(r["doc_id"], []).append(bytes(r["ids"]))
+        assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in ids.items() if i is not None and low <= i <= high}
+
+
+def test_stretches_of_wanted_documents():
+    lengths = np.array([5, 1, 10, 3, 1])
+    starts = np.cumsum(lengths) - lengths
+    assert rans.stretches_of(starts, lengths, np.array([False, True, False, False, True]), 4) == [1, 4]
+    assert rans.stretches_of(starts, lengths, np.array([True, False, True, False, False]), 4) == [0, 1, 2, 3]
+
+
+def test_repeated_ids_are_split_over_partitions(spark):
+    rows = spark.range(4000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    parts = rans.encode(rows, WORD_BPE, partitions=4, segment_ids=1_000_000).select("part", F.expr("aggregate(blocks, 0L, (a, b) -> a + b.tokens)").alias("n")).collect()
+    assert len(parts) == 4 and max(r["n"] for r in parts) < 2 * min(r["n"] for r in parts)
+
+
 @pytest.mark.parametrize("n,lanes,every,top", [(1, 8, 4, 1), (7, 8, 4, 3), (1000, 16, 4, 50000), (4097, 32, 10, 2), (50_000, 128, 64, 60000)])
 def test_block_round_trip_and_parallel_stretches(n, lanes, every, top):
     rng = np.random.default_rng(n)
