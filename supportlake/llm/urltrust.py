@@ -27,7 +27,6 @@ from supportlake.session import cut_lineage
 Rule = tuple[str, str, str]
 
 DAMPING = 0.85
-STEPS = 8            # unrolled in the oracle; the query walks until scores settle
 TOLERANCE = 1e-6     # largest change of a score, as a share of it, over the last CUT_EVERY steps
 CUT_EVERY = 2
 THRESHOLD = 1.0
@@ -184,16 +183,13 @@ def judge_urls(pages: DataFrame, rules: list[Rule], steps: int | None = None, da
         F.round(trust, DIGITS).alias("trust"), F.round(distrust, DIGITS).alias("distrust"))
 
 
-def oracle_sql(rules: list[Rule], steps: int = STEPS, damping: float = DAMPING, threshold: float = THRESHOLD,
-               digits: int = DIGITS) -> str:
-    """The same verdicts as one DuckDB statement over ``pages`` (steps unrolled)."""
+def oracle_sql(rules: list[Rule], damping: float = DAMPING, threshold: float = THRESHOLD, digits: int = DIGITS) -> str:
+    """The same verdicts as one DuckDB statement over ``pages``: the same walk,
+    as a recursive query that goes on until no score of a step grew by more
+    than TOLERANCE over the last CUT_EVERY (two) steps."""
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
-    walk = ",\n".join(f"""r{i} AS (
-  SELECT side, host, sum(score) AS score FROM (
-    SELECT f.side, f.dst AS host, {damping} * r.score * f.share AS score FROM r{i - 1} r JOIN flow f ON f.side = r.side AND f.src = r.host
-    UNION ALL SELECT side, host, {1 - damping!r} * seed FROM start) GROUP BY side, host)""" for i in range(1, steps + 1))
     return f"""
-WITH rules(rhost, rpath, rverdict) AS (VALUES {values}),
+WITH RECURSIVE rules(rhost, rpath, rverdict) AS (VALUES {values}),
 p AS (SELECT page_id, html,
     coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, row_number() OVER () AS n FROM pages),
@@ -213,10 +209,19 @@ seeds AS (SELECT CASE WHEN rverdict = 'block' THEN 1 ELSE 0 END AS side, host, c
 start AS (SELECT side, host, w / sum(w) OVER (PARTITION BY side) AS seed FROM seeds),
 two AS (SELECT 0 AS side, src, dst, n FROM edges UNION ALL SELECT 1, dst, src, n FROM edges),
 flow AS (SELECT side, src, dst, n / sum(n) OVER (PARTITION BY side, src) AS share FROM two),
-r0 AS (SELECT side, host, seed AS score FROM start),
-{walk},
-scores AS (SELECT host, round(coalesce(sum(score) FILTER (side = 0), 0), {digits}) AS trust, round(coalesce(sum(score) FILTER (side = 1), 0), {digits}) AS distrust FROM r{steps} GROUP BY host)
+walk(n, side, host, score, one, two, done) AS (
+  SELECT 0, side, host, {1 - damping!r} * seed, 0.0::DOUBLE, 0.0::DOUBLE, false FROM start
+  UNION ALL (
+    WITH cur AS (SELECT * FROM walk WHERE NOT done),
+    parts AS (
+      SELECT f.side, f.dst AS host, {damping} * c.score * f.share AS score, 0.0::DOUBLE AS one, 0.0::DOUBLE AS two
+        FROM cur c JOIN flow f ON f.side = c.side AND f.src = c.host
+      UNION ALL SELECT side, host, {1 - damping!r} * seed, 0.0, 0.0 FROM start WHERE EXISTS (SELECT 1 FROM cur)
+      UNION ALL SELECT side, host, 0.0, score, one FROM cur),
+    next AS (SELECT (SELECT max(n) + 1 FROM cur) AS n, side, host, sum(score) AS score, max(one) AS one, max(two) AS two FROM parts GROUP BY side, host)
+    SELECT n, side, host, score, one, two, n % {CUT_EVERY} = 0 AND NOT bool_or(score > two * {1 + TOLERANCE!r}) OVER () FROM next)),
+scores AS (SELECT host, coalesce(sum(score) FILTER (side = 0), 0) AS trust, coalesce(sum(score) FILTER (side = 1), 0) AS distrust FROM walk WHERE done GROUP BY host)
 SELECT page_id, host, path, rule,
-    coalesce(rverdict, CASE WHEN coalesce(distrust, 0) > {threshold} * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
-    coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+    coalesce(rverdict, CASE WHEN coalesce(distrust, 0) > {threshold * (1 + TIE)!r} * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+    round(coalesce(trust, 0), {digits}) AS trust, round(coalesce(distrust, 0), {digits}) AS distrust
 FROM judged LEFT JOIN scores USING (host)"""
