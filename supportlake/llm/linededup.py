@@ -72,20 +72,27 @@ def digest_of(unit: str, seed: int = 0) -> tuple[int, int, int] | None:
 
 
 def _row_tag(text):
-    """31 bits of the text's hash: tells rows with one doc_id apart."""
-    return F.pmod(F.xxhash64(text), F.lit(1 << 31))
+    """The text's hash: tells rows with one doc_id (or without one) apart."""
+    return F.coalesce(F.xxhash64(text), F.lit(0).cast("long"))
+
+
+UNITS = "h1 long, h2 long, doc long, tag long, place long"
 
 
 def _units(rows: DataFrame, whole_lines: bool) -> DataFrame:
-    """(h1, h2, doc, pos): one row per unit with words, and per block if
-    ``whole_lines``.  pos = tag * 2**32 + place."""
+    """UNITS: one row per unit with words, and per block if ``whole_lines``."""
 
     def batches(it):
         import numpy as np
         import pyarrow as pa
 
+        def rows_of(h1, h2, place, docs, tags, counts):
+            return pa.RecordBatch.from_arrays(
+                [np.array(h1, np.uint64).view(np.int64), np.array(h2, np.uint64).view(np.int64), np.repeat(np.array(docs, np.int64), counts),
+                 np.repeat(np.array(tags, np.int64), counts), np.array(place, np.int64)], ["h1", "h2", "doc", "tag", "place"])
+
         for b in it:
-            h1, h2, doc, pos = [], [], [], []
+            h1, h2, place, docs, tags, counts = [], [], [], [], [], []
             for d, tag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 n = len(h1)
                 text = text.as_py()
@@ -93,21 +100,21 @@ def _units(rows: DataFrame, whole_lines: bool) -> DataFrame:
                     if (x := digest_of(unit)) is not None:
                         h1.append(x[0])
                         h2.append(x[1])
-                        pos.append(tag << 32 | 4 * k)
-                for place, start, stop in blocks_of(text) if whole_lines else ():
+                        place.append(4 * k)
+                for at, start, stop in blocks_of(text) if whole_lines else ():
                     x = digest_of(text[start:stop], seed=1)      # a block repeats blocks only
                     h1.append(x[0])
                     h2.append(x[1])
-                    pos.append(tag << 32 | place)
-                doc.extend([d] * (len(h1) - n))
+                    place.append(at)
+                docs.append(d)
+                tags.append(tag)
+                counts.append(len(h1) - n)
                 if len(h1) > 200_000:
-                    yield pa.RecordBatch.from_arrays([np.array(h1, np.uint64).view(np.int64), np.array(h2, np.uint64).view(np.int64),
-                                                      np.array(doc, np.int64), np.array(pos, np.int64)], ["h1", "h2", "doc", "pos"])
-                    h1, h2, doc, pos = [], [], [], []
-            yield pa.RecordBatch.from_arrays([np.array(h1, np.uint64).view(np.int64), np.array(h2, np.uint64).view(np.int64),
-                                              np.array(doc, np.int64), np.array(pos, np.int64)], ["h1", "h2", "doc", "pos"])
+                    yield rows_of(h1, h2, place, docs, tags, counts)
+                    h1, h2, place, docs, tags, counts = [], [], [], [], [], []
+            yield rows_of(h1, h2, place, docs, tags, counts)
 
-    return rows.select("__doc", "__tag", "__text").where("__text <> ''").mapInArrow(batches, "h1 long, h2 long, doc long, pos long")
+    return rows.select("__doc", "__tag", "__text").where("__text <> ''").mapInArrow(batches, UNITS)
 
 
 def strip_runs(text: str, repeated, min_words: int, blocks=(), min_chars: int | None = None):
@@ -178,16 +185,15 @@ def _with_result(docs: DataFrame, min_words: int, id_col: str, text_col: str, wh
     text = F.col(text_col).cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__doc"),
-                       F.coalesce(_row_tag(text), F.lit(0)).alias("__tag"), text.alias("__text"))
-    units = _units(rows, whole_lines)
-    groups = units.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first"))
-    groups = groups.where("n > 1").select("h1", "h2", F.col("first.doc").alias("fdoc"), F.col("first.pos").alias("fpos"))
+                       _row_tag(text).alias("__tag"), text.alias("__text"))
+    units = cut_lineage(_units(rows, whole_lines))           # texts are cut and hashed once
+    groups = units.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tag", "place")).alias("first"))
+    groups = groups.where("n > 1").select("h1", "h2", "first")
     # what later occurrences leave behind: few rows beside the units, kept for the join with the texts
     later = (units.join(cut_lineage(groups), ["h1", "h2"])
-             .where((F.col("doc") != F.col("fdoc")) | (F.col("pos") != F.col("fpos"))))
-    marked = later.groupBy("doc", F.shiftright("pos", 32).alias("tag")).agg(
-        F.array_distinct(F.collect_list(F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("__marked"))
-    marked = cut_lineage(marked)
+             .where((F.col("doc") != F.col("first.doc")) | (F.col("tag") != F.col("first.tag")) | (F.col("place") != F.col("first.place"))))
+    # rows that repeat doc_id and text leave the same places
+    marked = cut_lineage(later.groupBy("doc", "tag").agg(F.collect_set("place").alias("__marked")))
     met = rows.join(marked, (rows["__doc"] == marked["doc"]) & (rows["__tag"] == marked["tag"]), "left")
     return met.select("row", _strip(min_words, whole_lines)(F.col("__text"), F.col("__marked")).alias("out"))
 
@@ -221,19 +227,34 @@ def with_repeats_removed(docs: DataFrame, min_words: int = MIN_WORDS, whole_line
     return out.select(*[new.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns])
 
 
-def oracle_sql(min_words: int = MIN_WORDS, source: str = "documents") -> str:
-    """The same texts and spans in DuckDB (ids unique and not null)."""
+def oracle_sql(min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, source: str = "documents") -> str:
+    """The texts and spans of ``remove_repeats(whole_lines=True)`` in DuckDB
+    (ids unique and not null)."""
+    words = r"list_filter(string_split_regex(lower({0}), '\s+'), lambda x: x <> '')"
     return f"""
 WITH u AS (SELECT doc_id, unnest(regexp_extract_all(text, '{UNIT_PATTERN}')) AS unit,
     generate_subscripts(regexp_extract_all(text, '{UNIT_PATTERN}'), 1) AS k FROM {source} WHERE text IS NOT NULL),
-w AS (SELECT *, list_filter(string_split_regex(lower(unit), '\\s+'), lambda x: x <> '') AS words,
-    sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM u),
-d AS (SELECT doc_id, k, unit, stop, stop - length(unit) AS start, len(words) AS n,
+w AS (SELECT *, {words.format('unit')} AS words, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM u),
+d AS (SELECT doc_id, k, stop, stop - length(unit) AS start, len(words) AS n,
     len(words) > 0 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, k) > 1 AS rep FROM w),
 g AS (SELECT *, sum(CASE WHEN n > 0 AND NOT rep THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM d),
-r AS (SELECT doc_id, run, min(start) AS start, max(stop) AS stop FROM g WHERE rep GROUP BY doc_id, run HAVING sum(n) >= {min_words}),
-t AS (SELECT g.doc_id, string_agg(g.unit, '' ORDER BY g.k) AS text FROM g
-    LEFT JOIN r ON r.doc_id = g.doc_id AND r.run = g.run AND g.start >= r.start AND g.stop <= r.stop WHERE r.doc_id IS NULL GROUP BY g.doc_id),
-s AS (SELECT doc_id, string_agg(start || '-' || stop, ',' ORDER BY start) AS removed FROM r GROUP BY doc_id)
-SELECT {source}.doc_id, CASE WHEN {source}.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, coalesce(s.removed, '') AS removed
-FROM {source} LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)"""
+r AS (SELECT doc_id, min(start) AS start, max(stop) AS stop, sum(n) AS n FROM g WHERE rep GROUP BY doc_id, run),
+runs AS (SELECT doc_id, start, stop FROM r JOIN {source} USING (doc_id) WHERE n >= {min_words}
+    OR length(regexp_replace(substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT), '^\\s+|\\s+$', '', 'g')) >= {min_chars}),
+l AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) AS line,
+    generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), 1) AS j FROM {source} WHERE text IS NOT NULL),
+lw AS (SELECT doc_id, j, array_to_string({words.format('line')}, ' ') AS words, length(line) AS n,
+    sum(length(line)) OVER (PARTITION BY doc_id ORDER BY j) AS stop FROM l),
+lp AS (SELECT *, stop - n AS start, sum(CASE WHEN words = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY j) AS paragraph FROM lw),
+blocks AS (SELECT doc_id, 4 * j + 1 AS place, words, start, stop FROM lp WHERE words <> ''
+    UNION ALL SELECT doc_id, 4 * min(j) + 2, string_agg(words, ' ' ORDER BY j), min(start), max(stop) FROM lp WHERE words <> ''
+    GROUP BY doc_id, paragraph HAVING count(*) > 1),
+again AS (SELECT doc_id, start, stop, row_number() OVER (PARTITION BY words ORDER BY doc_id, place) > 1 AS rep FROM blocks),
+spans AS (SELECT * FROM runs UNION ALL SELECT doc_id, start, stop FROM again WHERE rep),
+edge AS (SELECT *, coalesce(start > max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM spans),
+island AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS i FROM edge),
+one AS (SELECT doc_id, min(start)::BIGINT AS a, max(stop)::BIGINT AS b FROM island GROUP BY doc_id, i),
+s AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, string_agg(a || '-' || b, ',' ORDER BY a) AS removed FROM one GROUP BY doc_id)
+SELECT {source}.doc_id, CASE WHEN removed IS NULL THEN text ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda i:
+    substring(text, coalesce(b[i], 0) + 1, coalesce(a[i + 1], length(text)) - coalesce(b[i], 0))), '') END AS text, coalesce(removed, '') AS removed
+FROM {source} LEFT JOIN s USING (doc_id)"""
