@@ -250,7 +250,7 @@ blocks AS (SELECT doc_id, 4 * j + 1 AS place, words, start, stop FROM lp WHERE w
     UNION ALL SELECT doc_id, 4 * min(j) + 2, string_agg(words, ' ' ORDER BY j), min(start), max(stop) FROM lp WHERE words <> ''
     GROUP BY doc_id, paragraph HAVING count(*) > 1),
 again AS (SELECT doc_id, start, stop, row_number() OVER (PARTITION BY words ORDER BY doc_id, place) > 1 AS rep FROM blocks),
-spans AS (SELECT * FROM runs UNION ALL SELECT doc_id, start, stop FROM again WHERE rep),
+spans AS (SELECT * FROM runs UNION SELECT doc_id, start, stop FROM again WHERE rep),
 edge AS (SELECT *, coalesce(start > max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM spans),
 island AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS i FROM edge),
 one AS (SELECT doc_id, min(start)::BIGINT AS a, max(stop)::BIGINT AS b FROM island GROUP BY doc_id, i),
