@@ -15,28 +15,26 @@ import heapq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from supportlake.llm.mih import common_length, usable
+from supportlake.llm.mih import usable
+from supportlake.llm.shards import SHARD_ROWS, best, over_shards, shard_of, with_keys
 from supportlake.session import cut_lineage
 
 SCALE = 1024
 LEAF = 128
-SHARD_ROWS = 16_384
-QUERY_BLOCK = 4_096
 LONG = 1 << 63               # scaled components are longs
 NONE = -LONG                 # no k-th score yet; as a score: at or below the long range
-PAIR = "query_id long, vec_id long, score long"
+PAIR = "query long, query_id long, row long, vec_id long, score long"
 
 
 class Tree:
-    """Rows (ids, int64 matrix) under median splits; boxes are tight."""
+    """Rows (keys, ids, int64 matrix) under median splits; boxes are tight."""
 
-    def __init__(self, ids, x, leaf: int = LEAF):
+    def __init__(self, keys, ids, x, leaf: int = LEAF):
         import numpy as np
 
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
+        order = np.lexsort((keys, ids))
+        self.keys, self.ids, self.x = keys[order], ids[order], x[order]
         self.low, self.high, self.children, self.rows = [], [], [], []
         stack = [(np.arange(len(ids)), -1, 0)]
         while stack:
@@ -62,7 +60,7 @@ class Tree:
         self.most = np.maximum(np.abs(self.low), np.abs(self.high)).max(1)
 
     def top(self, query, own: int, k: int, floor: int | None):
-        """The k best (score, id) at or above ``floor``, without the row ``own``."""
+        """The k best (score, -id, -key) at or above ``floor``, without the row whose key is ``own``."""
         import numpy as np
 
         # the most that any point of a box can score, for all boxes
@@ -73,7 +71,7 @@ class Tree:
         if wide.any():
             bound = bound.astype(object)
             bound[wide] = np.maximum(exact * self.low[wide], exact * self.high[wide]).sum(1)
-        best: list[tuple[int, int]] = []               # heap of (score, -id): the worst first
+        best: list[tuple[int, int, int]] = []          # heap of (score, -id, -key): the worst first
         kth = floor
         open_boxes = [(-int(bound[0]), 0)]
         while open_boxes:
@@ -90,13 +88,13 @@ class Tree:
             if kth is not None:
                 keep = score >= kth
                 rows, score = rows[keep], score[keep]
-            for s, i in zip(score.tolist(), self.ids[rows].tolist()):
-                if i == own:
+            for s, i, r in zip(score.tolist(), self.ids[rows].tolist(), self.keys[rows].tolist()):
+                if r == own:
                     continue
                 if len(best) < k:
-                    heapq.heappush(best, (s, -i))
-                elif (s, -i) > best[0]:
-                    heapq.heapreplace(best, (s, -i))
+                    heapq.heappush(best, (s, -i, -r))
+                elif (s, -i, -r) > best[0]:
+                    heapq.heapreplace(best, (s, -i, -r))
             if len(best) == k:
                 kth = best[0][0] if kth is None else max(kth, best[0][0])
         return best
@@ -110,25 +108,11 @@ def in_range(score: int) -> int:
     return max(score, NONE)
 
 
-def _search(k: int):
-    def group(key, queries, rows):
-        import numpy as np
-        import pandas as pd
-
-        out = []
-        if len(queries) and len(rows):
-            tree = Tree(rows["vec_id"].to_numpy(), np.array(rows["v"].tolist(), np.int64))
-            for own, v, floor in zip(queries["vec_id"].tolist(), queries["v"], queries["floor"].tolist()):
-                out += [(own, -i, in_range(s)) for s, i in tree.top(np.array(v, np.int64), own, k, None if floor == NONE else floor)]
-        return pd.DataFrame({n: np.array(c, np.int64) for n, c in zip(
-            ("query_id", "vec_id", "score"), zip(*out) if out else ([], [], []))})
-
-    return group
-
+def _answer(k: int):
+    def answer(tree, key, vec_id, v, floor):
+        return [(key, vec_id, -r, -i, in_range(s)) for s, i, r in tree.top(v, key, k, None if floor == NONE else floor)]
 
-def _top(pairs: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return answer
 
 
 def search(rows: DataFrame, every: int = 100, k: int = 10, scale: int = SCALE, id_col: str = "vec_id",
@@ -137,42 +121,34 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, scale: int = SCALE, i
     ``every``, the k other rows with the largest integer inner product.
 
     Defined cases: vectors that are null, hold null or non-finite numbers, lack
-    an id, have another length than most, or a scaled component that is not a
-    long (2**63 or more) take no part (zero vectors do); a score of the result
-    that is not a long raises; ties go to the smaller id; rows that
-    repeat an id are one row (the least vector); fewer than k others: all of
-    them; an empty table gives an empty one; other columns are not looked at."""
+    an id, or have a scaled component that is not a long (2**63 or more) take no
+    part (zero vectors do); vectors meet those of their own length; a score of
+    the result that is not a long raises; ties go to the smaller id; rows that
+    repeat an id are rows of their own, and only the query's own row is left
+    out; fewer than k others: all of them; an empty table gives an empty one;
+    other columns are not looked at."""
     ok = usable(rows, id_col, vec_col)
-    ok = ok.where(F.forall("v", lambda x: F.abs(x) * scale < float(LONG))).select(
-        "vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
-    ok = cut_lineage(ok.groupBy("vec_id").agg(F.min("v").alias("v")))
-    ok = ok.where(F.size("v") == common_length(ok))
-    n, queries = ok.count(), ok.where(F.col("vec_id") % every == 0)
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-queries.count() // QUERY_BLOCK))
-    home = lambda df: df.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")
-    dealt = home(ok).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    by = ["shard", "block"]
-    # columns of their own: both sides of a cogroup come from one table
-    q = home(queries).withColumn("block", block).select(*[F.col(c).alias(c) for c in ("vec_id", "v", "shard", "block")])
-    at_home = cut_lineage(q.withColumn("floor", F.lit(NONE)).groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(_search(k), PAIR))
+    ok = with_keys(ok.where(F.forall("v", lambda x: F.abs(x) * scale < float(LONG))).select(
+        "vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v")))
+    shards, queries = max(1, -(-ok.count() // shard_rows)), ok.where(F.col("vec_id") % every == 0)
+    meet = lambda q: over_shards(q, ok, shards, Tree, _answer(k), PAIR, "bigint")
+    found = cut_lineage(meet(queries.withColumn("shard", shard_of(shards)).withColumn("extra", F.lit(NONE))))
     if shards > 1:
-        kth = _top(at_home, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-        away = (q.join(kth, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(NONE))).withColumnRenamed("shard", "home")
-                .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
-                .select(*[F.col(c).alias(c) for c in ("vec_id", "v", "floor", "shard", "block")]))
-        at_home = at_home.unionByName(away.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(_search(k), PAIR))
+        kth = best(found, k).where(F.col("rank") == k).select(F.col("query").alias("key"), F.col("score").alias("extra"))
+        away = (queries.join(kth, "key", "left").withColumn("extra", F.coalesce("extra", F.lit(NONE)))
+                .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != shard_of(shards)))
+        found = found.unionByName(meet(away))
     score = F.when(F.col("score") == NONE, F.raise_error(F.lit("an inner product is not a long; use a smaller scale")).cast("long")).otherwise(
         F.col("score"))
-    return _top(at_home, k).select("query_id", F.col("rank").cast("int"), "vec_id", score.alias("score"))
+    return best(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", score.alias("score"))
 
 
 def oracle_sql(every: int = 100, k: int = 10, scale: int = SCALE) -> str:
     """The same rows by comparing every query with every row in DuckDB."""
     return f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS e FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.row <> c.row AND len(q.e) = len(c.e) WHERE q.vec_id % {every} = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= {k}"""

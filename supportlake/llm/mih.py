@@ -6,6 +6,8 @@
   bounded sample (``sample`` rows, least hashes of the id).
 * Index: codes are cut into substrings of ``SUB`` bits and every shard of rows
   keeps, per substring, its rows sorted by value.
+* Tables: where the values within reach outnumber those that occur, the ones
+  that occur are walked instead.
 * Search: a code within radius ``r`` of the query differs in at most
   ``r // substrings`` bits of one of its substrings (pigeonhole; sharper for
   the substrings after the remainder).  Probing those values in each table
@@ -16,9 +18,10 @@
   all rows, so the share is a lower bound).  A query that finds fewer than k
   rows is answered exactly from all rows, in a second pass.
 
-Every row is indexed.  Rows are dealt to shards and queries to blocks by hash;
-each (shard, block) pair is one bounded group, and the best of the shards are
-merged by a top-k per query.
+Every row is indexed, once: rows are dealt to shards by hash, every shard is one
+task that its queries stream through, and the best of the shards are merged by a
+top-k per query.  Vectors of a length other than most are compared with all of
+their length.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from supportlake.llm.shards import SHARD_ROWS, best, over_shards, with_keys
 from supportlake.session import cut_lineage
 
 SAMPLE = 8_000
@@ -36,8 +39,6 @@ SAMPLE_QUERIES = 400
 CODE_BITS = 256
 SUB = 16
 SHARE = 0.995                # of the sample's true neighbours within the radius
-SHARD_ROWS = 16_384
-QUERY_BLOCK = 8_192
 SEED = 7
 
 
@@ -49,8 +50,7 @@ class Hash:
 
 
 def usable(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, v): array<double> without nulls or non-finite numbers, not all
-    zero, with an id, of the table's most frequent length (least on ties)."""
+    """(vec_id, v): array<double> without nulls or non-finite numbers, with an id."""
     v = F.col(vec_col).cast("array<double>")
     ok = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull()
@@ -104,7 +104,7 @@ def fit(rows: DataFrame, k: int, sample: int = SAMPLE) -> Hash:
     """From at most ``sample`` rows of ``rows`` (vec_id, v), those with the least hash of the id."""
     import numpy as np
 
-    dim = common_length(rows)
+    dim = common_length(rows)                          # the most frequent, least on ties
     got = (rows.where(F.size("v") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow())
     if not dim or not got.num_rows:
         return Hash(dim, np.zeros((max(dim, 1), CODE_BITS)), CODE_BITS)
@@ -130,6 +130,7 @@ class Shard:
         self.order = [np.argsort(self.subs[:, s], kind="stable") for s in range(self.subs.shape[1])]
         # where each value begins in the sorted order: 2**SUB + 1 places per table
         self.begin = [np.searchsorted(self.subs[o, s], np.arange((1 << SUB) + 1)) for s, o in enumerate(self.order)]
+        self.occurring = [np.flatnonzero(np.diff(b)).astype(np.uint16) for b in self.begin]
 
     def within(self, code, radius: int):
         """Every row whose code is at most ``radius`` bits from ``code``."""
@@ -143,7 +144,8 @@ class Shard:
             reach = near if s <= more else near - 1     # pigeonhole over the substrings
             if reach < 0:
                 continue
-            probes = _ball(reach) ^ values[s]
+            probes, own = _ball(reach), self.occurring[s]
+            probes = own[np.bitwise_count(own ^ values[s]) <= reach] if len(own) < len(probes) else probes ^ values[s]
             a, b = self.begin[s][probes], self.begin[s][probes.astype(np.int64) + 1]
             hit = b > a
             a, n = a[hit], (b - a)[hit]
@@ -167,35 +169,33 @@ def _ball(reach: int):
     return _BALLS[reach]
 
 
-PAIR = "query_id long, vec_id long, score double"
+PAIR = "query long, query_id long, row long, vec_id long, score double"
 
 
-def _search(shared, k: int):
-    def group(key, queries, rows):
+class Index:
+    """Rows of one shard and length; without codes if that length was not learned."""
+
+    def __init__(self, keys, ids, x, h: Hash):
+        self.keys, self.ids, self.x, self.unit = keys, ids, x, _unit(x)
+        self.shard = Shard(codes_of(self.unit, h.planes)) if x.shape[1] == h.dim else None
+
+
+def _answer(shared, k: int):
+    def answer(index, key, vec_id, v, exact):
         import numpy as np
-        import pandas as pd
 
         h = shared.value
-        empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        if not len(queries) or not len(rows):
-            return empty
-        q = np.array(queries["v"].tolist(), float)
-        x = np.array(rows["v"].tolist(), float)
-        ids, qids = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-        exact = bool(queries["exact"].iloc[0])
-        ux, uq = _unit(x), _unit(q)
-        if not exact:
-            shard, codes = Shard(codes_of(ux, h.planes)), codes_of(uq, h.planes)
-        out = []
-        for i in range(len(q)):
-            found = np.arange(len(x)) if exact else shard.within(codes[i], h.radius)
-            found = found[ids[found] != qids[i]]
-            score = _cosine(q[i], x[found], uq[i], ux[found])
-            best = np.lexsort((ids[found], -score))[:k]
-            out.append((np.full(len(best), qids[i]), ids[found][best], score[best]))
-        return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), zip(*out))})
-
-    return group
+        unit = _unit(v[None])[0]
+        if exact or index.shard is None:
+            found = np.arange(len(index.x))
+        else:
+            found = index.shard.within(codes_of(unit[None], h.planes)[0], h.radius)
+        found = found[index.keys[found] != key]
+        score = _cosine(v, index.x[found], unit, index.unit[found])
+        top = np.lexsort((index.keys[found], index.ids[found], -score))[:k]
+        return [(key, vec_id, *x) for x in zip(index.keys[found][top].tolist(), index.ids[found][top].tolist(), score[top].tolist())]
+
+    return answer
 
 
 def _cosine(q, x, uq, ux):
@@ -210,47 +210,31 @@ def _cosine(q, x, uq, ux):
     return np.where(odd, (ux * uq).sum(1), s) if odd.any() else s
 
 
-def _pairs(queries: DataFrame, rows: DataFrame, n: int, shared, k: int) -> DataFrame:
-    """Best k per query and shard: queries in blocks against shards of all rows."""
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-queries.count() // QUERY_BLOCK))
-    cell = lambda df, by, count, other, each: df.withColumn(
-        by, F.pmod(F.xxhash64("vec_id", F.lit(by)), F.lit(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
-    q = cell(queries, "block", blocks, "shard", shards)
-    q = q.select(*[F.col(c).alias(c) for c in q.columns])      # columns of their own: both sides come from one table
-    r = cell(rows, "shard", shards, "block", blocks)
-    return (q.groupBy("shard", "block").cogroup(r.groupBy("shard", "block")).applyInPandas(_search(shared, k), PAIR))
-
-
-def _top(pairs: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def search(rows: DataFrame, every: int = 50, k: int = 5, sample: int = SAMPLE, id_col: str = "vec_id",
-           vec_col: str = "embedding") -> DataFrame:
+           vec_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by
     ``every``, its k nearest of all other rows found by the index.
 
-    Defined cases: vectors that are null, zero, hold null or non-finite
-    numbers, lack an id or have another length than most take no part; ties go
-    to the smaller id; a row is not its own neighbour, and rows that repeat an
-    id are one row (the least vector); fewer than k others: all of them; an
-    empty table gives an empty one; other columns are not looked at."""
+    Defined cases: vectors that are null, zero, hold null or non-finite numbers
+    or lack an id take no part; vectors meet those of their own length; ties go
+    to the smaller id; rows that repeat an id are rows of their own, and only
+    the query's own row is left out; fewer than k others: all of them; an empty
+    table gives an empty one; other columns are not looked at."""
     spark = rows.sparkSession
-    ok = usable(rows, id_col, vec_col).where(F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
-    ok = cut_lineage(ok)
+    ok = with_keys(usable(rows, id_col, vec_col).where(F.exists("v", lambda x: x != 0)))
     h = fit(ok, k, sample)
-    ok = ok.where(F.size("v") == h.dim)
-    n = ok.count()
+    n, learned = ok.count(), ok.where(F.size("v") == h.dim).count()
+    shards = max(1, -(-n // shard_rows))
     shared = spark.sparkContext.broadcast(h)
+    build = lambda keys, ids, x: Index(keys, ids, x, shared.value)
+    # every shard is searched by every query
+    meet = lambda q: over_shards(q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))),
+                                 ok, shards, build, _answer(shared, k), PAIR, "double")
     queries = ok.where(F.col("vec_id") % every == 0)
-    first = cut_lineage(_pairs(queries.withColumn("exact", F.lit(False)), ok, n, shared, k))
-    found = first.groupBy("query_id").agg(F.count("*").alias("found"))
-    want = min(k, max(n - 1, 0))
-    short = queries.join(found, queries["vec_id"] == found["query_id"], "left").where(
-        F.coalesce("found", F.lit(0)) < want).select("vec_id", "v", F.lit(True).alias("exact"))
-    short = cut_lineage(short)
+    first = cut_lineage(meet(queries.withColumn("extra", F.lit(0))))
+    found = first.groupBy(F.col("query").alias("key")).agg(F.count("*").alias("found"))
+    short = cut_lineage(queries.where(F.size("v") == h.dim).join(found, "key", "left").where(
+        F.coalesce("found", F.lit(0)) < min(k, max(learned - 1, 0))).select("key", "vec_id", "v", F.lit(1).alias("extra")))
     if short.head(1):
-        rest = _pairs(short, ok, n, shared, k)
-        first = first.join(short, first["query_id"] == short["vec_id"], "left_anti").unionByName(rest)
-    return _top(first, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+        first = first.join(short.select(F.col("key").alias("query")), "query", "left_anti").unionByName(meet(short))
+    return best(first, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -254,26 +254,37 @@ def test_mih_odd_vectors(vecs):
     assert [v for v, _ in by[0]] == [1, 2, 11] and all(s == 1.0 for _, s in by[0])
     assert [v for v, _ in by[50]][0] == 200 and {q for q, *_ in got} == {0, 50, 100, 200}
     assert mih.search(vecs.limit(0), 50, 3).collect() == []
+    # rows that repeat an id are rows of their own, and other lengths meet among themselves
+    more = vecs.where("vec_id in (0, 1, 100)").unionByName(vecs.where("vec_id = 1").selectExpr(
+        "explode(array(200L, 200L, 7L)) as vec_id", "array(1f, 2f, 3f) as embedding", "rank", "score"))
+    for rows in (1, 100):
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in mih.search(more, 50, 3, shard_rows=rows).collect())
+        c = round(1 / np.sqrt(1 + 1 / 16), 6)
+        assert got == sorted([(0, 1, 1, 1.0), (0, 2, 100, c), (0, 3, 100, c)] + 2 * [(100, 1, 100, 1.0), (100, 2, 0, c), (100, 3, 1, c)]
+                             + 2 * [(200, 1, 7, 1.0), (200, 2, 200, 1.0)])
     few = mih.search(vecs.where("vec_id in (0, 1)"), 50, 5).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few] == [(0, 1, 1)]
 
 
 def brute_products(pairs, every, k):
-    rows = {}
-    for i, v in pairs:
-        if i is not None and v is not None and len(v) == 2 and all(x is not None and np.isfinite(x) and abs(x) < 1e5 for x in v):
-            rows[i] = [int(np.floor(1024 * float(np.float32(x)))) for x in v]
+    rows = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in pairs
+            if i is not None and v is not None and all(x is not None and np.isfinite(x) and abs(x) < 1e5 for x in v)]
     out = []
-    for q in sorted(rows):
-        if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(rows[q], rows[c])), c) for c in rows if c != q)[:k]
-            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
-    return out
+    for q, (i, v) in enumerate(rows):
+        if i % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for c, (j, w) in enumerate(rows) if c != q and len(w) == len(v))[:k]
+            out += [(i, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    return sorted(out)
 
 
 def test_kdtree_odd_vectors(vecs):
-    got = [tuple(r) for r in kdtree.search(vecs, 50, 4).orderBy("query_id", "rank").collect()]
+    got = sorted(tuple(r) for r in kdtree.search(vecs, 50, 4).collect())
     assert got == brute_products(VECS, 50, 4)
+    for rows in (1, 3, 100):               # an id on many rows, other lengths, any number of shards
+        more = vecs.unionByName(vecs.withColumn("vec_id", F.lit(100).cast("long"))).unionByName(vecs.selectExpr(
+            "vec_id", "array(1f, 2f, cast(vec_id as float)) as embedding", "rank", "score"))
+        plain = [(r["vec_id"], r["embedding"]) for r in more.collect()]
+        assert sorted(tuple(r) for r in kdtree.search(more, 50, 4, shard_rows=rows).collect()) == brute_products(plain, 50, 4)
     assert kdtree.search(vecs.limit(0), 50, 4).collect() == []
 
 
@@ -281,7 +292,7 @@ def test_kdtree_across_shards(spark):
     rng = np.random.default_rng(2)
     pairs = [(i, rng.integers(-3, 4, 2).astype(float).tolist()) for i in range(400)]
     df = spark.createDataFrame(pairs, "vec_id long, embedding array<float>")
-    got = [tuple(r) for r in kdtree.search(df, 20, 7, shard_rows=60).orderBy("query_id", "rank").collect()]
+    got = sorted(tuple(r) for r in kdtree.search(df, 20, 7, shard_rows=60).collect())
     assert got == brute_products(pairs, 20, 7)
 
 
