@@ -9,8 +9,13 @@ rows per query leave a task (never all pairs):
 * ``queries`` side small: broadcast the queries, stream the index, keep a
   running top-k per query per partition, then merge k x partitions rows per
   query with a ``row_number`` window.
-* neither small: hash both sides into blocks and ``cogroup`` each
-  (query block, index block) cell; partial top-k per cell, then merge.
+* neither small: cells with a centre and a radius, of which a query visits
+  those that can hold one of its k best (``operators.cells``, unit vectors);
+  without normalising, hash both sides into blocks and ``cogroup`` each
+  (query block, index block) pair; partial top-k per group, then merge.
+
+An index that is searched again and again (a stream's history) is prepared once
+with ``prepare_index``.
 
 Ranking is by similarity (differences below 1e-9, the noise of summation
 order, count as ties), then by document id ascending.  The similarity
@@ -27,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from supportlake.sources.tables import spread
+from supportlake.operators import cells
 
 SCALE = 1_000_000_000      # similarities closer than 1e-9 count as ties
 DEFAULT_BROADCAST_BYTES = 256 << 20
@@ -114,8 +119,23 @@ def _prep(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _collect_side(df: DataFrame, normalize: bool):
-    pdf = df.toPandas()
-    return pdf["_id"].to_numpy(dtype=np.int64), _matrix(list(pdf["_vec"]), normalize)
+    """Ids and matrix of a side of checked size, fetched as Arrow: what the
+    driver holds is the numbers, not lists of Python floats."""
+    got = df.where("_vec is not null").toArrow()
+    ids, column = got["_id"].to_numpy(), got["_vec"].combine_chunks()
+    if not len(ids):
+        return ids, np.zeros((0, 0))
+    if normalize:
+        return ids, cells.matrix_of(column)
+    return ids, column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+
+
+def spread_vectors(df: DataFrame) -> DataFrame:
+    """Vectors dealt to at least one partition per core.  Comparing them costs
+    far more than moving them, and how many partitions a derived frame has is
+    not known without running its shuffles."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _side_bytes(df: DataFrame) -> tuple[int, int]:
@@ -124,11 +144,22 @@ def _side_bytes(df: DataFrame) -> tuple[int, int]:
     return n, n * max(dim, 1) * 8
 
 
-def exact_topk(queries: DataFrame, index: DataFrame, k: int, *, query_id: str = "query_id",
+def prepare_index(index: DataFrame, doc_id: str = "doc_id", doc_vec: str = "embedding", **options) -> cells.CellIndex:
+    """Cells of an index, written once; give them to ``exact_topk`` as ``index``."""
+    return cells.build(index, doc_id, doc_vec, **options)
+
+
+def exact_topk(queries: DataFrame, index: DataFrame | cells.CellIndex, k: int, *, query_id: str = "query_id",
                query_vec: str = "embedding", doc_id: str = "doc_id", doc_vec: str = "embedding",
                exclude_self: bool = False, normalize: bool = True,
                max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, strategy: str = "auto") -> DataFrame:
-    """(query_id, doc_id, similarity, rank) for the k nearest index rows of every query."""
+    """(query_id, doc_id, similarity, rank) for the k nearest index rows of every query.
+
+    ``strategy``: broadcast_index, broadcast_queries, cells or blocked; auto
+    takes the first whose side is small, then cells (blocked if the vectors are
+    not to be normalised)."""
+    if isinstance(index, cells.CellIndex):
+        return _ranked(cells.topk(queries, index, k, SCALE, query_id, query_vec, exclude_self).drop("compared"), k)
     q, d = _prep(queries, query_id, query_vec), _prep(index, doc_id, doc_vec)
     spark = queries.sparkSession
     if strategy == "auto":
@@ -137,7 +168,11 @@ def exact_topk(queries: DataFrame, index: DataFrame, k: int, *, query_id: str =
             strategy = "broadcast_index"
         else:
             n_q, b_q = _side_bytes(q)
-            strategy = "broadcast_queries" if b_q <= max_broadcast_bytes else "blocked"
+            strategy = "broadcast_queries" if b_q <= max_broadcast_bytes else "cells" if normalize else "blocked"
+    if strategy == "cells":
+        if not normalize:
+            raise ValueError("cells hold unit vectors")
+        return exact_topk(q, cells.build(d, "_id", "_vec"), k, query_id="_id", query_vec="_vec", exclude_self=exclude_self)
 
     if strategy == "broadcast_index":
         dids, D = _collect_side(d, normalize)
@@ -154,8 +189,8 @@ def exact_topk(queries: DataFrame, index: DataFrame, k: int, *, query_id: str =
                 yield _reduce_topk(_rows_frame(parts), k)
 
         # every query lives in exactly one task: its ranked k rows are final,
-        # so the only shuffle is the spread of a too-small query side
-        return spread(q).mapInPandas(per_query_batch, TOPK_SCHEMA).select(
+        # so the only shuffle is the spread of the query side
+        return spread_vectors(q).mapInPandas(per_query_batch, TOPK_SCHEMA).select(
             "query_id", "doc_id", "similarity", "rank", "_skey")
 
     if strategy == "broadcast_queries":
@@ -176,7 +211,7 @@ def exact_topk(queries: DataFrame, index: DataFrame, k: int, *, query_id: str =
             if best is not None:
                 yield best
 
-        cand = spread(d).mapInPandas(per_index_partition, TOPK_SCHEMA)
+        cand = spread_vectors(d).mapInPandas(per_index_partition, TOPK_SCHEMA)
         return _ranked(cand, k, merge=True)
 
     # blocked: (query block x index block) cells, both bounded

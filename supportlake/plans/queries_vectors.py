@@ -76,6 +76,15 @@ def q_vector_topk(spark, sf_dir):
                     F.round("similarity", 4).alias("similarity"))
 
 
+@query("vector_topk_cells", f"WITH {TOPK_SQL} SELECT query_id, doc_id, rank, round(sim, 4) AS similarity FROM r "
+                            f"WHERE rank <= {TOP_K}")
+def q_vector_topk_cells(spark, sf_dir):
+    """The same neighbours by visiting cells, as for an index of any size."""
+    t = self_topk(spark, sf_dir, strategy="cells")
+    return t.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"),
+                    F.round("similarity", 4).alias("similarity"))
+
+
 @query("evidence_threshold", f"""WITH {TOPK_SQL}
 SELECT query_id, count(*) AS n_hits, round(max(sim), 4) AS max_similarity FROM r
 WHERE rank <= {TOP_K} AND sim >= {EVIDENCE_THRESHOLD} GROUP BY query_id""")
