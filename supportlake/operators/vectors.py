@@ -28,7 +28,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -246,29 +246,44 @@ def _ranked(cand: DataFrame, k: int, merge: bool = True) -> DataFrame:
 
 def distinct_topk(queries: DataFrame, index: DataFrame, k: int, *, query_id: str = "query_id",
                   query_vec: str = "embedding", doc_id: str = "doc_id", doc_vec: str = "embedding",
-                  exclude_self: bool = False, **options) -> DataFrame:
+                  exclude_self: bool = False, query_owner: str | None = None, doc_owner: str | None = None, **options) -> DataFrame:
     """``exact_topk`` for vectors that repeat a lot (short texts, keyword
     counts): distinct query vectors meet distinct index vectors, then both are
     expanded.  Exact: a vector ranked below k + 1 others (ties by least id) has
     k + 1 documents before any of its own, one of which may be the query.  Of
     the documents of one vector only the k + 1 least ids can be among the best;
-    they are cut by a partial top-k, so a hot vector is no large group."""
-    q, d = _prep(queries, query_id, query_vec), _prep(index, doc_id, doc_vec)
-    own = Window.partitionBy("_vec").orderBy("_id")
-    members = d.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= k + 1)
+    they are cut by a partial top-k, so a hot vector is no large group.
+
+    ``query_owner``, ``doc_owner``: a query does not see documents of its own
+    owner (a message and its own replies).  Documents of one owner have one
+    vector.  At most k of an owner are kept, and 2k in all, of which k are not
+    the query's own."""
+    q = queries.select(F.col(query_id).cast("long").alias("_id"), F.col(query_vec).alias("_vec"),
+                       (F.col(query_owner) if query_owner else F.lit(None).cast("long")).alias("_owner"))
+    d = index.select(F.col(doc_id).cast("long").alias("_id"), F.col(doc_vec).alias("_vec"),
+                     (F.col(doc_owner) if doc_owner else F.lit(None).cast("long")).alias("_owner"))
+    keep = 2 * k if query_owner else k + 1
+    members = d
+    if query_owner:
+        members = members.withColumn("_n", F.row_number().over(Window.partitionBy("_vec", "_owner").orderBy("_id"))).where(F.col("_n") <= k)
+    members = members.withColumn("_n", F.row_number().over(Window.partitionBy("_vec").orderBy("_id"))).where(F.col("_n") <= keep)
     first = members.where("_n = 1").select(F.col("_id").alias("gid"), "_vec")
     members = members.join(first.select(F.col("gid"), F.col("_vec").alias("_gvec")), F.col("_vec") == F.col("_gvec")).select(
-        "gid", F.col("_id").alias("doc_id"))
+        "gid", F.col("_id").alias("doc_id"), F.col("_owner").alias("doc_owner"))
     asked = q.groupBy("_vec").agg(F.min("_id").alias("qid"))
     best = exact_topk(asked, first, k + 1, query_id="qid", query_vec="_vec", doc_id="gid", doc_vec="_vec", **options)
     rank = Window.partitionBy("qid").orderBy(F.desc("_skey"), F.asc("doc_id"))
     found = best.select(F.col("query_id").alias("qid"), F.col("doc_id").alias("gid"), "similarity", "_skey").join(members, "gid")
-    found = found.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= k + 1).select("qid", "doc_id", "similarity", "_skey", "_n")
-    of = q.join(asked.select("qid", F.col("_vec").alias("_avec")), F.col("_vec") == F.col("_avec")).select(F.col("_id").alias("query_id"), "qid")
+    found = found.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= keep).select(
+        "qid", "doc_id", "doc_owner", "similarity", "_skey", "_n")
+    of = q.join(asked.select("qid", F.col("_vec").alias("_avec")), F.col("_vec") == F.col("_avec")).select(
+        F.col("_id").alias("query_id"), "_owner", "qid")
     hits = of.join(found, "qid")
     if exclude_self:
         hits = hits.where(F.col("query_id") != F.col("doc_id"))
-    # at most k + 1 rows a query, already ranked for its vector
+    if query_owner:
+        hits = hits.where(~F.col("_owner").eqNullSafe(F.col("doc_owner")) | F.col("_owner").isNull())
+    # at most ``keep`` rows a query, already ranked for its vector
     hits = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("_n", "doc_id", "similarity", "_skey"))), 1, k).alias("h"))
     return hits.select("query_id", F.posexplode("h").alias("rank", "x")).select(
         "query_id", "x.doc_id", "x.similarity", (F.col("rank") + 1).cast("int").alias("rank"), "x._skey")
@@ -293,13 +308,3 @@ def evidence(topk: DataFrame, index_meta: DataFrame, doc_id: str = "doc_id") ->
     )
     g = j.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("_ev"))
     return g.select("query_id", F.transform("_ev", lambda e: e.dropFields("rank")).alias("evidence"))
-
-
-def l2_normalize(v: Column) -> Column:
-    """Unit-length copy of an ARRAY<DOUBLE> (zero vectors stay zero)."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.transform(v, lambda x: x * 0.0))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)

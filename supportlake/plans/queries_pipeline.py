@@ -26,8 +26,24 @@ def _norm_sql(v0: str) -> str:
     return f"CASE WHEN {n} > 0 THEN list_transform({v0}, lambda x: x / {n}) ELSE list_transform({v0}, lambda x: 0.0) END"
 
 
-def _decision_cte(base: str | None = None, messages: str = "pairs", history: str = "pairs") -> str:
-    """Decisions on the rows of ``messages`` with evidence from ``history``."""
+def _stripped(text: str) -> str:
+    return f"regexp_replace({text}, {sq.lit('^' + tx.PY_WHITESPACE + '+|' + tx.PY_WHITESPACE + '+$')}, '', 'g')"
+
+
+def _template_sql(action: str, res: str, strip: str, link: str) -> str:
+    grounded = (f"CASE WHEN {link} IS NOT NULL AND NOT contains({strip}, {link}) THEN "
+                f"{sq.template(fixed.REPLY_GROUNDED_WITH_LINK, resolution=strip, link=link)} ELSE {strip} END")
+    return f"""CASE WHEN {action} = 'ESCALATE' THEN
+        (CASE WHEN {link} IS NOT NULL THEN {sq.template(fixed.REPLY_ESCALATE_WITH_LINK, link=link)}
+              ELSE {sq.lit(fixed.REPLY_ESCALATE)} END)
+      WHEN length({res}) > {fixed.REPLY_MIN_RESOLUTION_CHARS} THEN ({grounded})
+      WHEN {link} IS NOT NULL THEN {sq.template(fixed.REPLY_LINK_ONLY, link=link)}
+      ELSE {sq.lit(fixed.REPLY_DEFAULT)} END"""
+
+
+def _decision_cte(base: str | None = None, messages: str = "pairs", history: str = "pairs", other: str = "q.id <> d.id") -> str:
+    """Decisions on the rows of ``messages`` with evidence from the rows of
+    ``history`` that are ``other`` than the message's own."""
     protos = ", ".join(f"({o}, {sq.lit(i)}, {sq.lit(t)})" for o, i, t in prototype_texts())
     action, reason = sq.escalation("message", "intent", "confidence", "max_sim", POL.threat_keywords,
                                    POL.sensitive_intents, POL.confidence_threshold, POL.min_evidence_similarity)
@@ -35,29 +51,39 @@ def _decision_cte(base: str | None = None, messages: str = "pairs", history: str
     return f"""{base or _pairs_cte()},
 mv0 AS (SELECT brand_tweet_id AS id, customer_text AS message, {sq.keyword_vector('customer_text')} AS v0 FROM {messages}),
 mv AS (SELECT id, message, {_norm_sql('v0')} AS v FROM mv0),
-hv0 AS (SELECT brand_tweet_id AS id, {sq.keyword_vector('customer_text')} AS v0 FROM {history}),
-hv AS (SELECT id, {_norm_sql('v0')} AS v FROM hv0),
+hv0 AS (SELECT brand_tweet_id AS id, customer_tweet_id, {sq.keyword_vector('customer_text')} AS v0 FROM {history}),
+hv AS (SELECT id, customer_tweet_id, {_norm_sql('v0')} AS v FROM hv0),
 p0 AS (SELECT * FROM (VALUES {protos}) t(proto_ord, intent, txt)),
 pv AS (SELECT proto_ord, intent, {_norm_sql(sq.keyword_vector('txt'))} AS v FROM p0),
 cls0 AS (SELECT m.id, p.intent, list_inner_product(m.v, p.v) AS sim,
            row_number() OVER (PARTITION BY m.id ORDER BY round(list_inner_product(m.v, p.v), 9) DESC, p.proto_ord) AS rk
          FROM mv m JOIN pv p ON true),
 cls AS (SELECT id, intent, round(greatest(0.0, least(1.0, (sim + 1) / 2)), 4) AS confidence FROM cls0 WHERE rk = 1),
-ret0 AS (SELECT q.id, d.id AS doc_id, list_inner_product(q.v, d.v) AS sim FROM mv q JOIN hv d ON q.id <> d.id),
-ret AS (SELECT id, max(round(sim, 4)) AS max_sim, count(*) AS n_evidence FROM (
-          SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 9) DESC, doc_id) AS rk FROM ret0)
-        WHERE rk <= {k} AND sim >= {thr} GROUP BY id),
+ret0 AS (SELECT q.id, d.id AS doc_id, list_inner_product(q.v, d.v) AS sim FROM mv q JOIN hv d ON {other}),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 9) DESC, doc_id) AS rk FROM ret0)
+         WHERE rk <= {k} AND sim >= {thr}),
+ret AS (SELECT id, max(round(sim, 4)) AS max_sim, count(*) AS n_evidence FROM hits GROUP BY id),
 dec0 AS (SELECT m.id, m.message, c.intent, c.confidence, coalesce(r.max_sim, 0.0) AS max_sim,
                 coalesce(r.n_evidence, 0) AS n_evidence
          FROM mv m JOIN cls c USING (id) LEFT JOIN ret r USING (id)),
 decision AS (SELECT *, {action} AS action, {reason} AS reason FROM dec0)"""
 
 
+def evidence_reply_sql(history: str = "pairs") -> str:
+    """CTE ``answered``: every decision with the reply built from its first evidence."""
+    return f"""ev AS (SELECT h.id, h.rk, h.sim, d.* EXCLUDE (links), {sq.links('d.brand_text_raw')} AS lks FROM hits h JOIN {history} d ON d.brand_tweet_id = h.doc_id),
+top AS (SELECT id AS tid, brand_text AS res, lks[1] AS link, {_stripped('brand_text')} AS clean FROM ev
+        WHERE rk = (SELECT min(e.rk) FROM ev e WHERE e.id = ev.id)),
+answered AS (SELECT decision.*, {_template_sql('action', "coalesce(res, '')", "coalesce(clean, '')", 'link')} AS reply
+             FROM decision LEFT JOIN top ON top.tid = decision.id)"""
+
+
 def _decisions(spark, sf_dir):
-    pairs = corpus(spark, sf_dir)
-    msgs = pairs.select(F.col("brand_tweet_id").alias("id"), F.col("customer_text").alias("message"))
-    out = tr.triage(msgs, tr.history_index(pairs), tr.prototype_index(spark), POL, exclude_same_id=True)
-    return out
+    """Leave-one-out triage of every pair: the index is written once, and the
+    messages are its rows."""
+    index = tr.history_index(corpus(spark, sf_dir))
+    msgs = index.select(F.col("doc_id").alias("id"), F.col("customer_text").alias("message"), "embedding")
+    return tr.triage(msgs, index, tr.prototype_index(spark), POL, exclude_same_id=True, prepared=True)
 
 
 @query("escalation_decision", lambda: f"""WITH {_decision_cte()}
@@ -74,6 +100,23 @@ def q_triage(spark, sf_dir):
     return _decisions(spark, sf_dir)
 
 
+@query("triage_replies", lambda: f"""WITH {_decision_cte()}, {evidence_reply_sql()}
+SELECT id, message, intent, confidence, action, reason, reply, CAST(n_evidence AS BIGINT) AS n_evidence FROM answered""")
+def q_triage_replies(spark, sf_dir):
+    """The replies that triage builds from the evidence it found."""
+    return _decisions(spark, sf_dir).withColumn("n_evidence", F.size("evidence").cast("long")).drop("evidence")
+
+
+@query("triage_evidence", lambda: f"""WITH {_decision_cte()}, {evidence_reply_sql()}
+SELECT id, CAST(rk AS BIGINT) AS rank, round(sim, 4) AS similarity, customer_tweet_id, brand_tweet_id, customer_text AS query,
+  brand_text AS resolution, array_to_string(lks, ';') AS links FROM ev""")
+def q_triage_evidence(spark, sf_dir):
+    """The evidence itself: every retrieved case with its place."""
+    found = _decisions(spark, sf_dir).select("id", F.posexplode("evidence").alias("rank", "e"))
+    return found.select("id", (F.col("rank") + 1).cast("long").alias("rank"), "e.similarity", "e.customer_tweet_id", "e.brand_tweet_id",
+                        "e.query", "e.resolution", F.array_join("e.links", ";").alias("links"))
+
+
 @query("escalation_metrics", lambda: f"""WITH {_decision_cte()}, {_labelled_cte('pairs')},
 j AS (SELECT lab.true_action, decision.action AS pred_action FROM lab JOIN decision ON lab.brand_tweet_id = decision.id),
 c AS (SELECT count(*) FILTER (WHERE true_action = 'ESCALATE' AND pred_action = 'ESCALATE') AS tp,
@@ -111,16 +154,7 @@ def _judged(spark, sf_dir):
 
 
 def _reply_sql() -> str:
-    strip = f"regexp_replace(brand_text, {sq.lit('^' + tx.PY_WHITESPACE + '+|' + tx.PY_WHITESPACE + '+$')}, '', 'g')"
-    link = f"({sq.links('brand_text_raw')})[1]"
-    grounded = (f"CASE WHEN {link} IS NOT NULL AND NOT contains({strip}, {link}) THEN "
-                f"{sq.template(fixed.REPLY_GROUNDED_WITH_LINK, resolution=strip, link=link)} ELSE {strip} END")
-    return f"""CASE WHEN true_action = 'ESCALATE' THEN
-        (CASE WHEN {link} IS NOT NULL THEN {sq.template(fixed.REPLY_ESCALATE_WITH_LINK, link=link)}
-              ELSE {sq.lit(fixed.REPLY_ESCALATE)} END)
-      WHEN length(brand_text) > {fixed.REPLY_MIN_RESOLUTION_CHARS} THEN ({grounded})
-      WHEN {link} IS NOT NULL THEN {sq.template(fixed.REPLY_LINK_ONLY, link=link)}
-      ELSE {sq.lit(fixed.REPLY_DEFAULT)} END"""
+    return _template_sql("true_action", "brand_text", _stripped("brand_text"), f"({sq.links('brand_text_raw')})[1]")
 
 
 def _rubric_sql(action: str, reply: str, ev: str) -> str:

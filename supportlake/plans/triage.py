@@ -55,11 +55,14 @@ def history_index(pairs: DataFrame, write: bool = True) -> DataFrame:
 
 def retrieve(msgs: DataFrame, index: DataFrame, k: int = fixed.RETRIEVAL_TOP_K,
              threshold: float = fixed.RETRIEVAL_SIMILARITY_THRESHOLD, id_col: str = "id",
-             exclude_same_id: bool = False, exclude_ids: DataFrame | None = None) -> DataFrame:
-    """(id, evidence ARRAY<STRUCT>) for messages with at least one hit."""
+             exclude_same_id: bool = False, exclude_ids: DataFrame | None = None, exclude_own: bool = False) -> DataFrame:
+    """(id, evidence ARRAY<STRUCT>) for messages with at least one hit.
+    ``exclude_own``: ids are those of customer messages, whose own pairs do not
+    serve as evidence."""
     if exclude_ids is not None:  # (doc_id): rows that must not serve as evidence
         index = index.join(exclude_ids.select("doc_id"), "doc_id", "left_anti")
-    top = vectors.distinct_topk(msgs, index, k, query_id=id_col, doc_id="doc_id", exclude_self=exclude_same_id)
+    own = {"query_owner": id_col, "doc_owner": "customer_tweet_id"} if exclude_own else {}
+    top = vectors.distinct_topk(msgs, index, k, query_id=id_col, doc_id="doc_id", exclude_self=exclude_same_id, **own)
     top = vectors.apply_threshold(top, threshold)
     meta = index.drop("embedding")
     return vectors.evidence(top, meta).withColumnRenamed("query_id", id_col)
@@ -67,24 +70,29 @@ def retrieve(msgs: DataFrame, index: DataFrame, k: int = fixed.RETRIEVAL_TOP_K,
 
 def triage(messages: DataFrame, index: DataFrame, protos: DataFrame, pol: policy.Policy = policy.CONFIGURED_POLICY,
            k: int = fixed.RETRIEVAL_TOP_K, threshold: float = fixed.RETRIEVAL_SIMILARITY_THRESHOLD,
-           id_col: str = "id", text_col: str = "message", exclude_same_id: bool = False,
-           write_inputs: bool = True) -> DataFrame:
+           id_col: str = "id", text_col: str = "message", exclude_same_id: bool = False, exclude_own: bool = False,
+           write_inputs: bool = True, prepared: bool = False) -> DataFrame:
     """id, message, intent, confidence, action, reason, reply, evidence.
 
     The vectorised messages feed three stages (classification, retrieval, the
     final join); with ``write_inputs`` they are written once to the shared
     checkpoint folder instead of being re-derived per stage.  Micro-batch
     callers pass ``write_inputs=False`` and persist the batch instead.
+    ``prepared`` messages (id, message, embedding) are cleaned, encoded and
+    written already, like the rows of a history index.
     """
-    cleaned = tx.clean_text(F.col(text_col))
-    msgs = messages.select(
-        F.col(id_col).alias("id"),
-        F.when(cleaned == "", tx.not_null_text(text_col)).otherwise(cleaned).alias("message"))
-    msgs = with_keyword_vector(msgs, "message")
-    if write_inputs:
-        msgs = cut_lineage(msgs)
+    if prepared:
+        msgs = messages.select("id", "message", "embedding")
+    else:
+        cleaned = tx.clean_text(F.col(text_col))
+        msgs = messages.select(
+            F.col(id_col).alias("id"),
+            F.when(cleaned == "", tx.not_null_text(text_col)).otherwise(cleaned).alias("message"))
+        msgs = with_keyword_vector(msgs, "message")
+        if write_inputs:
+            msgs = cut_lineage(msgs)
     cls = classify_by_prototypes(msgs, protos)
-    ev = retrieve(msgs, index, k, threshold, exclude_same_id=exclude_same_id)
+    ev = retrieve(msgs, index, k, threshold, exclude_same_id=exclude_same_id, exclude_own=exclude_own)
     j = msgs.drop("embedding").join(cls, "id", "left").join(ev, "id", "left")
     j = j.withColumn("evidence", F.coalesce(F.col("evidence"), F.array().cast(ev.schema["evidence"].dataType)))
     sims = F.transform("evidence", lambda e: e.getField("similarity"))

@@ -8,7 +8,8 @@ folder (``root``) resumes exactly where it stopped.
 * J1 ``triage_stream``: stateless triage per micro-batch (``foreachBatch``)
   against a static history index.
 * J2 ``escalation_windows``: tumbling-window counts of customer messages and
-  of policy escalations per weak intent, watermark 10 minutes.
+  of policy escalations per weak intent, watermark 10 minutes;
+  ``sliding_windows``: the same in windows that overlap.
 * J3 ``customer_sessions``: ``session_window`` (30 minutes gap) per author.
 * J4 ``dedup_messages``: duplicate tweets dropped with a watermark.
 * J5 ``reply_pairs``: stream-stream inner join of replies to their parent
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from supportlake import fixed
 from supportlake.operators.labels import ground_truth_action, with_weak_label
-from supportlake.session import ensure_checkpoint_dir
+from supportlake.session import cut_lineage, ensure_checkpoint_dir
 from supportlake.sources.tables import tweet_view
 from supportlake.functions import text as tx
 
@@ -41,6 +42,7 @@ EVENTS_SCHEMA = T.StructType([
 
 WATERMARK = "10 minutes"
 WINDOW = "1 hour"
+SLIDE = "15 minutes"
 SESSION_GAP = "30 minutes"
 REPLY_WITHIN = "24 hours"
 
@@ -95,6 +97,20 @@ def escalation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_run(out, "escalation_windows"))
 
 
+def sliding_windows(spark: SparkSession, sf_dir: str, slide: str = SLIDE) -> DataFrame:
+    """J2, sliding: every message counts in each of the overlapping windows that
+    hold it; state is kept per window and intent until the watermark passes its
+    end, and rows behind the watermark count in none that has closed."""
+    msgs = customer_messages(_tweets_with_time(events_stream(spark, sf_dir)))
+    agg = msgs.withWatermark("event_time", WATERMARK).groupBy(F.window("event_time", WINDOW, slide), "intent").agg(
+        F.count(F.lit(1)).alias("n_messages"),
+        F.count_if(F.col("action") == fixed.ESCALATE).alias("n_escalations"))
+    out = agg.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                     F.date_format("window.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "intent", "n_messages", "n_escalations",
+                     F.round(F.col("n_escalations") / F.col("n_messages"), 4).alias("escalation_rate"))
+    return spark.read.parquet(_run(out, "sliding_windows"))
+
+
 def customer_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3: sessions per author (gap 30 minutes), closed sessions only."""
     ev = events_stream(spark, sf_dir)
@@ -136,13 +152,15 @@ def reply_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def triage_stream(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
     """J1: triage every incoming customer message per micro-batch against the
-    static history index (pairs of the batch table)."""
+    static history index (pairs of the batch table).  A message's own pairs, which
+    a replayed history holds, are no evidence for it.  Index and prototypes are
+    written once and read by every batch."""
     from supportlake.operators.pairs import conversation_pairs
     from supportlake.plans import triage as tr
     from supportlake.sources.tables import tweets
 
     history = tr.history_index(conversation_pairs(tweets(spark, sf_dir)))
-    protos = tr.prototype_index(spark)
+    protos = cut_lineage(tr.prototype_index(spark))
     ev = events_stream(spark, sf_dir)
     msgs = _tweets_with_time(ev).where(F.col("inbound")).select(F.col("tweet_id").alias("id"),
                                                                F.col("text").alias("message"))
@@ -152,7 +170,7 @@ def triage_stream(spark: SparkSession, sf_dir: str, root: str | None = None) ->
         # for the three triage stages instead of writing it out
         bdf = bdf.persist()
         try:
-            res = tr.triage(bdf, history, protos, write_inputs=False)
+            res = tr.triage(bdf, history, protos, write_inputs=False, exclude_own=True)
             res.select("id", "intent", "confidence", "action", "reason", "reply",
                        F.size("evidence").alias("n_evidence")).write.mode("overwrite").parquet(
                 os.path.join(out, f"batch={batch_id}"))  # a replayed batch replaces its rows
