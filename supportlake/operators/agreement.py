@@ -4,23 +4,20 @@ tiers, MAE, disagreement rate, means.
 Input is a long table (dimension, h, l).  Everything is one aggregation per
 dimension plus, for Spearman, average ranks computed from per-value counts
 (a hot value is one row of the count table, never a group in one task).  The
-two-sided p-values need the regularised incomplete beta function; it is
-evaluated by a pandas UDF on the one-row-per-dimension aggregate only.
+two-sided p-values need the regularised incomplete beta function: a continued
+fraction, folded over a series column in the JVM, a row per dimension.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from supportlake import fixed
 from supportlake.functions import text as tx
+from supportlake.operators.ranks import average_ranks
 
 
 def tier(score: Column) -> Column:
@@ -31,58 +28,54 @@ def tier(score: Column) -> Column:
 
 # ---- regularised incomplete beta (continued fraction, modified Lentz) -----
 
-def _betacf(a: float, b: float, x: float) -> float:
-    tiny, eps = 1e-300, 1e-15
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 500):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
-
-
-def betainc_reg(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    ln_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(ln_front) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(ln_front) * _betacf(b, a, 1.0 - x) / b
-
-
-def corr_p_value(r: float, n: int) -> float:
-    """Two-sided p of a correlation coefficient under the t distribution (n-2 d.f.)."""
-    df = n - 2
-    if df <= 0 or r is None or np.isnan(r):
-        return float("nan")
-    r = max(-1.0, min(1.0, r))
-    if abs(r) >= 1.0:
-        return 0.0
-    t2 = r * r * df / (1.0 - r * r)
-    return betainc_reg(df / 2.0, 0.5, df / (df + t2))
+FRACTION_STEPS = 1000        # two to a term; the fold stands still once it has converged
+_TINY, _EPS = 1e-300, 1e-15
+
+
+def ln_gamma(x: Column) -> Column:
+    """ln of the gamma function for x > 0: Stirling's series at x + 8."""
+    y = x + 8.0
+    terms = {1: 12.0, 3: -360.0, 5: 1260.0, 7: -1680.0, 9: 1188.0}
+    series = sum((1 / (c * F.pow(y, F.lit(k))) for k, c in terms.items()), F.lit(0.0))
+    below = F.log(x)
+    for i in range(1, 8):
+        below = below + F.log(x + float(i))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - below
+
+
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    away = lambda v: F.when(F.abs(v) > _TINY, v).otherwise(F.lit(_TINY))
 
+    def step(s: Column, j: Column) -> Column:
+        m = F.floor((j + 1) / 2).cast("double")
+        factor = F.when(j % 2 == 1, -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))).otherwise(
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))
+        # j = 1 begins the fraction: it stands over d and leaves c at one
+        c = F.when(j == 1, F.lit(1.0)).otherwise(away(1.0 + factor / s["c"]))
+        d = 1.0 / away(1.0 + factor * s["d"])
+        grown = F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"),
+                         ((j % 2 == 1) & (j > 1) & (F.abs(d * c - 1.0) < _EPS)).alias("done"))
+        return F.when(s["done"], s).otherwise(grown)
 
-@pandas_udf(T.DoubleType())
-def corr_p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([corr_p_value(None if pd.isna(a) else float(a), int(b)) for a, b in zip(r, n)])
+    start = F.struct(F.lit(1.0).alias("c"), F.lit(1.0).alias("d"), F.lit(1.0).alias("h"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(FRACTION_STEPS)), start, step, lambda s: s["h"])
+
+
+def betainc_reg(a: Column, b: Column, x: Column) -> Column:
+    """The regularised incomplete beta function I_x(a, b)."""
+    front = F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.log(x) + b * F.log1p(-x))
+    return (F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0))
+            .when(x < (a + 1) / (a + b + 2), front * _fraction(a, b, x) / a)
+            .otherwise(1.0 - front * _fraction(b, a, 1.0 - x) / b))
+
+
+def corr_p_value(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation coefficient under the t distribution with
+    n - 2 degrees of freedom (NaN without one, or for a null coefficient)."""
+    df = (n - 2).cast("double")
+    t2 = r * r * df / (1.0 - r * r)
+    return (F.when(r.isNull() | F.isnan(r) | (df <= 0), F.lit(float("nan"))).when(F.abs(r) >= 1, F.lit(0.0))
+            .otherwise(betainc_reg(df / 2.0, F.lit(0.5), df / (df + t2))))
 
 
 # ---- the agreement table ---------------------------------------------------
@@ -94,15 +87,18 @@ def _avg_ranks(counts: DataFrame, col: str) -> DataFrame:
     return vc.select("dimension", F.col("v").alias(col), (F.sum("c").over(w) - (F.col("c") - 1) / 2.0).alias(f"r_{col}"))
 
 
-def agreement(long: DataFrame) -> DataFrame:
-    """One row per dimension with the reference's agreement fields.
+def agreement(long: DataFrame, continuous: bool = False) -> DataFrame:
+    """One row per dimension with the agreement fields.  ``continuous``: scores
+    have more distinct values than one task should order, so their ranks are
+    found by ranges; the result is the same.
 
     The rows are counted per (dimension, h, l) once; ranks and every statistic
     come from that table, weighted by the counts.  Rows without both scores
     are left out."""
     c = long.where(F.col("h").isNotNull() & F.col("l").isNotNull()).groupBy("dimension", "h", "l").agg(
         F.count(F.lit(1)).alias("c"))
-    x = c.join(_avg_ranks(c, "h"), ["dimension", "h"]).join(_avg_ranks(c, "l"), ["dimension", "l"])
+    ranked = (lambda v: average_ranks(c, ["dimension"], v, "c", f"r_{v}")) if continuous else (lambda v: _avg_ranks(c, v))
+    x = c.join(ranked("h"), ["dimension", "h"]).join(ranked("l"), ["dimension", "l"])
     th, tl = tier(F.col("h")), tier(F.col("l"))
     close = F.abs(F.col("h") - F.col("l")) <= fixed.ALLCLOSE_ATOL + fixed.ALLCLOSE_RTOL * F.abs(F.col("l"))
     of = Window.partitionBy("dimension")
@@ -137,9 +133,9 @@ def agreement(long: DataFrame) -> DataFrame:
         "dimension",
         F.col("n").alias("sample_size"),
         F.when(F.col("gate"), F.format_number("r", 3)).otherwise(const).alias("pearson_r"),
-        F.when(F.col("gate"), F.round(corr_p_udf(F.col("r"), F.col("n")), 6)).otherwise(const_p).alias("pearson_p_value"),
+        F.when(F.col("gate"), F.round(corr_p_value(F.col("r"), F.col("n")), 6)).otherwise(const_p).alias("pearson_p_value"),
         F.when(F.col("gate"), F.format_number("rho", 3)).otherwise(const).alias("spearman_rho"),
-        F.when(F.col("gate"), F.round(corr_p_udf(F.col("rho"), F.col("n")), 6)).otherwise(const_p).alias("spearman_p_value"),
+        F.when(F.col("gate"), F.round(corr_p_value(F.col("rho"), F.col("n")), 6)).otherwise(const_p).alias("spearman_p_value"),
         F.when(F.col("kappa").isNull() | F.isnan("kappa"),
                F.when(F.col("same_tiers"), F.lit("1.000*")).otherwise(F.lit("0.000")))
         .otherwise(F.format_number("kappa", 3)).alias("cohens_kappa"),

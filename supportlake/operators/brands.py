@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supportlake.functions import text as tx
+from supportlake.operators import prefix
 from supportlake.operators.pairs import brand_replies
 
 
@@ -24,7 +25,7 @@ def brand_profile(tweets: DataFrame, brands: Sequence[str] | None = None, first_
     prefix-sample mode); by default the whole table is profiled.
     """
     if first_rows is not None:
-        tweets = tweets.orderBy("tweet_id").limit(first_rows)
+        tweets = prefix.first_rows(tweets, first_rows, "tweet_id")
     replies = brand_replies(tweets)
     if brands is not None:
         replies = replies.where(F.col("author_id").isin(list(brands)))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from supportlake import fixed
 from supportlake.functions import text as tx
+from supportlake.operators import prefix
+from supportlake.session import cut_lineage
 
 
 def brand_replies(tweets: DataFrame, brand: str | None = None) -> DataFrame:
@@ -57,7 +59,9 @@ def conversation_pairs(tweets: DataFrame, brand: str | None = None, max_pairs: i
         (F.length("customer_text") >= fixed.MIN_CLEAN_LENGTH) & (F.length("brand_text") >= fixed.MIN_CLEAN_LENGTH)
     )
     if max_pairs is not None:
-        out = out.orderBy("brand_tweet_id").limit(max_pairs)
+        # the keys of the pairs are written once, narrow; the cut on the reply id is pushed below the join
+        keys = cut_lineage(out.select("brand_tweet_id"))
+        out = prefix.first_rows(out, max_pairs, "brand_tweet_id", keys)
     return out
 
 

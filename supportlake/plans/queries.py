@@ -81,7 +81,12 @@ def _pairs_out(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
-@query("brand_profile", lambda: f"""WITH tweets AS {tweet_view_sql()},
+#: rows of the prefix and pairs of the cap, small enough to cut the test tables
+PREFIX_ROWS, MOST_PAIRS = 4_000, 500
+
+
+def _profile_sql(tweets: str) -> str:
+    return f"""WITH tweets AS {tweets},
 j AS (SELECT r.author_id AS brand, r.text AS text_brand, p.tweet_id AS ptid, p.text AS text_cust
       FROM tweets r LEFT JOIN tweets p ON r.in_response_to_tweet_id = p.tweet_id
       WHERE NOT r.inbound AND r.in_response_to_tweet_id IS NOT NULL),
@@ -99,11 +104,26 @@ SELECT brand, sample_replies, paired_conversations, english_pairs,
        round(CASE WHEN english_pairs > 0 THEN lk / english_pairs ELSE 0.0 END * 100, 1) AS link_pct,
        round(CASE WHEN english_pairs > 0 THEN cl / english_pairs ELSE 0.0 END, 1) AS avg_cust_length,
        round(CASE WHEN english_pairs > 0 THEN bl / english_pairs ELSE 0.0 END, 1) AS avg_brand_length
-FROM a ORDER BY english_pairs DESC, brand""")
+FROM a ORDER BY english_pairs DESC, brand"""
+
+
+@query("brand_profile", lambda: _profile_sql(tweet_view_sql()))
 def q_brand_profile(spark, sf_dir):
     return brands.brand_profile(tweets(spark, sf_dir))
 
 
+@query("prefix_profile", lambda: _profile_sql(f"(SELECT * FROM {tweet_view_sql()} ORDER BY tweet_id LIMIT {PREFIX_ROWS})"))
+def q_prefix_profile(spark, sf_dir):
+    """Profile of the first tweets by id."""
+    return brands.brand_profile(tweets(spark, sf_dir), first_rows=PREFIX_ROWS)
+
+
+@query("pairs_capped", lambda: f"WITH {_pairs_cte()} SELECT * FROM pairs ORDER BY brand_tweet_id LIMIT {MOST_PAIRS}")
+def q_pairs_capped(spark, sf_dir):
+    """The first pairs by reply id."""
+    return _pairs_out(pairs.conversation_pairs(tweets(spark, sf_dir), max_pairs=MOST_PAIRS))
+
+
 @query("conversation_pairs", lambda: f"WITH {_pairs_cte()} SELECT * FROM pairs")
 def q_conversation_pairs(spark, sf_dir):
     return _pairs_out(corpus(spark, sf_dir))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from supportlake import fixed
 from supportlake.functions import text as tx
-from supportlake.operators import agreement, judge, labels, metrics, policy, replies
+from supportlake.operators import agreement, judge, labels, metrics, policy, ranks, replies
 from supportlake.plans import oracle as sq
 from supportlake.plans import triage as tr
 from supportlake.plans.queries import _labelled_cte, _pairs_cte, corpus
@@ -377,7 +377,50 @@ def q_agreement(spark, sf_dir):
     return a.drop("pearson_p_value", "spearman_p_value")
 
 
-@query("agreement_pvalues")
+def _pvalues_sql() -> str:
+    """p-values by a recursive query: one step of the continued fraction a turn."""
+    base = _agreement_sql()
+    cut = base.rindex("SELECT dimension, n AS sample_size")
+    constant = "CASE WHEN allclose THEN '1.000*' ELSE 'N/A' END"
+    return f"""{base[:cut].replace("WITH ", "WITH RECURSIVE ", 1).rstrip()},
+co AS (SELECT dimension, 'pearson' AS which, cov / (sh * sl) AS r, n FROM b WHERE gate
+  UNION ALL SELECT dimension, 'spearman', rcov / (srh * srl), n FROM b WHERE gate),
+p0 AS (SELECT dimension, which, (n - 2) / 2.0 AS df2, (n - 2) / ((n - 2) + r * r * (n - 2) / (1 - r * r)) AS x FROM co WHERE abs(r) < 1),
+p1 AS (SELECT *, x < (df2 + 1) / (df2 + 2.5) AS low,
+  exp(lgamma(df2 + 0.5) - lgamma(df2) - lgamma(0.5) + df2 * ln(x) + 0.5 * ln(1 - x)) AS front FROM p0),
+p2 AS (SELECT dimension, which, low, front, CASE WHEN low THEN df2 ELSE 0.5 END::DOUBLE AS a, CASE WHEN low THEN 0.5 ELSE df2 END::DOUBLE AS b,
+  (CASE WHEN low THEN x ELSE 1 - x END)::DOUBLE AS x FROM p1),
+cf(dimension, which, a, b, x, m, c, d, h, done) AS (
+  SELECT dimension, which, a, b, x, 0, 1.0::DOUBLE, 1 / (1 - (a + b) * x / (a + 1)), 1 / (1 - (a + b) * x / (a + 1)), false FROM p2
+  UNION ALL (
+    WITH e AS (SELECT *, (m + 1) * (b - m - 1) * x / ((a + 2 * m + 1) * (a + 2 * m + 2)) AS f,
+        -(a + m + 1) * (a + b + m + 1) * x / ((a + 2 * m + 2) * (a + 2 * m + 3)) AS g FROM cf WHERE NOT done AND m < 500),
+    o AS (SELECT *, 1 / (1 + f * d) AS d1, 1 + f / c AS c1 FROM e),
+    z AS (SELECT *, 1 / (1 + g * d1) AS d2, 1 + g / c1 AS c2 FROM o)
+    SELECT dimension, which, a, b, x, m + 1, c2, d2, h * d1 * c1 * d2 * c2, abs(d2 * c2 - 1) < 1e-15 FROM z)),
+pv AS (SELECT dimension, which, round(CASE WHEN low THEN front * h / a ELSE 1 - front * h / a END, 6) AS p
+  FROM p2 JOIN (SELECT dimension, which, last(h ORDER BY m) AS h FROM cf GROUP BY ALL) USING (dimension, which)),
+pw AS (SELECT dimension, max(p) FILTER (which = 'pearson') AS pp, max(p) FILTER (which = 'spearman') AS sp FROM pv GROUP BY dimension)
+SELECT dimension, n AS sample_size, CASE WHEN gate THEN printf('%.3f', cov / (sh * sl)) ELSE {constant} END AS pearson_r,
+  CASE WHEN gate THEN coalesce(pp, 0.0) WHEN allclose THEN 0.0 ELSE 1.0 END::DOUBLE AS pearson_p_value,
+  CASE WHEN gate THEN printf('%.3f', rcov / (srh * srl)) ELSE {constant} END AS spearman_rho,
+  CASE WHEN gate THEN coalesce(sp, 0.0) WHEN allclose THEN 0.0 ELSE 1.0 END::DOUBLE AS spearman_p_value
+FROM b LEFT JOIN pw USING (dimension)"""
+
+
+@query("agreement_pvalues", _pvalues_sql)
 def q_agreement_pvalues(spark, sf_dir):
     a = agreement.agreement(agreement.unpivot_scores(_rated(spark, sf_dir)))
     return a.select("dimension", "sample_size", "pearson_r", "pearson_p_value", "spearman_rho", "spearman_p_value")
+
+
+@query("price_ranks", """WITH r AS (SELECT l_returnflag, l_extendedprice AS x, l_discount * l_extendedprice AS y,
+  rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount * l_extendedprice)
+    + (count(*) OVER (PARTITION BY l_returnflag, l_discount * l_extendedprice) - 1) / 2.0 AS ry FROM lineitem)
+SELECT l_returnflag, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY 1""")
+def q_price_ranks(spark, sf_dir):
+    """Rank correlation of continuous values: prices and the discounts on them."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", (F.col("l_discount") * F.col("l_extendedprice")).alias("saved"))
+    return ranks.rank_correlation(rows, ["l_returnflag"], "l_extendedprice", "saved").select(
+        "l_returnflag", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))

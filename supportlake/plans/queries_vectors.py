@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from supportlake.operators import classify, metrics, vectors
+from supportlake.operators import classify, hashed, metrics, tfidf, vectors
 from supportlake.operators.pairs import without_ids
+from supportlake.plans import oracle as sq
 from supportlake.plans.registry import query
+from supportlake.session import cut_lineage
 from supportlake.sources.tables import table
 
 TOP_K = 3
@@ -85,6 +87,50 @@ def q_vector_topk_cells(spark, sf_dir):
                     F.round("similarity", 4).alias("similarity"))
 
 
+HASHED = 256
+
+
+def _hashed_cte(source: str, ids: str) -> str:
+    """Hashed text vectors of ``source``: ``entries`` (ids..., bucket, weight)."""
+    return f"""tok AS (SELECT {ids}, unnest(regexp_extract_all(lower(coalesce(text, '')), {sq.lit(tfidf.TOKEN_PATTERN)})) AS w FROM {source}),
+tf AS (SELECT {ids}, (('0x' || md5(w)[1:8])::BIGINT % {HASHED})::INTEGER AS bucket, count(*) AS tf FROM tok GROUP BY ALL),
+idf AS (SELECT bucket, ln((1.0 + (SELECT count(*) FROM {source})) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY bucket),
+raw AS (SELECT {ids}, bucket, tf * idf AS w FROM tf JOIN idf USING (bucket)),
+entries AS (SELECT {ids}, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY {ids})) AS weight FROM raw)"""
+
+
+@query("hashed_documents", lambda: f"WITH {_hashed_cte('documents', 'doc_id')} SELECT doc_id, bucket, round(weight, 6) AS weight FROM entries")
+def q_hashed_documents(spark, sf_dir):
+    """Hashed vectors of whole documents, one row per entry."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return hashed.fit(d, "text", HASHED).entries(d, "text", ["doc_id"]).withColumn("weight", F.round("weight", 6))
+
+
+@query("hashed_turns", lambda: f"WITH {_hashed_cte('conversations', 'conv_id, turn')} SELECT conv_id, turn, bucket, round(weight, 6) AS weight FROM entries")
+def q_hashed_turns(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return hashed.fit(c, "text", HASHED).entries(c, "text", ["conv_id", "turn"]).withColumn("weight", F.round("weight", 6))
+
+
+@query("similar_turns", lambda: f"""WITH {_hashed_cte('conversations', 'conv_id, turn')},
+u AS (SELECT e.*, conv_id * 1000 + turn AS id FROM entries e JOIN conversations c USING (conv_id, turn) WHERE role = 'user'),
+every AS (SELECT conv_id * 1000 + turn AS id FROM conversations WHERE role = 'user'),
+dot AS (SELECT a.id AS query_id, b.id AS doc_id, sum(a.weight * b.weight) AS sim FROM u a JOIN u b ON a.bucket = b.bucket GROUP BY ALL),
+r AS (SELECT q.id AS query_id, d.id AS doc_id, coalesce(sim, 0.0) AS sim,
+        row_number() OVER (PARTITION BY q.id ORDER BY round(coalesce(sim, 0.0), 9) DESC, d.id) AS rank
+      FROM every q JOIN every d ON q.id <> d.id LEFT JOIN dot ON dot.query_id = q.id AND dot.doc_id = d.id)
+SELECT query_id, doc_id, rank, round(sim, 4) AS similarity FROM r WHERE rank <= {TOP_K}""")
+def q_similar_turns(spark, sf_dir):
+    """The most similar other user turns of every user turn: hashed text vectors,
+    searched by cells."""
+    c = table(spark, sf_dir, "conversations")
+    encoder = hashed.fit(c, "text", HASHED)
+    users = c.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    v = cut_lineage(encoder.with_vector(users, "text").select("id", "embedding"))
+    top = vectors.exact_topk(v, v, TOP_K, query_id="id", doc_id="id", exclude_self=True, strategy="cells")
+    return top.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
+
+
 @query("evidence_threshold", f"""WITH {TOPK_SQL}
 SELECT query_id, count(*) AS n_hits, round(max(sim), 4) AS max_similarity FROM r
 WHERE rank <= {TOP_K} AND sim >= {EVIDENCE_THRESHOLD} GROUP BY query_id""")

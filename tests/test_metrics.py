@@ -57,10 +57,11 @@ def test_agreement_constant_ratings(spark):
     assert m["pearson_r"] == "1.000*" and m["cohens_kappa"] == "1.000*" and m["pearson_p_value"] == 0.0
 
 
-def test_correlation_p_value():
+def test_correlation_p_value(spark):
     # r = 0.5 with n = 10: t = 1.633, 8 d.f., two-sided p = 0.1411
-    assert abs(agreement.corr_p_value(0.5, 10) - 0.141) < 5e-4
-    assert agreement.corr_p_value(1.0, 10) == 0.0
+    r = spark.createDataFrame([(0.5, 10), (1.0, 10)], "r double, n long")
+    p = [x["p"] for x in r.select(agreement.corr_p_value(r["r"], r["n"]).alias("p")).collect()]
+    assert abs(p[0] - 0.141) < 5e-4 and p[1] == 0.0
 
 
 def test_parse_judge_json(spark):
