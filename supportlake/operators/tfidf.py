@@ -24,6 +24,7 @@ from supportlake.session import cut_lineage
 # maximal runs of >= 2 word characters (Python's \b\w\w+\b); the explicit
 # class reads the same in Java and RE2
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+MAX_STEPS, TOLERANCE = 1000, 1e-12     # of the solver: heads are fitted until they stand still
 BROADCAST_TERMS = 200_000     # a vocabulary stated to be no larger is broadcast
 
 
@@ -193,7 +194,7 @@ def fit_text_classifier(train: DataFrame, text_col: str, label_col: str, reg_c:
         # summed-loss objective with inverse strength C
         LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="class_weight",
                            regParam=1.0 / (reg_c * max(n, 1)), elasticNetParam=0.0, standardization=False,
-                           maxIter=200, family="auto"),
+                           maxIter=MAX_STEPS, tol=TOLERANCE, family="auto"),
     ]
     return TextClassifier(vocabulary, Pipeline(stages=stages).fit(data))
 
@@ -210,3 +211,28 @@ def predict_text_classifier(model: TextClassifier, df: DataFrame, text_col: str)
         F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("pred_label"),
         F.round(F.array_max(probs), 4).alias("pred_confidence"),
     )
+
+
+def loss_gradient(data: DataFrame, coefficients, intercepts, reg: float, features: str = "features", label: str = "label",
+                  weight: str = "class_weight") -> DataFrame:
+    """(class, loss_share, coef_gradient, intercept_gradient): the gradient of the
+    penalised mean log-loss at given weights, one row per class, from a single
+    aggregation over ``data`` (features ARRAY<DOUBLE>, label 0..k-1).  At the
+    minimum all gradients are zero, whatever the solver: a certificate of a fit.
+    ``coefficients``: k rows of weights, ``intercepts``: k numbers."""
+    spark = data.sparkSession
+    k = len(intercepts)
+    score = [F.aggregate(F.zip_with(F.col(features), F.array(*[F.lit(float(x)) for x in c]), lambda a, b: a * b), F.lit(float(b)),
+                         lambda acc, v: acc + v) for c, b in zip(coefficients, intercepts)]
+    rows = data.select(F.col(features).alias("x"), F.col(label).cast("int").alias("y"), F.col(weight).alias("w"), F.array(*score).alias("z"))
+    rows = rows.withColumn("e", F.transform("z", lambda z: F.exp(z - F.array_max("z"))))
+    rows = rows.withColumn("p", F.transform("e", lambda e: e / F.aggregate("e", F.lit(0.0), lambda a, v: a + v)))
+    off = F.col("w") * (F.get("p", F.col("class")) - (F.col("class") == F.col("y")).cast("double"))
+    each = rows.withColumn("class", F.explode(F.array(*[F.lit(i) for i in range(k)]))).withColumn("off", off)
+    total = rows.agg(F.sum("w").alias("total")).first()["total"] or 1.0
+    lost = F.sum(F.when(F.col("class") == F.col("y"), -F.col("w") * F.log(F.get("p", F.col("class"))))) / total
+    flat = each.select("class", "off", F.posexplode("x").alias("j", "v")).groupBy("class", "j").agg((F.sum(F.col("off") * F.col("v")) / total).alias("g"))
+    penalty = spark.createDataFrame([(c, j, float(v)) for c, row in enumerate(coefficients) for j, v in enumerate(row)], "class int, j int, u double")
+    coef = flat.join(F.broadcast(penalty), ["class", "j"]).groupBy("class").agg(F.max(F.abs(F.col("g") + reg * F.col("u"))).alias("coef_gradient"))
+    own = each.groupBy("class").agg(F.coalesce(lost, F.lit(0.0)).alias("loss_share"), (F.sum("off") / total).alias("intercept_gradient"))
+    return own.join(coef, "class").select("class", "loss_share", "coef_gradient", "intercept_gradient")
