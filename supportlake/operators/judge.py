@@ -6,7 +6,9 @@ All rules are Column expressions; the reasons are joined with ``concat_ws``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportlake import fixed
@@ -115,3 +117,16 @@ def audit_summary(scored: DataFrame, score_col: str = "score") -> DataFrame:
     return long.select("dimension", tx.title_label("dimension").alias("label"),
                        F.round("average", 2).alias("average"), target_col.alias("target"),
                        status.alias("status"), "n")
+
+
+def audit_with_examples(scored: DataFrame, id_col: str, examples: int = 5, score_col: str = "score", extra: Sequence[str] = ()) -> DataFrame:
+    """``audit_summary`` with ``examples``: the rows with the lowest scores of each
+    dimension (ties by id) as ARRAY<STRUCT<rank, id, score, extra...>>.  Only so
+    many rows per task and dimension are kept on the way."""
+    each = scored.select(id_col, *extra, F.inline(F.array(*[F.struct(
+        F.lit(d).alias("dimension"), F.col(score_col).getField(d).alias("_value")) for d in SCORE_FIELDS])))
+    w = Window.partitionBy("dimension").orderBy("_value", id_col)
+    worst = each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= examples)
+    item = F.struct("rank", F.col(id_col), F.col("_value").alias("score"), *extra)
+    return audit_summary(scored, score_col).join(
+        worst.groupBy("dimension").agg(F.array_sort(F.collect_list(item)).alias("examples")), "dimension")

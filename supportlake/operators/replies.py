@@ -3,7 +3,7 @@
 The template reply is a CASE chain over the top evidence item; the prompt is
 ``concat``/``array_join`` over the evidence array.  An external generator
 (e.g. a local model) plugs in through ``generate_with`` (``mapInPandas``
-over the prompt column); rows it leaves empty fall back to the template.
+over the prompt column); rows it leaves empty or fails on fall back to the template.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from supportlake import fixed
 from supportlake.functions import text as tx
@@ -57,18 +58,37 @@ def prompt_text(message: Column, intent: Column, confidence: Column, action: Col
                             action=action, reason=reason, evidence=ev_text)
 
 
+def _answers(generate: Callable[[list[str]], list[str | None]], prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    """(answer, error) per prompt: all at once, or one by one where the batch fails."""
+    try:
+        out = list(generate(prompts))
+        if len(out) != len(prompts):
+            raise ValueError(f"{len(out)} answers to {len(prompts)} prompts")
+        return [(a, None) for a in out]
+    except Exception as e:  # noqa: BLE001  a generator may fail in any way; its row falls back
+        if len(prompts) == 1:
+            return [(None, type(e).__name__)]
+        return [x for p in prompts for x in _answers(generate, [p])]
+
+
 def generate_with(df: DataFrame, make_generator: Callable[[], Callable[[list[str]], list[str | None]]],
                   prompt_col: str = "prompt", fallback_col: str = "template_reply", out_col: str = "reply") -> DataFrame:
-    """Run a batch generator over the prompt column; empty answers fall back."""
-    schema = df.schema.add(out_col, "string")
+    """Run a batch generator over the prompt column, made once per task.  Adds
+    the answer, its source (``generator``, or ``template`` where the fallback
+    stands in) and why (the error's name, or ``no answer``).  A batch that fails
+    is asked again row by row, so one bad prompt costs no other its answer."""
+    source, error = f"{out_col}_source", f"{out_col}_error"
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.StringType()) for c in (out_col, source, error)]])
 
     def run(batches):
-        gen = make_generator()  # once per task
+        gen = make_generator()
         for pdf in batches:
-            answers = gen(pdf[prompt_col].fillna("").tolist())
-            out = pd.Series(answers, index=pdf.index, dtype="object")
-            out = out.where(out.notna() & (out.astype(str).str.strip() != ""), pdf[fallback_col])
-            yield pdf.assign(**{out_col: out.astype(str).str.strip()})
+            got = _answers(gen, pdf[prompt_col].fillna("").tolist()) if len(pdf) else []
+            rows = []
+            for (answer, why), fallback in zip(got, pdf[fallback_col]):
+                answer = (answer or "").strip()
+                rows.append((answer, "generator", None) if answer else ((fallback or "").strip(), "template", why or "no answer"))
+            yield pdf.assign(**{c: pd.Series([r[i] for r in rows], index=pdf.index, dtype="object") for i, c in enumerate((out_col, source, error))})
 
     return df.mapInPandas(run, schema)
 

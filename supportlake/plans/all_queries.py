@@ -1,3 +1,3 @@
 """Import every query module so the registry is complete."""
 
-from supportlake.plans import queries, queries_curation, queries_models, queries_pipeline, queries_streaming, queries_vectors  # noqa: F401
+from supportlake.plans import queries, queries_artefacts, queries_curation, queries_models, queries_pipeline, queries_streaming, queries_vectors  # noqa: F401

@@ -68,6 +68,12 @@ def retrieve(msgs: DataFrame, index: DataFrame, k: int = fixed.RETRIEVAL_TOP_K,
     return vectors.evidence(top, meta).withColumnRenamed("query_id", id_col)
 
 
+def message_text(text_col: str):
+    """A message as it is triaged: cleaned, or as it came where cleaning leaves nothing."""
+    cleaned = tx.clean_text(F.col(text_col))
+    return F.when(cleaned == "", tx.not_null_text(text_col)).otherwise(cleaned)
+
+
 def triage(messages: DataFrame, index: DataFrame, protos: DataFrame, pol: policy.Policy = policy.CONFIGURED_POLICY,
            k: int = fixed.RETRIEVAL_TOP_K, threshold: float = fixed.RETRIEVAL_SIMILARITY_THRESHOLD,
            id_col: str = "id", text_col: str = "message", exclude_same_id: bool = False, exclude_own: bool = False,
@@ -84,10 +90,7 @@ def triage(messages: DataFrame, index: DataFrame, protos: DataFrame, pol: policy
     if prepared:
         msgs = messages.select("id", "message", "embedding")
     else:
-        cleaned = tx.clean_text(F.col(text_col))
-        msgs = messages.select(
-            F.col(id_col).alias("id"),
-            F.when(cleaned == "", tx.not_null_text(text_col)).otherwise(cleaned).alias("message"))
+        msgs = messages.select(F.col(id_col).alias("id"), message_text(text_col).alias("message"))
         msgs = with_keyword_vector(msgs, "message")
         if write_inputs:
             msgs = cut_lineage(msgs)

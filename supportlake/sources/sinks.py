@@ -1,5 +1,5 @@
-"""Sinks and saved artefacts: CSV, Parquet, JSON lines, fitted models and the
-history index.  Paths are anything Spark can write to; a missing path raises
+"""Sinks and saved artefacts: CSV, Parquet, JSON lines and the history index
+(fitted heads save themselves).  Paths are anything Spark can write to; a missing path raises
 Spark's own error on load."""
 
 from __future__ import annotations
@@ -21,17 +21,6 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def save_model(model, path: str) -> None:
-    """A fitted Spark ML pipeline (text classifiers have their own ``save``)."""
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str):
-    from pyspark.ml import PipelineModel
-
-    return PipelineModel.load(path)
-
-
 def save_index(index: DataFrame, path: str) -> None:
     write_parquet(index, path)
 

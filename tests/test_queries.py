@@ -24,8 +24,11 @@ def test_every_query_has_a_builder_and_oracles_are_named():
     assert len(qs) >= 30
 
 
-@pytest.mark.parametrize("name", ["conversation_pairs", "weak_labels", "golden_quota", "vector_topk",
-                                  "judge_rubric", "tfidf_weights"])
+@pytest.mark.parametrize("name", [
+    "conversation_pairs", "weak_labels", "golden_quota", "vector_topk", "judge_rubric", "tfidf_weights", "vector_topk_cells", "similar_turns",
+    "hashed_turns", "price_ranks", "agreement_pvalues", "prefix_profile", "pairs_capped", "linear_probe", "probe_certificate", "tfidf_logreg",
+    "triage_evidence", "triage_replies", "stream_sliding", "stream_triage", "raw_csv_tweets", "judged_jsonl", "rater_import", "generated_replies",
+    "audit_examples", "odd_messages", "links_back", "intent_listing"])
 def test_oracle_parity(spark, sf_small, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -38,12 +41,12 @@ def test_oracle_parity(spark, sf_small, name):
     def norm(v):
         return round(v, 6) if isinstance(v, float) else v
 
-    srows = sorted(tuple(norm(r[c]) for c in cols) for r in sdf.collect())
+    srows = sorted((tuple(norm(r[c]) for c in cols) for r in sdf.collect()), key=repr)
     res = con.execute(entry.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     assert sorted(dcols) == cols
     idx = [dcols.index(c) for c in cols]
-    drows = sorted(tuple(norm(r[i]) for i in idx) for r in res.fetchall())
+    drows = sorted((tuple(norm(r[i]) for i in idx) for r in res.fetchall()), key=repr)
     assert srows == drows
 
 
