@@ -58,8 +58,9 @@ def fingerprint_of(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``; fp is the fingerprint's bits
-    as a signed long.  Null text counts as empty (fp 0)."""
+    """(doc_id, tag, fp): one row per row of ``docs``; fp is the fingerprint's bits
+    as a signed long, tag a hash of the text (0 for null).  Null text counts as
+    empty (fp 0)."""
 
     def batches(it):
         import numpy as np
@@ -67,10 +68,15 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
         for b in it:
             fp = [fingerprint_of(t.as_py(), shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "tag", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(batches, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _tag(text).alias("tag"))
+    return rows.mapInArrow(batches, "doc_id long, tag long, fp long")
+
+
+def _tag(text):
+    return F.coalesce(F.xxhash64(text), F.lit(0).cast("long"))
 
 
 # ---- bit-sliced comparison --------------------------------------------------
@@ -287,6 +293,16 @@ def _runs(bits: list[int]):
     yield run
 
 
+def _components(fps: DataFrame, radius: int, hot: int, chunk: int) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint."""
+    least = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    comp = connected_components(links(least.select("fp"), radius, hot, chunk))
+    rooted = (least.join(comp, least["fp"] == comp["node"], "left")
+              .select("fp", "least", F.coalesce("component", "fp").alias("root")))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id",
                    text_col: str = "text", hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of ``docs``.
@@ -298,19 +314,32 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: s
     fingerprint (null if that holds no id); an empty table gives an empty one;
     columns other than the two named are not looked at."""
     fps = cut_lineage(fingerprints(docs, shingle, id_col, text_col))
-    least = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    comp = connected_components(links(least.select("fp"), radius, hot, chunk))
-    rooted = (least.join(comp, least["fp"] == comp["node"], "left")
-              .select("fp", "least", F.coalesce("component", "fp").alias("root")))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
+    named = _components(fps, radius, hot, chunk).drop("root")
     return fps.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component (rows
-    that repeat that doc_id, and rows without an id in a group that has none, stay)."""
-    kept = (simhash_groups(docs, shingle, radius)
-            .where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct())
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """One row of ``docs`` (with its columns) per component: that of the smallest
+    doc_id (null ids last), of several with that id the one whose text has the
+    least hash.
+
+    Defined cases: null, empty and wordless texts are one group; rows that
+    repeat id and text are one row, any of them; of a group without ids one row
+    stays; an empty table gives an empty one; other columns are passed on, whatever
+    their names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+                       F.col("doc_id").cast("long").alias("__id"), _tag(F.col("text").cast("string")).alias("__tag"))
+    fps = cut_lineage(fingerprints(docs, shingle))
+    own = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first"))
+    best = own.join(_components(fps, radius, HOT, CHUNK), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = best.select(F.col("first.doc_id").alias("k_id"), F.col("first.tag").alias("k_tag"))
+    many = fps.groupBy("doc_id", "tag").agg(F.count("*").alias("n")).where("n > 1")
+    kept = cut_lineage(kept.join(many, F.col("k_id").eqNullSafe(F.col("doc_id")) & (F.col("k_tag") == F.col("tag")), "left").select(
+        "k_id", "k_tag", F.col("n").isNotNull().alias("again")))
+    match = rows["__id"].eqNullSafe(kept["k_id"]) & (rows["__tag"] == kept["k_tag"])
+    out = rows.join(kept.where("not again"), match, "left_semi").select("__row")
+    if kept.where("again").head(1):      # rows that repeat: one of them, found before the shuffle as far as a task has several
+        some = rows.join(kept.where("again"), match, "left_semi")
+        out = out.unionByName(some.groupBy("__id", "__tag").agg(F.first("__row").alias("__row")).select("__row"))
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
