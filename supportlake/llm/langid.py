@@ -3,11 +3,13 @@
 Texts are lower-cased and every run of non-letters becomes one blank, so
 digits, marks and white space say nothing.  All 1- to 3-grams of the result
 are hashed into ``BUCKETS``; the log-probability matrix (languages x buckets)
-is broadcast and batches are scored sparsely in numpy.
+is broadcast.  The n-grams of a whole batch of texts are one array of buckets:
+rows of the matrix are looked up for the n-grams that occur and summed by text.
 
 Training may use a bounded share of the labelled rows (``max_train``, expected
 number of documents, chosen by a hash of the id and text); scoring takes every
-row and every character.
+row and every character.  At most MAX_LANGUAGES languages are learned, those
+with the most rows, so that the matrix is bounded.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ ORDERS = (1, 2, 3)
 MAX_TRAIN = 40_000
 SMOOTHING = 0.5
 PART = 1 << 18               # characters hashed at once
+MAX_LANGUAGES = 512          # learned, those with the most rows: bounds the matrix
 UNKNOWN = "und"
-RESULT = "lang_pred string, score double"
+SLACK = 4.0                  # nats over the root of a text's n-grams
+LOW, MARGIN = 0.001, 0.5     # share of the labelled texts below the least fit, and nats below that
+RESULT = "lang_pred string, score double, fit double"
 
 
 @dataclass(frozen=True)
@@ -34,19 +39,22 @@ class Model:
     prior: object            # float64 (languages)
 
 
-def _letters(text: str):
-    """Code points of the lower-cased text, non-letter runs as one blank; None without letters."""
+def _letters(texts: list[str]):
+    """(code points, number of the text of each) of lower-cased texts, runs of
+    non-letters as one blank; texts without letters have none."""
     import numpy as np
 
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    low = [t.lower() for t in texts]
+    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
+    doc = np.repeat(np.arange(len(low)), list(map(len, low)))
     if not len(codes):
-        return None
-    is_letter = _letter_table()[codes]
-    if not is_letter.any():
-        return None
-    codes = np.where(is_letter, codes, 32)
-    keep = np.r_[True, is_letter[1:] | is_letter[:-1]]
-    return codes[keep].astype(np.uint32)
+        return codes.astype(np.uint32), doc
+    letter = _letter_table()[codes]
+    first = np.r_[True, doc[1:] != doc[:-1]]
+    has = np.zeros(len(low), bool)
+    has[doc[letter]] = True
+    keep = (letter | np.r_[False, letter[:-1]] | first) & has[doc]
+    return np.where(letter, codes, 32)[keep].astype(np.uint32), doc[keep]
 
 
 _TABLE = []
@@ -65,28 +73,50 @@ def _letter_table():
     return _TABLE[0]
 
 
-def gram_counts(text: str | None):
-    """Dense counts of the hashed n-grams of a whole text, or None without letters."""
+def grams(texts: list[str]):
+    """Hashed n-grams of whole texts, PART places at a time: (buckets, number
+    of the text of each)."""
     import numpy as np
 
-    codes = _letters(text) if text else None
-    if codes is None:
-        return None
-    counts = np.zeros(BUCKETS, np.int64)
+    codes, doc = _letters(texts)
     shift = np.uint32(32 - BUCKETS.bit_length() + 1)
-    over = max(ORDERS) - 1
     for at in range(0, len(codes), PART):
-        part = codes[at:at + PART + over]
         for n in ORDERS:
-            own = min(PART, len(codes) - at - n + 1)       # grams that begin in this part
+            own = min(PART, len(codes) - at - n + 1)           # grams that begin in this part
             if own <= 0:
                 continue
             h = np.full(own, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
             for k in range(n):
-                h = (h ^ part[k:k + own]) * np.uint32(0x85EBCA6B)
+                h = (h ^ codes[at + k:at + k + own]) * np.uint32(0x85EBCA6B)
                 h ^= h >> np.uint32(13)
-            counts += np.bincount((h * np.uint32(0xC2B2AE35)) >> shift, minlength=BUCKETS)
-    return counts
+            inside = doc[at:at + own] == doc[at + n - 1:at + n - 1 + own]
+            yield ((h * np.uint32(0xC2B2AE35)) >> shift)[inside].astype(np.int64), doc[at:at + own][inside]
+
+
+def log_likelihoods(texts: list[str], logp):
+    """(texts x languages sums of log-probabilities, n-grams of each text);
+    ``logp``: languages x buckets."""
+    import numpy as np
+
+    z, n = np.zeros((len(texts), len(logp))), np.zeros(len(texts), np.int64)
+    for bucket, doc in grams(texts):
+        if len(doc):
+            low, high = int(doc[0]), int(doc[-1]) + 1
+            own = doc - low
+            n[low:high] += np.bincount(own, minlength=high - low)
+            for k, row in enumerate(logp):
+                z[low:high, k] += np.bincount(own, row.take(bucket), high - low)
+    return z, n
+
+
+def _parts(column):
+    """Texts (null: empty) of an Arrow column, taken together up to PART characters."""
+    import pyarrow.compute as pc
+
+    from supportlake.llm.stretches import runs_of
+
+    for a, b in runs_of([x or 0 for x in pc.binary_length(column).to_pylist()], 4 * PART):
+        yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
 
 
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text",
@@ -98,9 +128,12 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", tex
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
                        F.col(id_col).alias("id")).where("text is not null and lang is not null")
-    n = rows.count()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    n = sizes.agg(F.sum("n")).first()[0] or 0
     if n > max_train:
         rows = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(max_train / n * (1 << 20)))
+    known = [r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
+    rows = rows.where(F.col("lang").isin(known)) if known else rows.limit(0)
 
     def partial(it):
         import pyarrow as pa
@@ -108,12 +141,21 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", tex
         sums: dict[str, object] = {}
         docs_of: dict[str, int] = {}
         for b in it:
-            for lang, text in zip(b.column(1).to_pylist(), b.column(0)):
-                counts = gram_counts(text.as_py())
-                if counts is None:
-                    continue
-                docs_of[lang] = docs_of.get(lang, 0) + 1
-                sums[lang] = counts if lang not in sums else sums[lang] + counts
+            langs = b.column(1).to_pylist()
+            for at, texts in _parts(b.column(0)):
+                seen = set()
+                for bucket, doc in grams(texts):
+                    for d in np.unique(doc).tolist():
+                        lang = langs[at + d]
+                        if lang not in sums:
+                            sums[lang] = np.zeros(BUCKETS, np.int64)
+                        if d not in seen:
+                            seen.add(d)
+                            docs_of[lang] = docs_of.get(lang, 0) + 1
+                    names, number = np.unique(np.array(langs[at:at + len(texts)], object).astype(str), return_inverse=True)
+                    own = number[doc]
+                    for k in np.unique(own).tolist():
+                        sums[str(names[k])] += np.bincount(bucket[own == k], minlength=BUCKETS)
         for lang, counts in sums.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
@@ -134,29 +176,31 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", tex
 
 
 def predict_column(spark, model: Model, text: Column) -> Column:
-    """struct(lang_pred, score): the most probable language and its posterior
-    (equal posteriors: the lesser name); ``und`` and 0 if the text is null, has
-    no letters, or nothing was learned."""
-    shared = spark.sparkContext.broadcast((model.langs, model.logp, model.prior))
+    """struct(lang_pred, score, fit): the most probable language and its
+    posterior (equal posteriors: the lesser name); ``und`` and 0 if the text is
+    null, has no letters, or nothing was learned.  fit is the mean log-probability
+    of an n-gram in that language, with some room for short texts."""
+    import numpy as np
+
+    shared = spark.sparkContext.broadcast((model.langs, np.ascontiguousarray(model.logp.T), model.prior))
 
     @F.pandas_udf(T._parse_datatype_string(RESULT))
     def predict(texts):
         import numpy as np
         import pandas as pd
+        import pyarrow as pa
 
         langs, logp, prior = shared.value
-        out = []
-        for t in texts:
-            counts = gram_counts(t) if langs else None
-            if counts is None:
-                out.append((UNKNOWN, 0.0))
-                continue
-            at = np.flatnonzero(counts)
-            z = counts[at].astype(np.float64) @ logp[at] + prior
-            z = np.exp(z - z.max())
-            k = int(z.argmax())
-            out.append((langs[k], float(z[k] / z.sum())))
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
+        names, score, fit = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.full(len(texts), -np.inf)
+        for at, part in _parts(pa.array(texts, pa.string())) if langs else ():
+            z, n = log_likelihoods(part, logp)
+            some = np.flatnonzero(n)
+            k = (z[some] + prior).argmax(1)
+            e = np.exp(z[some] + prior - (z[some] + prior).max(1, keepdims=True))
+            names[at + some] = np.array(langs, object)[k]
+            score[at + some] = e[np.arange(len(some)), k] / e.sum(1)
+            fit[at + some] = z[some, k] / n[some] + SLACK / np.sqrt(n[some])
+        return pd.DataFrame({"lang_pred": names, "score": score, "fit": fit})
 
     return predict(text)
 
@@ -180,7 +224,29 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).alias("doc_id"), p.alias("p")).select("doc_id", "p.lang_pred", "p.score")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a learned language and a posterior of at least ``least``."""
+def least_fit(docs: DataFrame, model: Model, max_train: int = MAX_TRAIN) -> float:
+    """The fit below which a text is in no learned language: MARGIN under the
+    LOW quantile of the labelled texts (a share of them, as in ``fit``)."""
+    rows = training_rows(docs).select("doc_id", F.col("text").cast("string").alias("text"))
+    n = rows.count()
+    if n > max_train:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(max_train / n * (1 << 20)))
+    p = predict_column(docs.sparkSession, model, F.col("text"))
+    got = rows.select(p["fit"].alias("fit")).where(F.col("fit") > float("-inf")).agg(F.percentile_approx("fit", LOW, 10_000)).first()[0]
+    return float("-inf") if got is None else got - MARGIN
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
+    """The rows of ``docs`` (with their columns) in a learned language: with
+    letters, and a mean log-probability per n-gram, which does not grow with the
+    length as posteriors do, of at least ``least`` (``least_fit`` of ``docs``).
+
+    Defined cases: null and letterless texts go; where no language could be
+    learned all rows stay; repeated rows stay or go together; null ids are as good
+    as any; an empty table gives an empty one; other columns are passed on,
+    whatever their names."""
+    if not model.langs:
+        return docs
+    least = least_fit(docs, model) if least is None else least
     p = predict_column(docs.sparkSession, model, F.col("text").cast("string"))
-    return docs.where((p["lang_pred"] != UNKNOWN) & (p["score"] >= least))
+    return docs.where((p["lang_pred"] != UNKNOWN) & (p["fit"] >= least))
