@@ -219,7 +219,10 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
 
 
 def with_repeats_removed(docs: DataFrame, min_words: int = MIN_WORDS, whole_lines: bool = True) -> DataFrame:
-    """``docs`` with its columns, text replaced (and n_chars, if it is there)."""
+    """``docs`` with its columns, text replaced (and n_chars, if it is there).
+
+    Defined cases: as in ``remove_repeats``; every row stays, also one whose text
+    becomes empty; other columns are passed on, whatever their names."""
     out = _with_result(docs, min_words, "doc_id", "text", whole_lines)
     new = {"text": F.col("out.text").alias("text")}
     if "n_chars" in docs.columns:

@@ -25,6 +25,7 @@ LABELLERS = ("symbols", "capitals", "echo", "longest run", "few distinct", "comm
              "function words", "word length")
 DIMS = 1 << 12
 MAX_TRAIN = 4_000
+FOREIGN = 0.2                # share of letters of another script from which a labeller abstains
 MIN_WORDS = 10               # shorter texts: labellers abstain
 THRESHOLD = 0.5
 EM_ROUNDS = 200
@@ -53,6 +54,9 @@ class Stats:
     bars: float              # words that are | or tabs, per word
     function: float          # function words per word
     length: float            # mean word length
+    repeated: float          # share of short words that come more than once, function words of whatever language
+    foreign: float           # letters of scripts other than Latin, per letter
+    unspaced: float          # letters of scripts of which some put no blanks between words, per letter
 
 
 _ASCII = None
@@ -87,7 +91,7 @@ def stats_of(text: str):
     words = _WORD.findall(text)
     n = len(words)
     if not n:
-        return Stats(0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), raw
+        return Stats(0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), raw
     low = text.lower().split()
     counts: dict[str, int] = {}
     for w in low:
@@ -101,11 +105,21 @@ def stats_of(text: str):
     echo = (n + 1 - len(breaks)) / max(1, n - 1)
     run = max(map(sub, breaks[1:], breaks))
     function = sum(c for w, c in counts.items() if w.strip(".,;:!?") in FUNCTION_WORDS) / n
+    repeated = sum(c for w, c in counts.items() if c > 1 and len(w) <= 4) / n
+    foreign = unspaced = 0.0
+    if kinds[2]:                         # by the first byte of a letter: two bytes beyond Latin; three bytes but for marks and symbols
+        lead = np.bincount(raw, minlength=256)
+        wide = int(lead[[0xE0, 0xE1, *range(0xE3, 0xEE)]].sum())
+        foreign, unspaced = (int(lead[0xCA:0xE0].sum()) + wide) / letters, wide / letters
     return Stats(n, marks / solid, capitals / letters, echo, run, len(counts) / n, max(counts.values()) / n, int(kinds[13] + kinds[14]) / n,
-                 words.count("|") / n, function, (solid + 0.0) / n), raw
+                 words.count("|") / n, function, (solid + 0.0) / n, repeated, foreign, unspaced), raw
 
 
 def votes_of(s: Stats) -> list[int]:
+    """A labeller abstains where it does not know the script: function words
+    speak in Latin texts only, and a text without the known ones is only bad if no
+    short word of another language repeats either; word length says nothing in
+    scripts without blanks."""
     if s.words < MIN_WORDS:
         return [ABSTAIN] * len(LABELLERS)
     pick = lambda x, good, bad: BAD if x >= bad else GOOD if x < good else ABSTAIN
@@ -118,8 +132,9 @@ def votes_of(s: Stats) -> list[int]:
         pick(s.common, 0.2, 0.35) if s.words >= 20 else ABSTAIN,
         pick(s.shouting, 0.1, 0.4),
         pick(s.bars, 0.05, 0.2),
-        GOOD if s.function >= 0.08 else BAD if s.function < 0.01 and s.words >= 25 else ABSTAIN,
-        GOOD if 2.5 <= s.length < 14 else BAD if s.length >= 20 or s.length < 1.5 else ABSTAIN,
+        ABSTAIN if s.foreign > FOREIGN else GOOD if s.function >= 0.08 else
+        BAD if s.function < 0.01 and s.repeated < 0.05 and s.words >= 25 else ABSTAIN,
+        ABSTAIN if s.unspaced > FOREIGN else GOOD if 2.5 <= s.length < 14 else BAD if s.length >= 20 or s.length < 1.5 else ABSTAIN,
     ]
 
 
@@ -142,7 +157,8 @@ def features_of(text: str | None):
     norm = np.sqrt(grams.sum()) or 1.0
     grams = np.sqrt(grams) / norm
     for k, x in enumerate((s.symbols, s.capitals, s.echo, s.run / 40, s.distinct, s.common, s.shouting, s.bars, s.function)):
-        band = min(int(x * 20), 20) if s.words >= MIN_WORDS else 21
+        known = s.words >= MIN_WORDS and (k < 8 or s.foreign <= FOREIGN)      # as the labellers: function words in Latin texts
+        band = min(int(x * 20), 20) if known else 21
         grams[(k * 32 + band) * 0x85EBCA6B % (1 << 32) >> 20] += 0.7
     at = np.flatnonzero(grams)
     v = grams[at]
@@ -317,6 +333,11 @@ def judge(docs: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESH
 
 
 def keep_good(docs: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the scorer accepts."""
+    """The rows of ``docs`` that the scorer accepts, with their columns.
+
+    Defined cases: null, empty and short texts have no labeller's vote, the
+    scorer alone decides; rows that repeat are kept or go together; null ids are
+    as good as any; where no text is held bad, all stay; an empty table gives an
+    empty one; other columns are passed on, whatever their names."""
     _, scorer = fit(docs, max_train)
     return docs.where(score_column(docs.sparkSession, scorer, F.col("text").cast("string")) >= threshold)

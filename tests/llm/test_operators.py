@@ -104,6 +104,17 @@ def test_simhash_odd_rows(odd, none):
     assert {r["doc_id"] for r in kept.collect()} == {r["component_id"] for r in simhash.simhash_groups(odd, 3, 3).collect()}
 
 
+def test_one_row_of_each_group_stays(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, long, "a"), (1, long, "b"), (1, long + " w1 end", "c"), (2, long, "d"), (None, long, "e"), (5, None, "f"), (6, "", "g"), (None, "alone " * 9, "h"),
+            (None, "alone " * 9, "i"), (7, "another text of its own", "j")] + [(1, long, "k")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, first string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one_per_group(df).collect()), key=repr)
+    one = min((long, long + " w1 end"), key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])
+    assert got == sorted([(1, one), (5, None), (7, "another text of its own"), (None, "alone " * 9)], key=repr)
+    assert simhash.keep_one_per_group(df.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3, 5])
 def test_bit_sliced_distances(radius):
     rng = np.random.default_rng(radius)
@@ -416,6 +427,85 @@ def test_quality_odd_rows(odd, none):
     assert quality.keep_good(odd).columns == odd.columns
 
 
+def other_scripts(rng):
+    """Made-up texts in scripts without blanks and in others: 40 lines each."""
+    han, thai, cyr = [chr(0x4E00 + i) for i in range(400)], [chr(0x0E01 + i) for i in range(46)], [chr(0x430 + i) for i in range(32)]
+    line = lambda letters, n: "".join(rng.choice(letters, n))
+    return {
+        "zh": ["\n".join(line(han, rng.integers(15, 60)) + "。" for _ in range(40)) for _ in range(60)],
+        "th": ["\n".join(line(thai, rng.integers(15, 60)) for _ in range(40)) for _ in range(60)],
+        "ru": ["\n".join(" ".join(line(cyr, rng.integers(1, 10)) for _ in range(9)) + "." for _ in range(40)) for _ in range(60)]}
+
+
+def test_texts_in_other_scripts_are_kept(spark, docs):
+    rng = np.random.default_rng(2)
+    texts = other_scripts(rng)
+    rows = [(100_000 + 1000 * k + i, t, lang) for k, (lang, ts) in enumerate(texts.items()) for i, t in enumerate(ts)]
+    more = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = quality.judge(more).where("doc_id >= 100000").toPandas()
+    assert len(got) == len(rows) and got["keep"].all()
+    votes = quality.votes_of(quality.stats_of(texts["zh"][0])[0])
+    assert votes[8] == votes[9] == quality.ABSTAIN
+    kept = langid.keep_identified(more, langid.fit(langid.training_rows(more))).where("doc_id >= 100000")
+    assert kept.count() == len(rows)
+
+
+def test_quality_against_plain_python(docs):
+    """The same model and scores without Spark: votes by plain definitions, EM over documents one by one."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    patterns = {}
+    for i, t in rows:
+        w = t.split()
+        low = [x.lower() for x in w]
+        s, _ = quality.stats_of(t)
+        if w:
+            counts = {x: low.count(x) for x in set(low)}
+            runs, best = 1, 1
+            for a, b in zip(low, low[1:]):
+                runs = runs + 1 if a == b else 1
+                best = max(best, runs)
+            assert (s.words, s.run, s.common) == (len(w), best, max(counts.values()) / len(w)), i
+            assert s.distinct == len(counts) / len(w) and s.echo == sum(a == b for a, b in zip(low, low[1:])) / max(1, len(w) - 1)
+            assert s.shouting == (t.count("!") + t.count("?")) / len(w) and s.bars == w.count("|") / len(w)
+        patterns[i] = quality.pattern_of(quality.votes_of(s))
+    model, scorer = quality.fit(docs, max_train=10_000)
+    counts = {}
+    for p in patterns.values():
+        counts[p] = counts.get(p, 0) + 1
+    # EM, a document at a time
+    k = len(quality.LABELLERS)
+    votes = [[p // 3 ** j % 3 for j in range(k)] for p in patterns.values()]
+    base = (0.25, 0.005)
+    bad = [(0.02, 0.7, 0.95)[min(2, v.count(quality.BAD))] for v in votes]
+    for _ in range(quality.EM_ROUNDS):
+        miss = []
+        for j in range(k):
+            hit = [sum(w for w, v in zip(ws, votes) if v[j] == quality.BAD) + quality.PRIOR * b for ws, b in zip((bad, [1 - x for x in bad]), base)]
+            all_ = [sum(w for w, v in zip(ws, votes) if v[j] != quality.ABSTAIN) + quality.PRIOR for ws in (bad, [1 - x for x in bad])]
+            own = [h / a for h, a in zip(hit, all_)]
+            if own[0] < own[1]:
+                own = [sum(hit) / sum(all_)] * 2
+            miss.append([min(max(x, 1e-5), 1 - 1e-5) for x in own])
+        share = min(max((sum(bad) + 1) / (len(votes) + 10), 1e-4), 0.5)
+        fresh = []
+        for v in votes:
+            z = [np.log(c) + sum(np.log(m[i]) if x == quality.BAD else np.log(1 - m[i]) if x == quality.GOOD else 0 for x, m in zip(v, miss))
+                 for i, c in enumerate((share, 1 - share))]
+            fresh.append(1 / (1 + np.exp(min(50, max(-50, z[1] - z[0])))))
+        moved = max(abs(a - b) for a, b in zip(bad, fresh))
+        bad = fresh
+        if moved < 1e-12:
+            break
+    for p, b in zip(patterns.values(), bad):
+        assert model.posterior_good(p) == pytest.approx(1 - b, abs=1e-6)
+    # every document is in the sample here, so the scorer has one training set
+    train = [(at.tolist(), v.tolist(), model.posterior_good(patterns[i])) for i, t in rows for at, v in [quality.features_of(t)]]
+    mine = quality.fit_scorer(train, model.bad_share)
+    got = {r["doc_id"]: r["score"] for r in quality.judge(docs, max_train=10_000).collect()}
+    for i, t in rows:
+        assert got[i] == pytest.approx(mine.score(t), abs=1e-4) == pytest.approx(scorer.score(t), abs=1e-4)
+
+
 def test_clean_corpus_is_not_split():
     all_good = quality.pattern_of([quality.GOOD] * len(quality.LABELLERS))
     one_odd = quality.pattern_of([quality.GOOD] * 8 + [quality.ABSTAIN, quality.GOOD])
@@ -511,6 +601,68 @@ def test_language_held_out(spark):
     assert got["score"].between(0, 1).all()
 
 
+def plain_grams(text):
+    low = [c if c.isalpha() else " " for c in text.lower()]
+    if not any(c != " " for c in low):
+        return []
+    out = [c for i, c in enumerate(low) if c != " " or i == 0 or low[i - 1] != " "]
+    buckets = []
+    for n in (1, 2, 3):
+        for i in range(len(out) - n + 1):
+            h = n * 0x9E3779B1 & 0xFFFFFFFF
+            for c in out[i:i + n]:
+                h = (h ^ ord(c)) * 0x85EBCA6B & 0xFFFFFFFF
+                h ^= h >> 13
+            buckets.append((h * 0xC2B2AE35 & 0xFFFFFFFF) >> 17)
+    return buckets
+
+
+def test_language_against_plain_naive_bayes(spark, docs, monkeypatch):
+    rows = [(r["doc_id"], r["text"][:400], r["lang"]) for r in docs.collect()] + [(9000, "", "en"), (9001, "12 34", "fr"), (9002, "ÀÉÎ İstanbul ß", None), (9003, "x" * 700, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    counts, docs_of = {}, {}
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 5 and (g := plain_grams(t)):
+            c = counts.setdefault(lang, [0.5] * langid.BUCKETS)
+            docs_of[lang] = docs_of.get(lang, 0) + 1
+            for b in g:
+                c[b] += 1
+    langs = sorted(counts)
+    total = {x: sum(counts[x]) for x in langs}
+    model = langid.fit(langid.training_rows(df))
+    assert list(model.langs) == langs
+    got = {r["doc_id"]: r for r in langid.identify(df, model).collect()}
+    for part in (langid.PART, 64):                        # texts of one part and of many
+        monkeypatch.setattr(langid, "PART", part)
+        logp = np.ascontiguousarray(model.logp.T)
+        for i, t, _ in rows[::7] + rows[-4:]:
+            g = plain_grams(t)
+            z, n = langid.log_likelihoods([t, "another"], logp)
+            assert n[0] == len(g)
+            if not g:
+                assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+                continue
+            want = [sum(np.log(counts[x][b] / total[x]) for b in g) for x in langs]
+            assert z[0].tolist() == pytest.approx(want, rel=1e-6)
+            want = [w + np.log(docs_of[x] / sum(docs_of.values())) for w, x in zip(want, langs)]
+            assert got[i]["lang_pred"] == langs[int(np.argmax(want))]
+            assert got[i]["score"] == pytest.approx(1 / sum(np.exp(w - max(want)) for w in want), abs=1e-4)
+
+
+def test_languages_are_bounded_and_nothing_learned_drops_nothing(spark, monkeypatch):
+    rows = [(i, f"word number {i} here", f"junk{i}" if i % 2 else "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    model = langid.fit(df)
+    assert len(model.langs) == 3 and "en" in model.langs
+    none = langid.fit(df.where("lang is null"))
+    assert langid.keep_identified(df, none).count() == 60
+    english = langid.fit(df.where("lang = 'en'"))
+    junk = spark.createDataFrame([(1000, "жђщ ћљњ џ" * 40, None), (1001, "word here number", None), (1002, "...", None)], df.schema)
+    kept = {r["doc_id"] for r in langid.keep_identified(df.unionByName(junk), english).collect()}
+    assert 1000 not in kept and 1002 not in kept and {1001, *range(60)} <= kept
+
+
 def test_language_odd_rows(odd, none):
     model = langid.fit(langid.training_rows(odd))
     got = langid.identify(odd, model).toPandas()
