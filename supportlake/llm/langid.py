@@ -46,7 +46,7 @@ def _letters(texts: list[str]):
 
     low = [t.lower() for t in texts]
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
-    doc = np.repeat(np.arange(len(low)), list(map(len, low)))
+    doc = np.repeat(np.arange(len(low), dtype=np.int32), list(map(len, low)))
     if not len(codes):
         return codes.astype(np.uint32), doc
     letter = _letter_table()[codes]
@@ -115,7 +115,7 @@ def _parts(column):
 
     from supportlake.llm.stretches import runs_of
 
-    for a, b in runs_of([x or 0 for x in pc.binary_length(column).to_pylist()], 4 * PART):
+    for a, b in runs_of([x or 0 for x in pc.binary_length(column).to_pylist()], PART):
         yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
 
 
