@@ -21,9 +21,9 @@ import re
 
 from supportlake.llm.stretches import Stretches, runs_of
 
-CACHE_WORDS = 400_000        # of a generation; the one before it is kept to draw from
+CACHE_WORDS = 250_000        # of a generation; the one before it is kept to draw from
 CACHE_PIECES = 100_000
-CACHE_STRETCHES = 200_000
+CACHE_STRETCHES = 150_000
 BATCH_CHARS = 2_000_000      # texts taken together
 LONGEST_CACHED = 64
 STRETCH = 1 << 20            # characters split at once
