@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from supportlake.llm.stretches import runs_of
+
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 MAX_TRAIN = 40_000
@@ -113,8 +115,6 @@ def _parts(column):
     """Texts (null: empty) of an Arrow column, taken together up to PART characters."""
     import pyarrow.compute as pc
 
-    from supportlake.llm.stretches import runs_of
-
     for a, b in runs_of([x or 0 for x in pc.binary_length(column).to_pylist()], PART):
         yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
 
@@ -188,12 +188,12 @@ def predict_column(spark, model: Model, text: Column) -> Column:
     def predict(texts):
         import numpy as np
         import pandas as pd
-        import pyarrow as pa
 
         langs, logp, prior = shared.value
         names, score, fit = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.full(len(texts), -np.inf)
-        for at, part in _parts(pa.array(texts, pa.string())) if langs else ():
-            z, n = log_likelihoods(part, logp)
+        texts = [t or "" for t in texts]
+        for at, stop in runs_of(list(map(len, texts)), PART) if langs else ():
+            z, n = log_likelihoods(texts[at:stop], logp)
             some = np.flatnonzero(n)
             k = (z[some] + prior).argmax(1)
             e = np.exp(z[some] + prior - (z[some] + prior).max(1, keepdims=True))
@@ -232,7 +232,8 @@ def least_fit(docs: DataFrame, model: Model, max_train: int = MAX_TRAIN) -> floa
     if n > max_train:
         rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(max_train / n * (1 << 20)))
     p = predict_column(docs.sparkSession, model, F.col("text"))
-    got = rows.select(p["fit"].alias("fit")).where(F.col("fit") > float("-inf")).agg(F.percentile_approx("fit", LOW, 10_000)).first()[0]
+    # no filter on the prediction: Spark would make it twice, in two workers a task
+    got = rows.select(p.alias("p")).agg(F.percentile_approx(F.when(F.col("p.fit") > float("-inf"), F.col("p.fit")), LOW, 10_000)).first()[0]
     return float("-inf") if got is None else got - MARGIN
 
 
