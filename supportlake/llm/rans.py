@@ -206,9 +206,9 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, partitions: in
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from supportlake.llm.tokens import column_ids
+        from supportlake.llm.tokens import BATCH_CHARS, column_ids
 
-        ids_of = column_ids(tokenizer)
+        ids_of = column_ids(tokenizer, 2 * BATCH_CHARS)
         end = end_id.to_bytes(4, "little")
         part, seq = TaskContext.get().partitionId(), 0
         held: list[tuple[int, object]] = []

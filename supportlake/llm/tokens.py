@@ -204,17 +204,10 @@ def _drops_blanks(spec: dict) -> bool:
 _OPEN: dict[str, _Pieces] = {}
 
 
-def text_ids(path: str):
-    """``text -> bytes`` (little-endian unsigned 32-bit ids) for a tokenizer
-    file; loaded once per Python worker."""
-    if path not in _OPEN:
-        _OPEN[path] = _Pieces(path)
-    return _OPEN[path].ids
-
-
-def column_ids(path: str):
-    """``Arrow column of texts -> iterator of bytes`` (as ``text_ids``; a null
-    is an empty text), with a bounded number of characters taken at once."""
+def column_ids(path: str, chars: int = BATCH_CHARS):
+    """``Arrow column of texts -> iterator of bytes``: little-endian unsigned
+    32-bit ids of each (a null is an empty text), about ``chars`` characters
+    taken at once."""
     if path not in _OPEN:
         _OPEN[path] = _Pieces(path)
     pieces = _OPEN[path]
@@ -223,7 +216,7 @@ def column_ids(path: str):
         import pyarrow.compute as pc
 
         sizes = [n or 0 for n in pc.binary_length(column).to_pylist()]
-        for a, b in runs_of(sizes, BATCH_CHARS):
+        for a, b in runs_of(sizes, chars):
             texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
             if len(texts) > 1:
                 yield from pieces.batch(texts)
