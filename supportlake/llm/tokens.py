@@ -90,7 +90,6 @@ class _Pieces(_Generations):
             # on plain stretches, lower-cased, the letter and digit classes are these; letters first, as no
             # other alternative begins with one
             pattern = pattern.replace(r"\p{L}", "a-zß-öø-ÿ").replace(r"\p{N}", "0-9")
-            self._split = re.compile("[a-zß-öø-ÿ]+|" + pattern)
             self._split_lines = re.compile("[a-zß-öø-ÿ]+|\n|" + pattern)
             self._words = _Words(self._tokenizer.model, self._tokenizer.get_vocab_size())
 
@@ -105,32 +104,6 @@ class _Pieces(_Generations):
             self[piece] = out
         return out
 
-    def _plain(self, text: str, a: int, b: int) -> list[bytes]:
-        """Ids of text[a:b], a plain stretch, in parts that end at a blank."""
-        out = []
-        while a < b:
-            cut = b
-            if b - a > STRETCH and (m := _BLANK.search(text, a + STRETCH, b)):
-                cut = m.end()
-            self._words.turn()
-            out.append(b"".join(map(self._words.__getitem__, self._split.findall(text[a:cut].lower()))))
-            a = cut
-        return out
-
-    def ids(self, text: str) -> bytes:
-        if not self.by_blank:
-            return self.whole(text)
-        self.turn()
-        out, at = [], 0
-        while m := _ODD.search(text, at):
-            a = max(at, text.rfind(" ", at, m.start()) + 1, text.rfind("\n", at, m.start()) + 1)
-            end = _BLANK.search(text, m.end())
-            b = end.start() if end else len(text)
-            out += self._plain(text, at, a)
-            out.append(self[text[a:b]])
-            at = b
-        return b"".join(out + self._plain(text, at, len(text)))
-
     def _piece_ids(self, pieces: list[str]):
         """(ids one after another, numbers) of pieces without blanks."""
         np = self._np
