@@ -245,6 +245,21 @@ def test_ranks_of_ties_and_repeated_rows(spark):
     assert resample.resample(frame(spark, []), frame(spark, [])).count() == 0
 
 
+def test_gains_compare_shares_of_target_and_source(spark):
+    rows = [(i, " ".join(f"w{(i * k) % 90}" for k in range(5 + i % 40)), None, None) for i in range(60)] + [(60, None, None, None)]
+    target = ["w1 w2 w3 target", None, "w5 w5"]
+    got = {r.doc_id: r for r in resample.resample(frame(spark, rows), spark.createDataFrame([(t,) for t in target], "text string")).collect()}
+    bucket = lambda f: zlib.crc32(f.encode()) % 10000
+    s = Counter(bucket(f) for r in rows for f in plain_features(r[1])[1])
+    t = Counter(bucket(f) for x in target for f in plain_features(x)[1])
+    s_all, t_all = sum(s.values()), sum(t.values())
+    assert s_all != t_all
+    for d, text, *_ in rows:
+        fs = plain_features(text)[1]
+        weight = sum(math.floor(1000 * math.log((t[b] + 1) * (s_all + 10000) / ((s[b] + 1) * (t_all + 10000)))) for b in map(bucket, fs))
+        assert (got[d].n_features, got[d]["weight"]) == (len(fs), weight)
+
+
 def test_splitters_are_bounded_and_even(spark):
     n, p = 20_000, 8
     scored = spark.range(n).select(F.col("id").alias("row"), F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(500)).alias("score"))
