@@ -6,10 +6,9 @@ are hashed into ``BUCKETS``; the log-probability matrix (languages x buckets)
 is broadcast.  The n-grams of a whole batch of texts are one array of buckets:
 rows of the matrix are looked up for the n-grams that occur and summed by text.
 
-Training may use a bounded share of the labelled rows (``max_train``, expected
-number of documents, chosen by a hash of the id and text); scoring takes every
-row and every character.  At most MAX_LANGUAGES languages are learned, those
-with the most rows, so that the matrix is bounded.
+Counts and the least fit come from all labelled rows, and every row and every
+character is scored.  At most MAX_LANGUAGES languages are learned, those with
+the most rows, so that the matrix is bounded.
 """
 
 from __future__ import annotations
@@ -24,7 +23,6 @@ from supportlake.llm.stretches import runs_of
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-MAX_TRAIN = 40_000
 SMOOTHING = 0.5
 PART = 1 << 18               # characters hashed at once
 MAX_LANGUAGES = 512          # learned, those with the most rows: bounds the matrix
@@ -119,19 +117,14 @@ def _parts(column):
         yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
 
 
-def fit(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text",
-        lang_col: str = "lang") -> Model:
-    """Counts of ``docs`` (text, lang; rows without either are left out), summed
-    by language.  If there are more than ``max_train`` rows, a hash share of
-    them is used, ``max_train`` rows as expected."""
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Counts of all ``docs`` (text, lang; rows without either are left out),
+    summed by language."""
     import numpy as np
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
-                       F.col(id_col).alias("id")).where("text is not null and lang is not null")
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
+        "text is not null and lang is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    n = sizes.agg(F.sum("n")).first()[0] or 0
-    if n > max_train:
-        rows = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(max_train / n * (1 << 20)))
     known = [r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
     rows = rows.where(F.col("lang").isin(known)) if known else rows.limit(0)
 
@@ -224,13 +217,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).alias("doc_id"), p.alias("p")).select("doc_id", "p.lang_pred", "p.score")
 
 
-def least_fit(docs: DataFrame, model: Model, max_train: int = MAX_TRAIN) -> float:
+def least_fit(docs: DataFrame, model: Model) -> float:
     """The fit below which a text is in no learned language: MARGIN under the
-    LOW quantile of the labelled texts (a share of them, as in ``fit``)."""
-    rows = training_rows(docs).select("doc_id", F.col("text").cast("string").alias("text"))
-    n = rows.count()
-    if n > max_train:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(max_train / n * (1 << 20)))
+    LOW quantile of all labelled texts (its rank is exact to 0.01 %)."""
+    rows = training_rows(docs).select(F.col("text").cast("string").alias("text"))
     p = predict_column(docs.sparkSession, model, F.col("text"))
     # no filter on the prediction: Spark would make it twice, in two workers a task
     got = rows.select(p.alias("p")).agg(F.percentile_approx(F.when(F.col("p.fit") > float("-inf"), F.col("p.fit")), LOW, 10_000)).first()[0]

@@ -663,6 +663,18 @@ def test_languages_are_bounded_and_nothing_learned_drops_nothing(spark, monkeypa
     assert 1000 not in kept and 1002 not in kept and {1001, *range(60)} <= kept
 
 
+def test_language_learns_and_fits_from_all_labelled_rows(spark):
+    plain = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("word here number").alias("text"), F.lit("en").alias("lang"))
+    # rows that a hash share of 40,000 would leave out
+    odd = spark.range(1_000_000, 1_002_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("qqq "), "id").alias("text"), F.lit("en").alias("lang"))
+    odd = odd.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) > int(0.85 * (1 << 20))) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    rare = odd.limit(20).select("doc_id", "text", F.concat(F.lit("l"), "doc_id").alias("lang"))
+    assert len(langid.fit(langid.training_rows(plain.unionByName(rare))).langs) == 21
+    both = plain.unionByName(odd)
+    kept = langid.keep_identified(both, langid.fit(langid.training_rows(both)))
+    assert odd.count() > 100 and kept.where("doc_id >= 1000000").count() == odd.count()
+
+
 def test_language_odd_rows(odd, none):
     model = langid.fit(langid.training_rows(odd))
     got = langid.identify(odd, model).toPandas()
