@@ -76,6 +76,39 @@ def test_plan_moves_the_index_once_and_broadcasts_none(spark):
     assert "Broadcast" not in plan and "Cartesian" not in plan and plan.count("Exchange") == 1
 
 
+def test_queries_that_prune_nothing_go_to_few_groups(spark):
+    rng = np.random.default_rng(8)
+    df = frame(spark, rng.standard_normal((3000, 32)))
+    index = vectors.prepare_index(df, "id")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    try:
+        # groups times copies: a query moves to about eight groups, not to 200
+        assert cells.topk(df, index, 3, vectors.SCALE, "id", exclude_self=True).rdd.getNumPartitions() <= 90
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    g = cells.pack_cells(np.array([100, 100, 400]), 200)
+    assert cells.copies_of(g, np.array([100, 100, 400]), np.array([10.0, 10.0, 10.0]), 9, 1000).tolist() == [3, 3, 3]
+    assert cells.copies_of(g, np.array([100, 100, 400]), np.array([0.0, 9.0, 3000.0]), 1, 1000).tolist() == [1, 1, 3]
+
+
+def test_comparing_a_batch_takes_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    unit = lambda m: m / np.sqrt((m * m).sum(1, keepdims=True))
+    q, x = unit(rng.standard_normal((512, 16))), unit(rng.standard_normal((40_000, 16)))
+    x[100:4000] = x[0]
+    best = cells.Best(q, np.arange(512), 3, True, vectors.SCALE)
+    tracemalloc.start()
+    best.add(np.arange(512), np.arange(40_000), x, x.astype(np.float32))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20                          # all pairs at once in double precision: 164 MB an array
+    got = {(i, j, r, round(s, 6)) for i, j, s, _, r in zip(*(a.tolist() for a in best.rows()))}
+    assert got == brute(q, np.arange(512), x, np.arange(40_000), 3, True)
+
+
 def test_a_large_cell_is_several_groups():
     g = cells.pack_cells(np.array([5, 3, 40, 0, 9, 2, 8]), 10)
     assert g.first.tolist() == [0, 0, 1, 5, 5, 6, 6] and g.parts.tolist() == [1, 1, 4, 1, 1, 1, 1] and g.count == 7
