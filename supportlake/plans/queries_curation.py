@@ -8,9 +8,8 @@ from supportlake import fixed
 from supportlake.functions import text as tx
 from supportlake.operators import curation
 from supportlake.plans import oracle as sq
-from supportlake.plans.queries import _pairs_cte, corpus
+from supportlake.plans.queries import _pairs_cte, written_corpus
 from supportlake.plans.registry import query
-from supportlake.session import cut_lineage
 from supportlake.taxonomy import taxonomy_df
 
 
@@ -45,8 +44,7 @@ pool AS MATERIALIZED (SELECT customer_tweet_id AS cid, brand_tweet_id AS bid, me
 
 
 def _curated(spark, sf_dir, rows, without_urls):
-    pairs = cut_lineage(corpus(spark, sf_dir).select("customer_tweet_id", "brand_tweet_id", "customer_text", "brand_text", "links"))
-    return curation.curated_set(pairs, curation.rule_book(rows), without_urls)
+    return curation.curated_set(written_corpus(spark, sf_dir), curation.rule_book(rows), without_urls)
 
 
 @query("golden_rules_verified", lambda: f"WITH {_rules_cte(fixed.CURATION_RULES_VERIFIED, False)} SELECT * FROM golden")

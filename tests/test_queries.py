@@ -50,6 +50,14 @@ def test_oracle_parity(spark, sf_small, name):
     assert srows == drows
 
 
+def test_pairs_clean_each_text_once(spark, sf_small):
+    from supportlake import fixed
+
+    plan = entry.queries()["conversation_pairs"](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+    # one for the message and one for the reply (before: again in a filter on each side)
+    assert 0 < plan.count(fixed.MENTION_PATTERN) <= 2
+
+
 def test_pairs_invariants(spark, sf_small):
     from pyspark.sql import functions as F
 
